@@ -59,6 +59,11 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
+def stutters(words: list[bytes]) -> int:
+    """Words that equal the word before."""
+    return sum(map(bytes.__eq__, words, words[1:]))
+
+
 def may_repeat(rows: list[list[bytes]]) -> list[bool]:
     """For each word list, False if no window of five words occurs twice in it (by 64-bit hashes of all rows at once)."""
     table: dict[bytes, int] = {}
@@ -104,7 +109,7 @@ def _capitals(d: Document) -> bool:
     return 2 * upper > sum(map(str.isalpha, d.text))
 
 
-def rules(min_words: int = 10, repeat_percent: int = 20, symbol_percent: int = 10, duplicate_line_percent: int = 30) -> tuple[Rule, ...]:
+def rules(min_words: int = 10, repeat_percent: int = 20, symbol_percent: int = 10, duplicate_line_percent: int = 50, stutter_percent: int = 30) -> tuple[Rule, ...]:
     """The production rules; shares are per hundred words, lines or letters."""
     return (
         Rule("few_words", lambda d: len(d.words) < min_words),
@@ -112,6 +117,7 @@ def rules(min_words: int = 10, repeat_percent: int = 20, symbol_percent: int = 1
         Rule("symbols", lambda d: 100 * symbols(d.text) > symbol_percent * len(d.words)),
         Rule("duplicate_lines", lambda d: 100 * duplicate_lines(d.text) > duplicate_line_percent * (d.text.count("\n") + 1)),
         Rule("capitals", _capitals),
+        Rule("stutter", lambda d: 100 * stutters(d.words) > stutter_percent * len(d.words)),
     )
 
 

@@ -42,12 +42,12 @@ g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i:i+4]) AS n F
 r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM g WHERE n > 1) GROUP BY doc_id),
 b AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
              CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
-             CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, len(string_split(text, chr(10))) AS n_lines,
+             CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, len(string_split(text, chr(10))) AS n_lines, len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i-1])) AS n_stutter,
              length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS n_letters
       FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines OR 2 * n_upper > n_letters) AS kept
+       NOT (base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 50 * n_lines OR 2 * n_upper > n_letters OR 100 * n_stutter > 30 * n_words) AS kept
 FROM f"""
 
 
