@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clausemill.llm import packing, quality, token_digests, token_files
+from clausemill.llm import fingerprints, html_text, language, packing, pii, quality, token_digests, token_files
 from clausemill.llm.common import read
 
 
@@ -20,6 +20,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(docs, quality.plan(docs, quality.rules()))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(read(spark, sf_dir, "documents"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0))
 
@@ -28,8 +36,17 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return language.predictions(docs, language.fit(docs))
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.texts(read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality, op6_token_files, op7_bpe)}
+    return {f.__name__: f for f in (op1_packing, op2_quality, op4_fingerprints, op5_pii, op6_token_files, op7_bpe, op8_language, op9_html)}
 
 
 #: op2: lists of words and lines per text; windows by position.
