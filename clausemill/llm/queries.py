@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clausemill.llm import fingerprints, html_text, language, packing, pii, quality, token_digests, token_files
+from clausemill.llm import fingerprints, html_text, language, ngram_join, packing, pii, quality, token_digests, token_files
 from clausemill.llm.common import read
 
 
@@ -45,8 +45,12 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.texts(read(spark, sf_dir, "pages"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality, op4_fingerprints, op5_pii, op6_token_files, op7_bpe, op8_language, op9_html)}
+    return {f.__name__: f for f in (op1_packing, op2_quality, op4_fingerprints, op5_pii, op6_token_files, op7_bpe, op8_language, op9_html, op10_ngram_join)}
 
 
 #: op2: lists of words and lines per text; windows by position.
