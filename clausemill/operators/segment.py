@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausemill.functions.text import clean_clause, is_html, strip, strip_html, word_count
+from clausemill.operators.rank import with_rank
 
 LONG_PARAGRAPH, MIN_WORDS, MAX_WORDS, MAX_CLAUSES = 40, 10, 120, 120
 # Fixed patterns
@@ -160,15 +161,7 @@ def clauses(docs: DataFrame, cap: int = MAX_CLAUSES) -> DataFrame:
     return rows.select("domain", "source_doc", "pos", F.col("c.text").alias("raw_text"), word_count(F.col("c.text")).alias("word_count"), F.col("c.label").alias("pattern_label"))
 
 
-def numbered_ids(rows: DataFrame, order: list, width: int = 6, name: str = "clause_id") -> DataFrame:
-    """Adds ids such as C000001 in the given order.
-
-    Rows are numbered inside range partitions and shifted by the sizes of earlier
-    ones, which are counted per partition; so no task sees all rows.
-    """
-    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
-    sizes = spread.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
-    shift = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("_part", "_first", shift.alias("_shift"))
-    number = F.col("_shift") + F.col("_row") - F.col("_first") + 1
-    return spread.join(F.broadcast(sizes), "_part").withColumn(name, F.format_string(f"C%0{width}d", number)).drop("_part", "_row", "_first", "_shift")
+def numbered_ids(rows: DataFrame, order: list[str], width: int = 6, name: str = "clause_id") -> DataFrame:
+    """Adds ids such as C000001 in the given order."""
+    out = with_rank(rows, [F.col(c).asc() for c in order], "_number")
+    return out.withColumn(name, F.format_string(f"C%0{width}d", "_number")).drop("_number")
