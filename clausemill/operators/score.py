@@ -86,6 +86,7 @@ def combine(modal: Column, cons: Column, cond: Column, amp: Column) -> Column:
 
 
 def rounded(score: Column) -> Column:
+    """Four decimals of the shortest decimal form, half up."""
     return F.round(score, 4)
 
 
