@@ -62,23 +62,42 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), HASH_BITS // 4, "0")), "")
 
 
-def followers(docs: DataFrame, width: int = 256, fan: int = 4096) -> DataFrame:
-    """Rows (key, text, next_text, print, next_print): each row with the next one in descending doc_id.
+def _buckets(rows: DataFrame, target: int, coarse: int, fine: int) -> Column:
+    """Bucket number of a row by its key: at most ``coarse * fine`` buckets, in key order.
+
+    Approximate quantiles part the keys into intervals of about equal row counts, each
+    of which is cut evenly; so far-off ids only concern their own interval.
+    """
+    marks = F.percentile_approx("key", F.array(*(F.lit(i / coarse) for i in range(1, coarse))), F.lit(1000))
+    stats = rows.agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), marks.alias("marks")).first()
+    if not stats.n:
+        return F.lit(0).cast("bigint")
+    starts = sorted({stats.low, *stats.marks})
+    parts = max(1, min(fine, -(-stats.n // (coarse * target))))
+    out = None
+    for i, (a, b) in reversed(list(enumerate(zip(starts, [*starts[1:], stats.high + 1], strict=True)))):
+        width = max(1, -(-(b - a) // parts))
+        own = F.expr(f"{i * parts}L + least({parts - 1}L, (key - cast('{a}' as bigint)) div {width}L)")
+        out = own if out is None else F.when(F.col("key") < F.lit(b), own).otherwise(out)
+    return out
+
+
+def followers(docs: DataFrame, target: int = 256, coarse: int = 64, fine: int = 1024) -> DataFrame:
+    """Rows (doc_id, text, print, next_text, next_print): each row with the next one in descending doc_id.
 
     Rows that share a doc_id come in order of their text; a null doc_id comes last;
-    after the last row comes the first.  Rows are dealt by doc_id div ``width``; each
-    bucket also gets a copy of the row that begins the next bucket, so one shuffle of
-    the texts is enough and no task sees more than its buckets.  Which bucket is next
-    is found on (bucket) rows alone, in groups of ``fan``.
+    after the last row comes the first.  Rows are dealt into buckets of consecutive
+    ids, and each bucket also gets a copy of the row that begins the next bucket, so
+    one shuffle of the texts is enough.  Which rows those are is a table of one row a
+    bucket, at most ``coarse * fine`` = 65,536 rows of two numbers (1 MB), and so it may
+    be broadcast at any size of the input.
     """
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("bigint"))
-    rows = docs.select(key.alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("bucket", F.expr(f"key div {width}"))
-    heads = rows.groupBy("bucket").agg(F.max("key").alias("head")).withColumn("super", F.expr(f"bucket div {fan}"))
-    inside = F.expr("lead(head) over (partition by super order by bucket desc)")
-    tops = heads.groupBy("super").agg(F.max("head").alias("top"))
-    tops = tops.selectExpr("super", "coalesce(lead(top) over (order by super desc), max(top) over ()) as next_top")
-    following = heads.withColumn("inside", inside).join(tops, "super").select(F.col("bucket").alias("to_bucket"), F.coalesce("inside", "next_top").alias("key"))
-    copies = rows.drop("bucket").join(following, "key").select("key", "doc_id", "text", F.col("to_bucket").alias("bucket"), F.lit(1).alias("copy"))
+    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 62)).cast("bigint"))
+    rows = docs.select(key.alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("bucket", _buckets(rows.select("key"), target, coarse, fine))
+    heads = rows.groupBy("bucket").agg(F.max("key").alias("head"))
+    following = heads.selectExpr("bucket as to_bucket", "coalesce(lead(head) over (order by bucket desc), max(head) over ()) as key")
+    copies = rows.select("key", "doc_id", "text").join(F.broadcast(following), "key").select("key", "doc_id", "text", F.col("to_bucket").alias("bucket"), F.lit(1).alias("copy"))
     dealt = rows.select("key", "doc_id", "text", "bucket", F.lit(0).alias("copy")).unionByName(copies).withColumn("print", sketch(F.col("text")))
     order = "over (partition by bucket order by copy, key desc, text)"
     return dealt.withColumn("next", F.expr(f"lead(struct(text, print)) {order}")).where("copy = 0").select("doc_id", "text", "print", F.col("next.text").alias("next_text"), F.col("next.print").alias("next_print"))
