@@ -126,6 +126,10 @@ def blocks(page: str) -> list[Block]:
             if tag == "hr":
                 flush()
             continue
+        if tag in RAW:  # content up to the end tag is no markup, and no text of the page
+            end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
+            at = end.end() if end else n
+            continue
         flush()
         anchors = 0
         if tag in P_CLOSERS:
@@ -144,10 +148,6 @@ def blocks(page: str) -> list[Block]:
                 if stack[k][0] in names:
                     while len(stack) > k:
                         pop()
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
-            continue
         if m[3].endswith("/") and tag in ("svg", "path"):
             continue
         bad, label = _noise(tag, m[3])

@@ -94,7 +94,7 @@ def _digits(text: str) -> bool:
 class Potentials:
     """Log potentials of the field."""
 
-    unary: tuple[float, float, float] = (2.0, 0.4, -1.5)  # of a loose email, phone and card candidate's own kind
+    unary: tuple[float, float, float, float] = (2.0, 0.4, -1.5, 2.0)  # of a loose email, phone and card candidate's own kind, and of a card that passes Luhn
     chain: float = 0.2  # neighbours within ``reach`` characters with the same label other than none
     reach: int = 80
     skip: float = 2.5  # repeated or similar nodes with the same label
@@ -158,13 +158,13 @@ def spans(text: str | None, base: list[Span] | None = None, potentials: Potentia
     nodes = sorted([(a, b, k, True) for k, a, b in base] + [(a, b, k, False) for k, a, b in loose])
     labels = len(KINDS) + 1
     unary = np.full((len(nodes), labels), -30.0)
-    own = dict(zip(("email", "phone", "card"), potentials.unary, strict=True))
-    for i, (_, _, kind, observed) in enumerate(nodes):
+    own = dict(zip(("email", "phone", "card", "luhn"), potentials.unary, strict=True))
+    for i, (a, b, kind, observed) in enumerate(nodes):
         if observed:
             unary[i, 1 + KINDS.index(kind)] = 30.0
         else:
             unary[i, 0] = 0.0
-            unary[i, 1 + KINDS.index(kind)] = own[kind]
+            unary[i, 1 + KINDS.index(kind)] = own["luhn" if kind == "card" and luhn(_NO_DIGIT.sub("", text[a:b])) else kind]
     groups: dict[str, list[int]] = {}
     for i, (a, b, _, _) in enumerate(nodes):
         for key in keys(text[a:b]):
