@@ -308,6 +308,19 @@ class PieceEncoder:
         flat, count = self.pieces.take(at)
         return flat, np.diff(segments(count)[segments(lengths)])
 
+    def chunks(self, text: str) -> list[str]:
+        """The text cut before each run of white space; chunks encode independently."""
+        return _CHUNK.findall(text)
+
+    def count_chunks(self, chunks: list[str]) -> list[int]:
+        """Id counts of chunks."""
+        if len(self.table) > self.max_pieces:
+            self.clear()
+        index = self.table.__getitem__
+        at = [index((c,)) for c in chunks]
+        self._learn()
+        return self.pieces.count[np.array(at, np.int64)].tolist()
+
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """Texts of consecutive id runs; malformed UTF-8 becomes U+FFFD."""
         spelled = self.merges.spelled

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clausemill.llm import fingerprints, html_text, language, ngram_join, packing, pii, quality, token_digests, token_files
+from clausemill.llm import fingerprints, html_text, language, ngram_join, packing, pii, quality, token_counts, token_digests, token_files
 from clausemill.llm.common import read
 
 
@@ -20,6 +20,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(docs, quality.plan(docs, quality.rules()))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every whole text, before and after edits at a quarter, half and three quarters of it."""
+    return token_counts.edited_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited(read(spark, sf_dir, "documents"))
 
@@ -50,7 +55,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality, op4_fingerprints, op5_pii, op6_token_files, op7_bpe, op8_language, op9_html, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_packing, op2_quality, op3_token_counts, op4_fingerprints, op5_pii, op6_token_files, op7_bpe, op8_language, op9_html, op10_ngram_join)}
 
 
 #: op2: lists of words and lines per text; windows by position.
