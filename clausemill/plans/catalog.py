@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as T
+from clausemill.functions.dom import strip_html_dom
 from clausemill.functions.lexicon import FIXTURE, LABELS, POLICY, Lexicon
 from clausemill.operators import clean, ngrams, rank, report, sample, score, segment, vectors
 
@@ -61,6 +62,8 @@ _text_query("t07_is_html", T.is_html, HTML, pages, "page_id", "html", "is_html")
 _text_query("t09_strip_html", T.strip_html, STRIPPED, pages, "page_id", "html")
 _text_query("t10_strip_scraped", T.strip_scraped, SCRAPED, pages, "page_id", "html")
 
+_add("t08_strip_html_dom", lambda s, d: pages(s, d).select("page_id", strip_html_dom(F.col("html")).alias("text")))
+
 REPEATED = r"""
 WITH l AS (SELECT doc_id, unnest(string_split({text}, chr(10))) AS line, generate_subscripts(string_split({text}, chr(10)), 1) AS i FROM documents),
 s AS (SELECT doc_id, i, line, regexp_replace(line, '^\s+|\s+$', '', 'g') AS t FROM l),

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from clausemill.functions import dom
 from clausemill.functions import text as T
 from clausemill.functions.lexicon import FEATURES, POLICY
 from clausemill.operators import clean, score, segment
@@ -88,6 +89,11 @@ def test_text_cleaning(spark):
     assert apply(spark, ["the rules must be read"], lambda c: T.content_tokens(c, ["the", "be", "must"], ("must",), {"rules": "rule"})) == [["rule", "must", "read"]]
 
 
+def test_dom(spark):
+    page = "<html><header>h</header><p>a &amp; <b>b</b></p><script>x</script><nav><p>n</p></nav>c"
+    assert apply(spark, [page, None, "plain"], dom.strip_html_dom) == ["a & \nb\nc", "", "plain"]
+
+
 def segments(spark, text, f):
     return [tuple(c) for c in apply(spark, [text], f)[0]]
 
