@@ -161,23 +161,60 @@ class Merges:
         return self.pattern.findall(piece)
 
 class _Index(dict):
-    """Numbers its keys in the order in which they are first asked for."""
+    """Numbers its keys in the order in which they are first asked for, and lists those that are new."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list = []
 
     def __missing__(self, key):
         n = self[key] = len(self)
+        self.fresh.append(key)
         return n
 
+    def take_fresh(self) -> list:
+        out, self.fresh = self.fresh, []
+        return out
+
+
+class _Growing:
+    """An array that grows at the end, in amortised constant time."""
+
+    def __init__(self, kind):
+        self.data, self.size = np.zeros(1024, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        need = self.size + len(values)
+        if need > len(self.data):
+            more = np.zeros(max(need, len(self.data) * 3 // 2), self.data.dtype)
+            more[: self.size] = self.data[: self.size]
+            self.data = more
+        self.data[self.size : need] = values
+        self.size = need
+
 
 class _Runs:
     """Numbered runs of ids that grow at the end."""
 
     def __init__(self):
-        self.flat, self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._flat, self._start, self._count = _Growing(np.int32), _Growing(np.int64), _Growing(np.int64)
+
+    @property
+    def flat(self) -> np.ndarray:
+        return self._flat.data[: self._flat.size]
+
+    @property
+    def start(self) -> np.ndarray:
+        return self._start.data[: self._start.size]
+
+    @property
+    def count(self) -> np.ndarray:
+        return self._count.data[: self._count.size]
 
     def extend(self, flat: np.ndarray, count: np.ndarray) -> None:
-        self.start = np.concatenate((self.start, len(self.flat) + segments(count)[:-1]))
-        self.flat = np.concatenate((self.flat, flat.astype(np.int32)))
-        self.count = np.concatenate((self.count, count))
+        self._start.add(self._flat.size + segments(count)[:-1])
+        self._flat.add(flat)
+        self._count.add(count)
 
     def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         count = self.count[at]
@@ -203,8 +240,12 @@ class PieceEncoder:
         self.merges, self.max_pieces = merges, max_pieces
         self.clear()
 
+    @property
+    def odd(self) -> np.ndarray:
+        return self._odd.data[: self._odd.size]
+
     def clear(self) -> None:
-        self.table, self.pieces, self.odd = _Index(), _Runs(), np.zeros(0, bool)
+        self.table, self.pieces, self._odd = _Index(), _Runs(), _Growing(bool)
         self.vocabulary, self.known = _Index(), _Runs()
 
     def _words(self, words: list[str], budget: int = 1 << 16) -> None:
@@ -227,13 +268,12 @@ class PieceEncoder:
             self.known.extend(np.concatenate(ids), np.concatenate(counts))
 
     def _learn(self) -> None:
-        m, known = self.merges, len(self.pieces.count)
-        if len(self.table) == known:
+        m, keys = self.merges, self.table.take_fresh()
+        if not keys:
             return
-        keys = list(self.table)[known:] if known else list(self.table)
         follow = not m.words  # (piece,) is a piece as it is; any other follows a space
         odd = np.zeros(len(keys), bool)
-        index, old = self.vocabulary.__getitem__, len(self.known.count)
+        index = self.vocabulary.__getitem__
         at: list[int] = []
         sizes: list[int] = []
         add, size, lead, plain = at.append, sizes.append, " " if follow else "", follow or None
@@ -264,7 +304,7 @@ class PieceEncoder:
             else:
                 at += map(index, m.cut(m.normal(key)))
             size(len(at) - before)
-        fresh = list(self.vocabulary)[old:]
+        fresh = self.vocabulary.take_fresh()
         if any(isinstance(w, tuple) for w in fresh):  # added tokens: learnt in order, each as one id
             for w in fresh:
                 if isinstance(w, tuple):
@@ -276,7 +316,7 @@ class PieceEncoder:
         flat, count = self.known.take(np.array(at, np.int64))
         ends = segments(count)[segments(np.array(sizes, np.int64))]
         self.pieces.extend(flat, np.diff(ends))
-        self.odd = np.concatenate((self.odd, odd))
+        self._odd.add(odd)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts (int32), and each text's id count."""

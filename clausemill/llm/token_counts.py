@@ -8,8 +8,8 @@ touches and one on either side, encodes those, and updates the sums on the way t
 root.  A page that grows too large makes the tree be laid out again, without encoding.
 
 Null text counts as empty: no segments, no tokens.  Offsets are code points and are
-clipped to the text.  Row-local: no shuffle, and a task holds the tree of one document
-at a time beside the bounded piece table.
+clipped to the text.  Row-local: no shuffle, and a task holds the trees of one step of
+texts beside the bounded piece table.
 """
 
 from __future__ import annotations
@@ -93,6 +93,11 @@ class TokenTree:
 
     def edit(self, start: int, end: int, replacement: str) -> None:
         """Replaces the characters from start to end."""
+        plan = self.plan(start, end, replacement)
+        self.commit(plan, self.pieces.count_chunks(plan[-1]))
+
+    def plan(self, start: int, end: int, replacement: str) -> tuple:
+        """What an edit changes: pages, their segments and counts, and the segments to put in, which are still to be counted."""
         start = max(0, min(start, self.n_chars))
         end = max(start, min(end, self.n_chars))
         first, inner = self._find(start)
@@ -120,12 +125,14 @@ class TokenTree:
             a -= 1
             at -= len(segments[a])
         if b < len(segments):
-            to += len(segments[b])
             b += 1
         old = "".join(segments[a:b])
-        fresh = self.pieces.chunks(old[: start - at] + replacement + old[end - at :])
+        return left, right, segments, counts, a, b, self.pieces.chunks(old[: start - at] + replacement + old[end - at :])
+
+    def commit(self, plan: tuple, fresh_counts: list[int]) -> None:
+        left, right, segments, counts, a, b, fresh = plan
         self.encoded += len(fresh)
-        segments[a:b], counts[a:b] = fresh, self.pieces.count_chunks(fresh)
+        segments[a:b], counts[a:b] = fresh, fresh_counts
         n = right - left + 1
         share = -(-len(segments) // n)
         if share > PAGE:
@@ -136,6 +143,16 @@ class TokenTree:
             self._set(left + k, segments[k * share : (k + 1) * share], counts[k * share : (k + 1) * share])
 
 
+def edit_all(trees: list[TokenTree], edits: list[list[Edit]], pieces: PieceEncoder) -> None:
+    """Applies each tree's edits in order; the segments of one round are counted together."""
+    for k in range(max(map(len, edits), default=0)):
+        plans = [(t, t.plan(*own[k])) for t, own in zip(trees, edits, strict=True) if k < len(own)]
+        counts, at = pieces.count_chunks([c for _, p in plans for c in p[-1]]), 0
+        for t, p in plans:
+            t.commit(p, counts[at : at + len(p[-1])])
+            at += len(p[-1])
+
+
 def spread_edits(n_chars: int) -> list[Edit]:
     """Three edits of a text, the last place first: an insertion, a deletion, a replacement."""
     return [(3 * n_chars // 4, 3 * n_chars // 4 + 8, "-x-"), (n_chars // 2, n_chars // 2 + 16, ""), (n_chars // 4, n_chars // 4, " [edited] ")]
@@ -153,14 +170,13 @@ def edited_counts(docs: DataFrame, tokenizer: str, edits: Callable[[int], list[E
             texts = batch.column("text").to_pylist()
             cut = [pieces.chunks(t or "") for t in texts]
             counts = pieces.count_chunks([c for own in cut for c in own])
-            rows, at = [], 0
+            trees, at = [], 0
             for own in cut:
-                tree = TokenTree(own, counts[at : at + len(own)], pieces)
+                trees.append(TokenTree(own, counts[at : at + len(own)], pieces))
                 at += len(own)
-                before = (tree.n_chars, tree.n_segments, tree.n_tokens)
-                for edit in edits(tree.n_chars):
-                    tree.edit(*edit)
-                rows.append((*before, tree.n_chars, tree.n_tokens, tree.encoded))
+            before = [(t.n_chars, t.n_segments, t.n_tokens) for t in trees]
+            edit_all(trees, [edits(t.n_chars) for t in trees], pieces)
+            rows = [(*b, t.n_chars, t.n_tokens, t.encoded) for b, t in zip(before, trees, strict=True)]
             cols = zip(*rows, strict=True) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols)], [c.split()[0] for c in COLUMNS.split(", ")])
 
