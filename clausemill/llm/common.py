@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Characters and rows that one Python step takes at most (one longer text is a step of its own).
-STEP_CHARS, STEP_ROWS = 4_000_000, 2_000
+#: Bytes of text and rows that one Python step takes at most (one longer text is a step of its own).
+STEP_BYTES, STEP_ROWS = 1_000_000, 2_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,17 +22,29 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def steps(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in steps of bounded text size, whatever Spark put into a batch."""
     for batch in batches:
-        sizes = [len(x) if x else 0 for x in batch.column(text).to_pylist()]
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
         at = 0
         while at < len(sizes):
             to, total = at, 0
-            while to < len(sizes) and (to == at or to - at < STEP_ROWS and total + sizes[to] <= STEP_CHARS):
+            while to < len(sizes) and (to == at or to - at < STEP_ROWS and total + sizes[to] <= STEP_BYTES):
                 total += sizes[to]
                 to += 1
             yield batch.slice(at, to - at)
             at = to
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000):
+    """Jobs started inside send at most so many rows at once to Python; for tables with wide binary columns."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir; a temporary one where that is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)

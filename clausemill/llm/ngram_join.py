@@ -5,21 +5,24 @@ its distinct shingles of four words (with fewer words the whole sequence, withou
 words nothing).  Two texts link when their sets' Jaccard similarity reaches the
 threshold (85 in a hundred).  Components of links come out, none is lost:
 
-1. Texts with equal sets are one node; everything below works on distinct sets.
+1. Every text's set is computed once and written to the shared folder; texts with
+   equal sets are one node, and everything below works on distinct sets.
 2. An R-tree over all count vectors would meet nearly all pairs, as vectors of
    unrelated texts of one size lie close together.  So sets are first dealt by exact
    prefix keys: in a global order of shingles, two linking sets share one of their
    first ``n - ceil(0.85 n) + 1``.  The order puts shingles last that many texts share
-   (found by counting; a bounded list, which affects cost only).
-3. Along each key's sets by size, neighbours are verified first.  What that joins needs
-   no further pairs, so groups of thousands of near copies stay linear.
+   (found by counting; a bounded list, which affects cost only).  Keys travel in
+   packed blobs; those without two sets of sizes that may link are dropped at once.
+3. Along each key's sets by size, neighbours are verified first.  What that joins
+   needs no further pairs, so groups of thousands of near copies stay linear.
 4. The sets of each key and size class are indexed as points in an R-tree: shingles
    are hashed into groups, group counts are the coordinates.  The overlap of two sets
    is at most the sum of their coordinates' minima, that of two boxes at most the sum
    of their upper corners' minima; both are held against the overlap that the
    threshold asks for.  Nodes of one component are skipped.  Large groups are dealt
    in pairs of blocks, so that a task holds two blocks at most.
-5. Surviving pairs are verified on the whole sets.
+5. Surviving pairs meet the same bound over more groups, and what is left is verified
+   on the whole sets, which only those pairs fetch.
 
 Null texts count as empty; empty sets link with nothing; rows that share a doc_id
 count as one document each.  An empty table gives an empty result.
@@ -27,18 +30,20 @@ count as one document each.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausemill.llm.common import materialise, steps
+from clausemill.llm.common import materialise, small_batches, steps
 from clausemill.llm.components import components
 
 WORDS, PERCENT = 4, 85
-GROUPS, LEAF, BLOCK = 32, 64, 8_192
-HOT_BITS, HOT_MOST, HOT_LEAST = 22, 1 << 17, 24
+GROUPS, WIDE, LEAF, BLOCK = 32, 256, 64, 8_192
+HOT_BITS, HOT_MOST = 22, 1 << 17
 SEEN_BITS = 24
 
 
@@ -53,26 +58,37 @@ _words = _Hashes()
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text."""
-    if len(_words) > 600_000:
+    if len(_words) > 200_000:
         _words.clear()
     index = _words.__getitem__
-    rows = [list(map(index, t.encode("utf-8", "surrogatepass").lower().split())) if t else [] for t in texts]
-    out = []
-    for row in rows:
-        n = len(row)
-        if not n:
+    rows = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
+    lengths = list(map(len, rows))
+    flat = np.fromiter(map(index, chain.from_iterable(rows)), np.uint64, sum(lengths))
+    out, at = [], 0
+    many = np.full(max(0, len(flat) - WORDS + 1), WORDS, np.uint64)
+    for i in range(WORDS if len(many) else 0):
+        many = _mix(many, flat[i : i + len(many)])
+    for n in lengths:
+        if n >= WORDS:
+            h = many[at : at + n - WORDS + 1]
+            h.sort()
+            out.append(h[np.concatenate(([True], h[1:] != h[:-1]))])
+        elif n:
+            h = np.full(1, n, np.uint64)
+            for i in range(n):
+                h = _mix(h, flat[at + i : at + i + 1])
+            out.append(h)
+        else:
             out.append(np.zeros(0, np.uint64))
-            continue
-        w = np.array(row, np.uint64)
-        m = max(1, n - WORDS + 1)
-        h = np.full(m, min(n, WORDS), np.uint64)
-        for i in range(min(n, WORDS)):
-            h = (h ^ w[i : m + i]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(31)
-        out.append(np.unique(h))
+        at += n
     return out
 
 
+def _mix(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    h = (h ^ word) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ h >> np.uint64(31)
+
+
 def set_key(s: np.ndarray) -> int:
     """A signed 64-bit name of a set; 0 for the empty set."""
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else 0
@@ -93,35 +109,71 @@ def prefix(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 
 def vector(s: np.ndarray) -> np.ndarray:
+    """Group counts; the largest number of the type stands for any count from there on."""
     return np.minimum(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 65535).astype(np.uint16)
 
 
-def hot_slots(docs: DataFrame) -> np.ndarray:
+def wide_vector(s: np.ndarray) -> np.ndarray:
+    """Counts over more groups, for pairs that the tree lets pass."""
+    return np.minimum(np.bincount((s & np.uint64(WIDE - 1)).astype(np.int64), minlength=WIDE), 255).astype(np.uint8)
+
+
+def both_vectors(s: np.ndarray) -> np.ndarray:
+    return np.concatenate((vector(s).view(np.uint8), wide_vector(s)))
+
+
+def shingled(docs: DataFrame) -> DataFrame:
+    """doc_id, set, n, shingles of every row; shingles only where a task meets a set first."""
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in steps(batches):
+            sets = shingle_sets(batch.column("text").to_pylist())
+            names = list(map(set_key, sets))
+            bodies = [None if not len(s) or x in seen or seen.add(x) else s.tobytes() for x, s in zip(names, sets, strict=True)]
+            if len(seen) > 2_000_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(bodies, pa.binary())], ["doc_id", "set", "n", "shingles"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set long, n long, shingles binary")
+
+
+def _bodies(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles of a batch in one array, and where each row's begin."""
+    column = batch.column("shingles")
+    data = column.buffers()[2]
+    at = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1 + column.offset)[column.offset :].astype(np.int64)
+    return np.frombuffer(data, np.uint64, at[-1] // 8) if data and at[-1] else np.zeros(0, np.uint64), at // 8
+
+
+def hot_slots(sets: DataFrame) -> np.ndarray:
     """Bitmap of the hash slots of the most common shingles; of fixed size.
 
-    A task reports the shingles that it meets four times and more among 4 million.
+    A task reports the shingles that it meets three times and more among a million.
     """
 
     def run(batches):
         held, size = [], 0
 
         def flush():
-            values, times = np.unique(np.concatenate(held), return_counts=True)
-            keep = times >= 4
-            return pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(times[keep], pa.int64())], ["shingle", "times"])
+            values = np.concatenate(held)
+            values.sort()
+            third = values[2:][values[2:] == values[:-2]] if len(values) > 2 else values[:0]
+            values, times = np.unique(third, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(times + 2, pa.int64())], ["shingle", "times"])
 
-        for batch in steps(batches):
-            for s in shingle_sets(batch.column("text").to_pylist()):
-                held.append(s)
-                size += len(s)
-            if size > 4_000_000:
+        for batch in batches:
+            flat, at = _bodies(batch)
+            held.append(flat[at[0] : at[-1]].copy())
+            size += len(held[-1])
+            if size > 1_000_000:
                 yield flush()
                 held, size = [], 0
         if held:
             yield flush()
 
-    counted = docs.select("text").mapInArrow(run, "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
-    top = counted.where(F.col("times") >= HOT_LEAST).orderBy(F.desc("times"), "shingle").limit(HOT_MOST).select("shingle").collect()
+    counted = sets.select("shingles").where("shingles is not null").mapInArrow(run, "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
+    top = counted.orderBy(F.desc("times"), "shingle").limit(HOT_MOST).select("shingle").collect()
     out = np.zeros(1 << HOT_BITS - 3, np.uint8)
     if top:
         slot = np.array([r.shingle for r in top], np.int64).view(np.uint64) >> np.uint64(64 - HOT_BITS)
@@ -129,38 +181,72 @@ def hot_slots(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def members(docs: DataFrame) -> DataFrame:
-    """doc_id, set, n: the name and size of every row's set."""
+_ENTRY = np.dtype([("key", "<u4"), ("n", "<u4"), ("set", "<i8")])
 
-    def run(batches):
-        for batch in steps(batches):
-            sets = shingle_sets(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(set_key, sets), pa.int64()), pa.array(map(len, sets), pa.int64())], ["doc_id", "set", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set long, n long")
+def _shared_keys(batches):
+    """key, set, n of the entries whose key has another set of a size that may link; blobs come sorted by part."""
+    part, held = None, []
 
+    def flush():
+        e = np.unique(np.concatenate(held))  # by key, then size
+        fits = (e["key"][1:] == e["key"][:-1]) & (100 * e["n"][:-1].astype(np.int64) >= PERCENT * e["n"][1:].astype(np.int64))
+        keep = np.zeros(len(e), bool)
+        keep[1:] |= fits
+        keep[:-1] |= fits
+        e = e[keep]
+        for at in range(0, len(e), 100_000):
+            own = e[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(own["key"].astype(np.int64) << 32 | part), pa.array(own["set"]), pa.array(own["n"].astype(np.int32))], ["key", "set", "n"])
 
-def prefix_keys(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """key, set, n for each prefix shingle of each distinct set, only where another set has the key too."""
+    for batch in batches:
+        for own, blob in zip(batch.column("part").to_pylist(), batch.column("entries").to_pylist(), strict=True):
+            if own != part and held:
+                yield from flush()
+                held = []
+            part = own
+            held.append(np.frombuffer(blob, _ENTRY))
+    if held:
+        yield from flush()
+
+
+def prefix_keys(sets: DataFrame, hot: np.ndarray, parts: int | None = None) -> DataFrame:
+    """key, set, n for the prefix shingles of distinct sets, only where another set of a fitting size has the key too.
+
+    A key is a part number and 32 bits of the shingle's hash; two shingles that meet
+    in a key cost a comparison, no more.  A task holds one part of ``parts`` (by
+    default sixteen for each shuffle partition).
+    """
+    parts = parts or 16 * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        seen: set[int] = set()
-        for batch in steps(batches):
-            keys, names, sizes = [], [], []
-            for s in shingle_sets(batch.column("text").to_pylist()):
-                if len(s) and (name := set_key(s)) not in seen:
-                    seen.add(name)
-                    own = prefix(s, hot)
-                    keys.append(own)
-                    names.append(np.full(len(own), name, np.int64))
-                    sizes.append(np.full(len(own), len(s), np.int32))
-            if len(seen) > 2_000_000:
-                seen.clear()
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(names)), pa.array(np.concatenate(sizes))], ["key", "set", "n"])
+        held, size = [], 0
+
+        def flush():
+            e = np.concatenate([x[1] for x in held])
+            own = np.concatenate([x[0] for x in held])
+            order = np.argsort(own, kind="stable")
+            e, own = e[order], own[order]
+            at = np.flatnonzero(np.diff(own, prepend=-1))
+            blobs = [e[a:b].tobytes() for a, b in zip(at, [*at[1:], len(e)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(own[at].astype(np.int64)), pa.array(blobs, pa.binary())], ["part", "entries"])
+
+        for batch in batches:
+            flat, at = _bodies(batch)
+            for name, a, b in zip(batch.column("set").to_pylist(), at[:-1], at[1:], strict=True):
+                own = prefix(flat[a:b], hot)
+                e = np.empty(len(own), _ENTRY)
+                e["key"], e["n"], e["set"] = own >> np.uint64(32), b - a, name
+                held.append(((own & np.uint64(0xFFFFFFFF)) % np.uint64(parts), e))
+                size += len(own)
+            if size > 400_000:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
 
-    rows = docs.select("text").mapInArrow(run, "key long, set long, n int").repartition("key")
-    return rows.withColumn("differ", F.expr("min(set) over (partition by key) <> max(set) over (partition by key)")).where("differ").drop("differ").dropDuplicates(["key", "set"])
+    blobs = sets.select("set", "shingles").where("shingles is not null").mapInArrow(run, "part long, entries binary")
+    return blobs.repartition("part").sortWithinPartitions("part").mapInArrow(_shared_keys, "key long, set long, n int")
 
 
 def _bitmap(sets: DataFrame) -> np.ndarray:
@@ -176,37 +262,32 @@ def _bitmap(sets: DataFrame) -> np.ndarray:
     return np.bitwise_or.reduce([np.frombuffer(p.bits, np.uint8) for p in parts] or [np.zeros(1 << SEEN_BITS - 3, np.uint8)])
 
 
-def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """set, vector, shingles of the wanted sets."""
+def _picked(sets: DataFrame, wanted: DataFrame, convert) -> DataFrame:
+    """set, body of the wanted sets (and of a few more): convert(shingles) as bytes."""
     bits = _bitmap(wanted)
 
     def run(batches):
-        seen: set[int] = set()
-        for batch in steps(batches):
-            names, vectors, bodies = [], [], []
-            for s in shingle_sets(batch.column("text").to_pylist()):
-                name = set_key(s)
-                at = name & (1 << SEEN_BITS) - 1
-                if len(s) and bits[at >> 3] >> 7 - (at & 7) & 1 and name not in seen:
-                    seen.add(name)
-                    names.append(name)
-                    vectors.append(vector(s).tobytes())
-                    bodies.append(s.tobytes())
-            if len(seen) > 2_000_000:
-                seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(vectors, pa.binary()), pa.array(bodies, pa.binary())], ["set", "vector", "shingles"])
+        for batch in batches:
+            names = batch.column("set").to_numpy(zero_copy_only=False)
+            at = names & (1 << SEEN_BITS) - 1
+            own = np.flatnonzero(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+            flat, ends = _bodies(batch)
+            bodies = [convert(flat[ends[i] : ends[i + 1]]).tobytes() for i in own]
+            yield pa.RecordBatch.from_arrays([pa.array(names[own]), pa.array(bodies, pa.binary())], ["set", "body"])
 
-    return docs.select("text").mapInArrow(run, "set long, vector binary, shingles binary").dropDuplicates(["set"]).join(wanted, "set", "left_semi")
+    return sets.select("set", "shingles").where("shingles is not null").mapInArrow(run, "set long, body binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame:
     """u, v (document representatives), overlap, total of the pairs (a, b) that link."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    whole = _picked(sets, wanted, lambda s: s).join(wanted, "set", "left_semi").dropDuplicates(["set"]).join(reps, "set")
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for u, v, x, y in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "x", "y")), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            rows, left, right = [], batch.column("x"), batch.column("y")
+            for i, (u, v) in enumerate(zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True)):
+                x, y = np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 total = len(x) + len(y) - both
                 if 100 * both >= PERCENT * total:
@@ -214,8 +295,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             cols = zip(*rows, strict=True) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["u", "v", "overlap", "total"])
 
-    a = sets.select(F.col("set").alias("a"), F.col("rep").alias("u"), F.col("shingles").alias("x"))
-    b = sets.select(F.col("set").alias("b"), F.col("rep").alias("v"), F.col("shingles").alias("y"))
+    a = whole.select(F.col("set").alias("a"), F.col("rep").alias("u"), F.col("body").alias("x"))
+    b = whole.select(F.col("set").alias("b"), F.col("rep").alias("v"), F.col("body").alias("y"))
     return pairs.join(a, "a").join(b, "b").select("u", "v", "x", "y").mapInArrow(run, "u long, v long, overlap long, total long")
 
 
@@ -325,11 +406,10 @@ def _group_pairs(batches):
         yield from handle(pa.Table.from_batches(held))
 
 
-def candidates(keys: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+def candidates(keys: DataFrame, vectors: DataFrame, labels: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of sets in different components that an R-tree's bound lets pass."""
-    known = sets.select("set", "vector", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("set", "vector", F.coalesce("component", "rep").alias("label"))
+    known = vectors.select("set", "rep", "vector").join(labels, F.col("rep") == F.col("node"), "left").select("set", "vector", F.coalesce("component", "rep").alias("label"))
     rows = keys.join(known, "set")
-    rows = rows.withColumn("differ", F.expr("min(label) over (partition by key) <> max(label) over (partition by key)")).where("differ").drop("differ")
     # linking sets are in the same size class or in neighbouring ones
     home = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / PERCENT)) * 1.0000001)).cast("int")
     rows = rows.withColumn("home", home).select("key", "set", "n", "vector", "label", F.explode(F.array("home", F.col("home") + 1)).alias("class"))
@@ -342,19 +422,41 @@ def candidates(keys: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame
     return dealt.mapInArrow(_group_pairs, "a long, b long").distinct()
 
 
+def _bounded(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and wide count vectors allow a link."""
+    a, b = (vectors.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"v_{x}")) for x in "ab")
+
+    def run(batches):
+        for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, WIDE).astype(np.int32) for c in ("v_a", "v_b"))
+            low = np.minimum(np.where(x == 255, 1 << 22, x), np.where(y == 255, 1 << 22, y)).sum(1, dtype=np.int64)
+            n, m = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n_a", "n_b"))
+            yield batch.select(["a", "b"]).filter(pa.array(low >= need(n, m)))
+
+    return pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(run, "a long, b long")
+
+
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(memberships: doc_id, set, n, rep; links: u, v, overlap, total between representatives, enough to span every component)."""
-    docs = docs.select("doc_id", "text")
-    own = materialise(members(docs), "members")
-    reps = own.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"))
-    keys = materialise(prefix_keys(docs, hot_slots(docs)), "keys")
-    wanted = keys.select("set").distinct()
-    sets = materialise(contents(docs, wanted).join(reps, "set"), "sets")
-    chain = keys.selectExpr("set as b", "n", "lag(set) over (partition by key order by n, set) as a", "lag(n) over (partition by key order by n, set) as m")
-    near = chain.where(f"a is not null and 100 * m >= {PERCENT} * n").selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct()
-    first = materialise(verified(near, sets), "links")
-    second = verified(candidates(keys, sets, components(first)), sets)
-    return own.join(reps, "set", "left"), materialise(first.unionByName(second), "links")
+    with small_batches(docs.sparkSession):
+        return _links(docs)
+
+
+def _links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    sets = materialise(shingled(docs), "sets")
+    own = sets.select("doc_id", "set", "n")
+    reps = own.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
+    keys = materialise(prefix_keys(sets, hot_slots(sets)), "keys")
+    named = keys.select("set").distinct()
+    both = _picked(sets, named, both_vectors).join(named, "set", "left_semi").dropDuplicates(["set"]).join(reps, "set")
+    vectors = materialise(both.select("set", "rep", "n", F.substring("body", 1, 2 * GROUPS).alias("vector"), F.substring("body", 2 * GROUPS + 1, WIDE).alias("wide")), "vectors")
+    by_size = "over (partition by key order by n, set)"
+    chained = keys.selectExpr("set as y", "n", f"lag(set) {by_size} as x", f"lag(n) {by_size} as m").where(f"x is not null and 100 * m >= {PERCENT} * n")
+    near = materialise(_bounded(chained.selectExpr("least(x, y) as a", "greatest(x, y) as b").distinct(), vectors), "near")
+    first = materialise(verified(near, sets, reps.drop("n")), "links")
+    others = candidates(keys, vectors, components(first)).join(near, ["a", "b"], "left_anti")
+    second = materialise(_bounded(others, vectors), "pairs")
+    return own.join(reps.drop("n"), "set", "left"), materialise(first.unionByName(verified(second, sets, reps.drop("n"))), "links")
 
 
 def classes(docs: DataFrame) -> DataFrame:
