@@ -21,8 +21,7 @@ threshold (85 in a hundred).  Components of links come out, none is lost:
    of their upper corners' minima; both are held against the overlap that the
    threshold asks for.  Nodes of one component are skipped.  Large groups are dealt
    in pairs of blocks, so that a task holds two blocks at most.
-5. Surviving pairs meet the same bound over more groups, and what is left is verified
-   on the whole sets, which only those pairs fetch.
+5. Surviving pairs are verified on the whole sets, which only they fetch.
 
 Null texts count as empty; empty sets link with nothing; rows that share a doc_id
 count as one document each.  An empty table gives an empty result.
@@ -42,7 +41,7 @@ from clausemill.llm.common import materialise, small_batches, steps
 from clausemill.llm.components import components
 
 WORDS, PERCENT = 4, 85
-GROUPS, WIDE, LEAF, BLOCK = 32, 256, 64, 8_192
+GROUPS, LEAF, BLOCK = 128, 64, 8_192
 HOT_BITS, HOT_MOST = 22, 1 << 17
 SEEN_BITS = 24
 
@@ -109,17 +108,13 @@ def prefix(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 
 def vector(s: np.ndarray) -> np.ndarray:
-    """Group counts; the largest number of the type stands for any count from there on."""
-    return np.minimum(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 65535).astype(np.uint16)
+    """Group counts; 255 stands for any count from there on."""
+    return np.minimum(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8)
 
 
-def wide_vector(s: np.ndarray) -> np.ndarray:
-    """Counts over more groups, for pairs that the tree lets pass."""
-    return np.minimum(np.bincount((s & np.uint64(WIDE - 1)).astype(np.int64), minlength=WIDE), 255).astype(np.uint8)
-
-
-def both_vectors(s: np.ndarray) -> np.ndarray:
-    return np.concatenate((vector(s).view(np.uint8), wide_vector(s)))
+def open_ended(v: np.ndarray) -> np.ndarray:
+    """Vectors as upper bounds: 255 becomes more than any text has."""
+    return np.where(v == 255, 1 << 24, v.astype(np.int32))
 
 
 def shingled(docs: DataFrame) -> DataFrame:
@@ -356,9 +351,9 @@ def passing(vectors, sizes, labels, i, j):
     keep = (labels[i] != labels[j]) & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b))
     i, j = i[keep], j[keep]
     out = np.ones(len(i), bool)
-    for at in range(0, len(i), 65_536):
-        own = slice(at, at + 65_536)
-        out[own] = np.minimum(vectors[i[own]], vectors[j[own]]).sum(1) >= need(sizes[i[own]], sizes[j[own]])
+    for at in range(0, len(i), 16_384):
+        own = slice(at, at + 16_384)
+        out[own] = np.minimum(vectors[i[own]], vectors[j[own]]).sum(1, dtype=np.int64) >= need(sizes[i[own]], sizes[j[own]])
     return i[out], j[out]
 
 
@@ -369,8 +364,7 @@ def _group_pairs(batches):
     def handle(table: pa.Table):
         group = table.column("group").to_numpy()
         names, sizes, labels = (table.column(c).to_numpy().astype(np.int64) for c in ("set", "n", "label"))
-        raw = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.uint16).reshape(-1, GROUPS).astype(np.int64)
-        vectors = np.where(raw == 65535, 1 << 40, raw)
+        vectors = open_ended(np.frombuffer(b"".join(table.column("vector").to_pylist()), np.uint8).reshape(-1, GROUPS))
         edge = np.flatnonzero(np.diff(group)) + 1
         starts, ends = np.concatenate(([0], edge)), np.concatenate((edge, [len(group)]))
         found = []
@@ -410,9 +404,10 @@ def candidates(keys: DataFrame, vectors: DataFrame, labels: DataFrame) -> DataFr
     """Distinct pairs (a, b) of sets in different components that an R-tree's bound lets pass."""
     known = vectors.select("set", "rep", "vector").join(labels, F.col("rep") == F.col("node"), "left").select("set", "vector", F.coalesce("component", "rep").alias("label"))
     rows = keys.join(known, "set")
-    # linking sets are in the same size class or in neighbouring ones
+    # large groups are dealt by size class; linking sets are in the same class or in neighbouring ones
     home = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / PERCENT)) * 1.0000001)).cast("int")
-    rows = rows.withColumn("home", home).select("key", "set", "n", "vector", "label", F.explode(F.array("home", F.col("home") + 1)).alias("class"))
+    rows = rows.withColumn("home", F.when(F.expr("count(*) over (partition by key)") > BLOCK, home))
+    rows = rows.select("key", "set", "n", "vector", "label", F.explode(F.when(F.col("home").isNull(), F.array(F.lit(-1))).otherwise(F.array("home", F.col("home") + 1))).alias("class"))
     block = F.expr(f"cast((row_number() over (partition by key, class order by n, set) - 1) div {BLOCK} as int)")
     blocks = F.expr(f"cast((count(*) over (partition by key, class) - 1) div {BLOCK} as int)")
     rows = rows.withColumn("block", block).withColumn("blocks", blocks)
@@ -423,15 +418,14 @@ def candidates(keys: DataFrame, vectors: DataFrame, labels: DataFrame) -> DataFr
 
 
 def _bounded(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and wide count vectors allow a link."""
-    a, b = (vectors.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"v_{x}")) for x in "ab")
+    """The pairs (a, b) whose sizes and count vectors allow a link."""
+    a, b = (vectors.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("vector").alias(f"v_{x}")) for x in "ab")
 
     def run(batches):
         for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, WIDE).astype(np.int32) for c in ("v_a", "v_b"))
-            low = np.minimum(np.where(x == 255, 1 << 22, x), np.where(y == 255, 1 << 22, y)).sum(1, dtype=np.int64)
+            x, y = (open_ended(np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, GROUPS)) for c in ("v_a", "v_b"))
             n, m = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n_a", "n_b"))
-            yield batch.select(["a", "b"]).filter(pa.array(low >= need(n, m)))
+            yield batch.select(["a", "b"]).filter(pa.array(np.minimum(x, y).sum(1, dtype=np.int64) >= need(n, m)))
 
     return pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(run, "a long, b long")
 
@@ -448,14 +442,13 @@ def _links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     reps = own.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
     keys = materialise(prefix_keys(sets, hot_slots(sets)), "keys")
     named = keys.select("set").distinct()
-    both = _picked(sets, named, both_vectors).join(named, "set", "left_semi").dropDuplicates(["set"]).join(reps, "set")
-    vectors = materialise(both.select("set", "rep", "n", F.substring("body", 1, 2 * GROUPS).alias("vector"), F.substring("body", 2 * GROUPS + 1, WIDE).alias("wide")), "vectors")
+    vectors = _picked(sets, named, vector).withColumnRenamed("body", "vector").join(named, "set", "left_semi").dropDuplicates(["set"])
+    vectors = materialise(vectors.join(reps, "set"), "vectors")
     by_size = "over (partition by key order by n, set)"
     chained = keys.selectExpr("set as y", "n", f"lag(set) {by_size} as x", f"lag(n) {by_size} as m").where(f"x is not null and 100 * m >= {PERCENT} * n")
     near = materialise(_bounded(chained.selectExpr("least(x, y) as a", "greatest(x, y) as b").distinct(), vectors), "near")
     first = materialise(verified(near, sets, reps.drop("n")), "links")
-    others = candidates(keys, vectors, components(first)).join(near, ["a", "b"], "left_anti")
-    second = materialise(_bounded(others, vectors), "pairs")
+    second = materialise(candidates(keys, vectors, components(first)).join(near, ["a", "b"], "left_anti"), "pairs")
     return own.join(reps.drop("n"), "set", "left"), materialise(first.unionByName(verified(second, sets, reps.drop("n"))), "links")
 
 
