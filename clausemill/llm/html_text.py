@@ -5,8 +5,10 @@ formatting does not count).  Parts that markup declares as no content (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) are
 left out.  For the rest, text length, punctuation and link text are summed per path;
 a path's ratio fuses characters and punctuation per block.  Ratios are smoothed over
-neighbouring blocks and thresholded against the best one; the container that the
-selected blocks share decides which blocks make up the article.
+neighbouring blocks and thresholded against the best one.  The innermost article or
+main that holds every selected block and every heading is kept whole; where none does,
+all selected paths, all headings and each article or main with selected text are kept.
+Blocks outside of article and main are left out if these hold half of the text.
 
 Character references are decoded, white space inside a block becomes one space, and
 blocks are joined in page order by line feeds.  Null html gives an empty text.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import html
 import math
+import os
 import re
 
 import pyarrow as pa
@@ -159,12 +162,18 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def _containers(path: tuple[str, ...]) -> list[int]:
+    """Places of the article and main steps of a path."""
+    return [i for i, s in enumerate(path) if s.split(".")[0] in CONTAINERS]
+
+
 def extract(page: str | None, share: float = 0.15, reach: int = 1) -> str:
     """Main text of a page; ``share`` is the threshold against the best smoothed ratio."""
     own = blocks(page or "")
     if not own:
         return ""
-    inside = [b for b in own if any(s.split(".")[0] in CONTAINERS for s in b[0])]
+    places = {p: _containers(p) for p in {b[0] for b in own}}
+    inside = [b for b in own if places[b[0]]]
     if inside and sum(len(b[1]) for b in inside) * 2 >= sum(len(b[1]) for b in own):
         own = inside
     sums: dict[tuple[str, ...], list[float]] = {}
@@ -178,26 +187,15 @@ def extract(page: str | None, share: float = 0.15, reach: int = 1) -> str:
     raw = [ratio[p] for p, _, _ in own]
     smooth = [sum(raw[max(0, i - reach) : i + reach + 1]) / len(raw[max(0, i - reach) : i + reach + 1]) for i in range(len(raw))]
     limit = share * max(smooth)
-    chosen: dict[tuple[str, ...], float] = {}
-    for (p, t, _), s in zip(own, smooth, strict=True):
-        if s >= limit and ratio[p] > 0:
-            chosen[p] = chosen.get(p, 0) + len(t)
+    chosen = {p for (p, _, _), s in zip(own, smooth, strict=True) if s >= limit and ratio[p] > 0}
     if not chosen:
         return ""
-    total = sum(chosen.values())
-    root: tuple[str, ...] = ()  # the deepest container of nearly all selected text
-    depth = 1
-    while True:
-        inner: dict[tuple[str, ...], float] = {}
-        for p, c in chosen.items():
-            if len(p) > depth:
-                inner[p[:depth]] = inner.get(p[:depth], 0) + c
-        best = max(inner, key=inner.get, default=None)
-        if best is None or inner[best] < 0.9 * total:
-            break
-        root, depth = best, depth + 1
-    bounded = any(s.split(".")[0] in CONTAINERS for s in root)
-    kept = [t for p, t, linked in own if p[: len(root)] == root and (bounded or p in chosen or p[-1].split(".")[0] in HEADINGS)]
+    wanted = chosen.union(p for p, _, _ in own if p and p[-1].split(".")[0] in HEADINGS)
+    shared = os.path.commonprefix(list(wanted))
+    roots = {shared[: at + 1] for at in _containers(shared)[-1:]}
+    if not roots:  # none holds it all: the outermost ones with selected text
+        roots = {p[: at + 1] for p in chosen for at in places[p][:1]}
+    kept = [t for p, t, _ in own if p in wanted or any(p[: at + 1] in roots for at in places[p])]
     return "\n".join(kept)
 
 

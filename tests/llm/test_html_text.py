@@ -36,3 +36,18 @@ def test_table(spark):
     for i, (_, want) in enumerate(CASES):
         assert (got[i].url, got[i].text, got[i].n_chars) == (f"u{i}", want, len(want))
     assert texts(pages.limit(0)).collect() == []
+
+
+LONG = "".join(f"<p>{i} {PARAGRAPH}</p>" for i in range(12))
+LINES = "\n".join(f"{i} {PARAGRAPH}" for i in range(12))
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<body><article><h1>T</h1><p class=lead>A short lead.</p><div class=body>{LONG}</div></article></body>", f"T\nA short lead.\n{LINES}"),
+    (f"<article><h1>T</h1><p>intro</p><ul>{LONG.replace('p>', 'li>')}</ul></article>", f"T\nintro\n{LINES}"),
+    (f"<body><main><h1>T</h1><p>By A. Writer</p><article>{LONG}</article></main></body>", f"T\nBy A. Writer\n{LINES}"),
+    (f"<body><div class=page><h1>T</h1><p class=lead>{PARAGRAPH}</p><div class=body>{LONG}</div></div></body>", f"T\n{PARAGRAPH}\n{LINES}"),
+    (f"<body><article class=a><h2>T</h2>{LONG}<dl><dt>k</dl></article><article class=b><p>{PARAGRAPH}</p><ul><li>x</ul></article></body>", f"T\n{LINES}\nk\n{PARAGRAPH}\nx"),
+])
+def test_an_inner_wrapper_does_not_cut_what_stands_beside_it(page, want):
+    assert extract(page) == want
