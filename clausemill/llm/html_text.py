@@ -3,7 +3,7 @@
 A page becomes a sequence of blocks, each with its root-to-leaf tag path (inline
 formatting does not count).  Parts that markup declares as no content (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) are
-left out.  For the rest, text length, punctuation and link text are summed per path;
+left out; names in a class or id only so far as ``_dropped`` lets them.  For the rest, text length, punctuation and link text are summed per path;
 a path's ratio fuses characters and punctuation per block.  Ratios are smoothed over
 neighbouring blocks and thresholded against the best one.  The innermost article or
 main that holds every selected block and every heading is kept whole; where none does,
@@ -40,42 +40,96 @@ P_CLOSERS = frozenset("address article aside blockquote center details dialog di
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Words of class and id that name what is no content.
 NOISE = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social menu menus nav navbar navigation breadcrumb breadcrumbs sidebar sidebars aside widget widgets related recommended footer header masthead comment comments commentlist reply replies respond disqus discussion pagination pager toolbar copyright disclaimer skip".split())
+#: A class that has, or has not, such a part: noise words after these do not count.
+FLAGS = frozenset("has no not with without".split())
+#: Words for the form of a part; what it is stands before them.
+FORMS = frozenset("list lists item items box boxes area areas wrap wrapper container holder section sections block blocks bar panel form forms thread group row inner outer top bottom left right content body text title link links button buttons icon icons post posts article articles entry entries story stories slot unit zone".split())
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _MARKS = re.compile(r"[.,;:!?…。，、]")
 
 
-def _noise(tag: str, attributes: str) -> tuple[bool, str]:
-    """Whether an element is declared as no content, and its class for the path."""
+def _named_noise(value: str, whole: bool) -> bool:
+    """Whether a name in a class or id says that the part is no content; ``whole``: by the word for what it is, not by any."""
+    if not NOISE.intersection(x.lower() for x in _NAME.findall(value)):
+        return False
+    for name in value.split():
+        words = [x.lower() for x in _NAME.findall(name)]
+        words = words[: next((i for i, x in enumerate(words) if x in FLAGS), None)]
+        if whole:
+            while words and (words[-1] in FORMS or words[-1].isdigit()):
+                words.pop()
+            words = words[-1:]
+        if NOISE.intersection(words):
+            return True
+    return False
+
+
+def _noise(tag: str, attributes: str, within: bool) -> tuple[bool, bool, str]:
+    """Whether an element is declared as no content, whether its names say so, and its class for the path; ``within`` an article or main."""
     if tag in DROPPED:
-        return True, ""
-    label = ""
+        return True, False, ""
+    names = {"class": "", "id": ""}
     if attributes:
         for key, *values in _ATTR.findall(attributes):
             key, value = key.lower(), "".join(values)
             if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-                return True, ""
+                return True, False, ""
             if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True, ""
+                return True, False, ""
             if key == "role" and value.lower() in ROLES:
-                return True, ""
-            if key in ("class", "id"):
-                if tag not in ("html", "body", "article", "main") and NOISE.intersection(x.lower() for x in _NAME.findall(value)):
-                    return True, ""
-                if key == "class":
-                    label = value.strip().lower()
-    return False, label
+                return True, False, ""
+            if key in names:
+                names[key] = value
+    label = names["class"].strip().lower()
+    if tag in ("html", "body"):
+        return False, False, label
+    if tag in CONTAINERS:
+        return False, _named_noise(names["class"], True), label
+    # in an article the ids of sections, headings and paragraphs are anchors
+    anchor = within and (tag not in ("div", "ul", "ol") or "section" in label.split())
+    return False, _named_noise(names["class"], within) or not anchor and _named_noise(names["id"], within), label
 
 
 Block = tuple[tuple[str, ...], str, int]  # path, text, characters of link text
 
 
+def _dropped(marks: list[tuple[int, str]], sizes: list[int]) -> list[bool]:
+    """Which marked elements (place of the one around, kind) are left out with all their text; ``sizes``: characters right inside each.
+
+    A noise name drops its part, unless the part holds a main; or it holds an article
+    or most of the text, and neither a main nor an article outside of all such parts
+    stands beside it.
+    """
+    n = len(marks)
+    size, noisy = list(sizes), [False] * n
+    for m in range(n - 1, 0, -1):
+        size[marks[m][0]] += size[m]
+    for m in range(1, n):
+        noisy[m] = marks[m][1] == "noise" or noisy[marks[m][0]]
+    mains, articles = ([int(kind == k and size[m] > 0) for m, (_, kind) in enumerate(marks)] for k in ("main", "article"))
+    around = [a + (b and not c) for a, b, c in zip(mains, articles, noisy, strict=True)]
+    beside = list(around)
+    for m in range(n - 1, 0, -1):
+        for counts in (mains, articles, beside):
+            counts[marks[m][0]] += counts[m]
+    out = [False] * n
+    for m in range(1, n):
+        up, kind = marks[m]
+        around[m] += around[up]
+        alone = beside[0] == beside[m] + around[up]
+        spared = mains[m] or alone and (articles[m] or 2 * size[m] > size[0])
+        out[m] = out[up] or kind == "noise" and not spared
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     """Text blocks outside of declared noise, in page order."""
-    out: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, path step, noise
+    out: list[tuple[Block, int]] = []
+    stack: list[tuple[str, bool, bool]] = []  # tag, noise, marked
     path: tuple[str, ...] = ()
+    marks, mark, within = [(0, "")], 0, 0  # elements that names or tags mark, the innermost open one, open articles
     noisy, links, anchors, parts = 0, 0, 0, []
 
     def flush():
@@ -83,14 +137,17 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((path, text, min(links, len(text))))
+                out.append(((path, text, min(links, len(text))), mark))
             parts.clear()
         links = 0
 
     def pop():
-        nonlocal noisy, path
-        _, _, bad = stack.pop()
+        nonlocal noisy, path, mark, within
+        tag, bad, marked = stack.pop()
         noisy -= bad
+        within -= tag in CONTAINERS
+        if marked:
+            mark = marks[mark][0]
         path = path[:-1]
 
     at, n = 0, len(page)
@@ -153,13 +210,21 @@ def blocks(page: str) -> list[Block]:
                         pop()
         if m[3].endswith("/") and tag in ("svg", "path"):
             continue
-        bad, label = _noise(tag, m[3])
-        step = f"{tag}.{label}" if label else tag
-        stack.append((tag, step, bad))
+        bad, named, label = _noise(tag, m[3], within > 0)
+        kind = (tag if not named else "") if tag in CONTAINERS else "noise" if named else ""
+        if kind:
+            marks.append((mark, kind))
+            mark = len(marks) - 1
+        stack.append((tag, bad, bool(kind)))
         noisy += bad
-        path = (*path, step)
+        within += tag in CONTAINERS
+        path = (*path, f"{tag}.{label}" if label else tag)
     flush()
-    return out
+    sizes = [0] * len(marks)
+    for (_, text, _), at in out:
+        sizes[at] += len(text)
+    dropped = _dropped(marks, sizes)
+    return [b for b, at in out if not dropped[at]]
 
 
 def _containers(path: tuple[str, ...]) -> list[int]:

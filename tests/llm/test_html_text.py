@@ -51,3 +51,21 @@ LINES = "\n".join(f"{i} {PARAGRAPH}" for i in range(12))
 ])
 def test_an_inner_wrapper_does_not_cut_what_stands_beside_it(page, want):
     assert extract(page) == want
+
+
+COMMENT = f"<article class=comment-body><p>{PARAGRAPH}</p></article>"
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<body><div class='layout has-sidebar'><article>{LONG}</article></div></body>", LINES),
+    (f"<body><div class='page no-sidebar'><p>{PARAGRAPH}</p></div><div class=with-comments><div>{LONG}</div></div></body>", f"{PARAGRAPH}\n{LINES}"),
+    (f"<body><div class=sidebar-layout><main>{LONG}</main><div class=sidebar><p>{PARAGRAPH}</p></div></div></body>", LINES),
+    (f"<body><div class=menu-page><div>{LONG}</div></div><p>{PARAGRAPH}</p></body>", f"{LINES}\n{PARAGRAPH}"),
+    (f"<article><h1>T</h1>{LONG}<section id=discussion><h2 id=cookies>D</h2><p>d.</p></section><section id=related-work><p>r.</p></section><div class=notice-period><p>n.</p></div><div class=section id=comments>c.</div></article>", f"T\n{LINES}\nD\nd.\nr.\nn.\nc."),
+    # what the names do declare stays out, also where comments are articles or longer than the article
+    (f"<body><article><p>{PARAGRAPH}</p></article><section id=comments>{COMMENT * 9}</section></body>", PARAGRAPH),
+    (f"<body><main><div>{LONG}</div><div id=comments class=comments-area>{COMMENT * 3}</div><div class='related-posts'><p>{PARAGRAPH}</p></div></main></body>", LINES),
+    (f"<main><article>{LONG}</article><div class=td-post-sharing>s</div><ul id=breadcrumbs-2><li>b</ul><div class='ad-300'>a</div></main>", LINES),
+])
+def test_noise_names_do_not_drop_the_page(page, want):
+    assert extract(page) == want
