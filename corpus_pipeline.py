@@ -15,11 +15,14 @@ from clausemill.llm.common import materialise, read
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language (no text, or no letters); a missing lang is filled with the prediction."""
-    filters = language.fit(docs)
-    if not filters.languages:  # no labels to learn from
-        return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = language.identify(docs, filters).where("lang_pred <> 'und'")
+    """Drops documents without a language (no text, no letters, or of no language that a filter knows); a missing lang is filled with the prediction.
+
+    A document whose own lang has no filter is not for the others to judge and needs letters only.
+    """
+    filters, letters = language.fit(docs), F.col("text").rlike(r"\p{L}")
+    if not filters.learnt:  # no labels to learn from
+        return docs.where(letters)
+    found = language.identify(docs, filters, floor=True).where((F.col("lang_pred") != "und") | ~F.col("lang").isin(filters.learnt) & letters)
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 
 

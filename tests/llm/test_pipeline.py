@@ -38,3 +38,13 @@ def test_stages_keep_the_columns(spark, tmp_path):
             out = stage(spark, docs, "")
             assert out.columns == docs.columns
         assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= docs.count()
+
+
+def test_language_stage_rejects_what_no_filter_knows(spark):
+    russian, greek = "это простой текст о погоде и старой мельнице у реки", "η παλιά πόλη δίπλα στο ποτάμι"
+    # 107 and 108 are held out, so nothing is learnt from them
+    more = [(100, russian, None, "s", 0), (107, f"{russian} и {russian} the", "en", "s", 0), (108, greek, "el", "s", 0), (103, "12 34", "el", "s", 0), (104, PROSE, None, "s", 0), (105, "the town hall", None, "s", 0)]
+    docs = spark.createDataFrame(rows() + more, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert {100, 107, 103}.isdisjoint(got) and [got[i] for i in (108, 104, 105)] == ["el", "en", "en"]
+    assert {i for i in got if i < 100} == {i for i, t, *_ in rows() if t and any(c.isalpha() for c in t)}
