@@ -115,7 +115,7 @@ class Ensemble:
         return Ensemble(tuple(meta.labels), meta.text, PipelineModel.load(f"{path}/features"), [GBTClassificationModel.load(f"{path}/boosted-{i}") for i in range(len(meta.labels))], LogisticRegressionModel.load(f"{path}/linear"), RandomForestClassificationModel.load(f"{path}/forest"))
 
 
-def fit(train: DataFrame, text: str, label: str = "risk_label", trees: int = 300, boosts: int = 20, depth: int = 8, n_words: int = 2000, n_chars: int = 1000, seed: int = 42) -> Ensemble:
+def fit(train: DataFrame, text: str, label: str = "risk_label", trees: int = 300, boosts: int = 300, depth: int = 8, n_words: int = 2000, n_chars: int = 1000, seed: int = 42) -> Ensemble:
     """Trains the three members on these rows (split and balance before)."""
     labels = tuple(sorted(r[label] for r in train.select(label).distinct().where(F.col(label).isNotNull()).collect()))
     features = fit_features(train, text, n_words, n_chars)
@@ -124,7 +124,7 @@ def fit(train: DataFrame, text: str, label: str = "risk_label", trees: int = 300
     boosted = []
     for i in range(len(labels)):
         own = ready.withColumn("_one", (F.col("_y") == i).cast("double"))
-        boosted.append(GBTClassifier(featuresCol="features", labelCol="_one", maxIter=boosts, maxDepth=min(depth, 5), stepSize=0.1, subsamplingRate=0.9, seed=seed).fit(own))
+        boosted.append(GBTClassifier(featuresCol="features", labelCol="_one", maxIter=boosts, maxDepth=depth, stepSize=0.1, subsamplingRate=0.9, featureSubsetStrategy="0.8", seed=seed).fit(own))
     linear = LogisticRegression(featuresCol="features", labelCol="_y", weightCol="_weight", regParam=0.01, maxIter=50, family="multinomial").fit(ready)
     forest = RandomForestClassifier(featuresCol="features", labelCol="_y", weightCol="_weight", numTrees=trees, minInstancesPerNode=2, maxDepth=depth, seed=seed).fit(ready)
     ready.unpersist()

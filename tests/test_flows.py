@@ -160,3 +160,17 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r.raw_text, r.risk_label) for r in spark.table("scored").collect()}
     assert got == {(r.raw_text, r.risk_label) for r in scored_stream(stamped).collect()} and got
     assert label_counts(scored_stream(stamped, time="ts"), "ts").agg(F.sum("n")).first()[0] == len(got)
+
+
+def test_the_boosted_member_has_the_size_asked_for(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def boosted(**given):
+        raise Seen(given)
+
+    monkeypatch.setattr(ml, "GBTClassifier", boosted)
+    with pytest.raises(Seen) as seen:
+        ml.fit(corpus.master(docs(spark), balanced=20), "clean_text", n_words=20, n_chars=20)
+    given = seen.value.args[0]
+    assert (given["maxIter"], given["maxDepth"], given["subsamplingRate"], given["featureSubsetStrategy"]) == (300, 8, 0.9, "0.8")
