@@ -229,6 +229,21 @@ _add("n09_tfidf", lambda s, d: _tfidf(s, d, True), "WITH " + _GRAMS.format(key="
 tf AS (SELECT doc_id, term, count(*) AS tf FROM u GROUP BY ALL), v AS (SELECT term, count(*) AS df, sum(tf) AS s FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY s DESC, term LIMIT 3000),
 r AS (SELECT doc_id, tf.term, (1 + ln(tf.tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN v ON tf.term = v.term)
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 5) AS weight FROM r""")
+
+
+def _char_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    counts = ngrams.term_counts(docs, "doc_id", ngrams.char_ngrams(F.col("text")))
+    w = ngrams.tfidf(counts, ngrams.vocabulary(counts, 1, 1000), docs.count(), True)
+    return w.select(F.col("key").alias("doc_id"), "term", F.round("weight", 5).alias("weight"))
+
+
+_add("n11_char_tfidf", _char_tfidf, r"""
+WITH w AS (SELECT doc_id, ' ' || unnest(regexp_extract_all(lower(text), '\S+')) || ' ' AS x FROM documents),
+u AS (SELECT doc_id, unnest(flatten(list_transform([3, 4, 5], lambda n: list_transform(range(1, length(x) - n + 2), lambda i: substring(x, i, n))))) AS term FROM w),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM u GROUP BY ALL), v AS (SELECT term, count(*) AS df, sum(tf) AS s FROM tf GROUP BY term ORDER BY s DESC, term LIMIT 1000),
+r AS (SELECT doc_id, tf.term, (1 + ln(tf.tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN v ON tf.term = v.term)
+SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 5) AS weight FROM r""")
 _add("n11_char_ngrams", lambda s, d: documents(s, d).select(F.explode(ngrams.char_ngrams(F.col("text"), 3, 3)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")), r"""
 WITH w AS (SELECT ' ' || unnest(regexp_extract_all(lower(text), '\S+')) || ' ' AS x FROM documents), g AS (SELECT unnest(list_transform(range(1, greatest(length(x) - 2, 1) + 1), lambda i: substring(x, i, 3))) AS gram FROM w) SELECT gram, count(*) AS n FROM g GROUP BY gram""")
 

@@ -1,13 +1,14 @@
 """Reports, samples, ranks, vectors, n-grams, files, models and whole flows on small tables."""
 
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from clausemill.functions.lexicon import LABELS
 from clausemill.operators import ml, ngrams, rank, report, sample, vectors
-from clausemill.plans import corpus
+from clausemill.plans import catalog, corpus
 from clausemill.sources import files
 from clausemill.streaming.clauses import label_counts, scored_stream
 
@@ -174,3 +175,20 @@ def test_the_boosted_member_has_the_size_asked_for(spark, monkeypatch):
         ml.fit(corpus.master(docs(spark), balanced=20), "clean_text", n_words=20, n_chars=20)
     given = seen.value.args[0]
     assert (given["maxIter"], given["maxDepth"], given["subsamplingRate"], given["featureSubsetStrategy"]) == (300, 8, 0.9, "0.8")
+
+
+def test_char_tfidf_against_brute_force_and_its_sql(spark, tmp_path):
+    import duckdb
+
+    texts = {1: "The old mill, the river.", 2: "a Mill by é ñandú", 3: None, 4: "  ", 5: "the the the ab abc abcd"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tf = {i: Counter(x[k : k + n] for w in (t or "").lower().split() for x in [f" {w} "] for n in (3, 4, 5) for k in range(len(x) - n + 1)) for i, t in texts.items()}
+    df = Counter(g for c in tf.values() for g in c)
+    raw = {i: {g: (1 + math.log(k)) * (math.log(6 / (1 + df[g])) + 1) for g, k in c.items()} for i, c in tf.items()}
+    want = {(i, g): w / math.sqrt(sum(x * x for x in own.values())) for i, own in raw.items() for g, w in own.items()}
+    got = {(r.doc_id, r.term): r.weight for r in catalog.QUERIES["n11_char_tfidf"](spark, str(tmp_path)).collect()}
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    sql = {(i, g): w for i, g, w in db.execute(catalog.SQL["n11_char_tfidf"]).fetchall()}
+    assert {len(g) for _, g in got} == {3, 4, 5} and got.keys() == want.keys() == sql.keys()
+    assert all(abs(got[k] - w) < 2e-5 and abs(sql[k] - w) < 2e-5 for k, w in want.items())
