@@ -1,34 +1,54 @@
 """Personal data: patterns plus a skip-chain conditional random field (operator 5).
 
 Base spans come from fixed patterns (e-mail, IP address, card number, phone number),
-leftmost and non-overlapping for each kind.  The model adds spans: looser patterns
-give candidates (a phone number without country code, an address spelt with "at"
-and "dot", a number that looks like a card, an address with a port).  Base spans
-and candidates of a document are the nodes of a conditional random field with the
-labels none, email, ip, card and phone.  Neighbouring nodes share a chain
-potential; distant nodes that repeat or resemble each other (the same digits, or the
-same last seven, or the same letters) share a skip potential that asks for the same
-label.  Loopy sum-product message passing over the document decides; a base span's
-label is observed.
-
-A skip group is tied through one hub node instead of through all its pairs, so a
-document with thousands of copies of a number costs as many messages.  Null text
-counts as empty.  Row-local: no shuffle.
+leftmost and non-overlapping for each kind.  The field adds spans of these kinds and of
+secrets (keys and tokens that a text assigns).
+
+Its nodes are the tokens that are not plain words: those with a digit or an @, the token
+after an equals sign, and those around a spelt-out (at) or (dot); plain words are none of
+the kinds.  A node's label is none, or the begin or inside of a kind.  Features of a token
+(its shape, checks of its digits, the word and the signs before it) give its own
+potential, neighbours share a transition potential, and distant tokens that repeat or
+resemble each other (the same letters and digits, the same last seven digits, the same
+name before an @) share a skip potential that asks for the same kind.  Loopy sum-product
+message passing over all tokens of a document decides; tokens of base spans are observed.
+A skip group is tied through one hub node instead of through all its pairs, so a document
+with thousands of copies of a number costs as many messages.
+
+All potentials are fitted by pseudo-likelihood on weak labels: base spans, and values
+that a text assigns to a key, token or password, in a sample of ``sample_docs`` texts of
+at most ``sample_chars`` characters.  Every span of the sample is put once more behind its
+text in a weaker form (without country code, spelt out, another alphabet), so that the
+field learns forms that no pattern has, and what a repeat tells; and every text gets a few
+ordinary numbers, years, times and amounts, which are none of the kinds.
+
+Null text counts as empty, an empty table gives an empty result; rows that share a doc_id
+are read each for itself; columns beside doc_id and text are ignored by ``find`` and kept
+by ``redact``, whatever their names.  Where nothing can be learnt, base spans are all.
+Row-local but for the sample: no shuffle.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import random
 import re
-from dataclasses import dataclass
+from collections import Counter
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from clausemill.llm.common import steps
 
 KINDS = ("email", "ip", "card", "phone")
+#: With what only the field finds.
+ALL = (*KINDS, "secret")
+LABELS = 1 + 2 * len(ALL)  # none, then begin and inside of each kind
+KIND_OF = (np.arange(LABELS) + 1) // 2
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
@@ -36,12 +56,6 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NO_DIGIT = re.compile(r"[^0-9]")
-#: Candidates beyond the base patterns.
-_LOOSE = (
-    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(]\x20?dot\x20?[\])]\x20?)[A-Za-z0-9-]{1,63}){1,5}", re.I)),
-    ("phone", re.compile(r"(?<![0-9A-Za-z+.-])(?:\(?[0-9]{3}\)?[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])")),
-    ("card", re.compile(r"(?<![0-9A-Za-z.-])[0-9]{4}(?:[\x20-]?[0-9]{4}){3}(?![0-9A-Za-z-])")),
-)
 Span = tuple[str, int, int]
 
 
@@ -55,6 +69,10 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _address(text: str) -> bool:
+    return all(len(p := x.lstrip("0")) < 4 and int(p or "0") < 256 for x in text.split("."))
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Matches of the e-mail pattern, found from each @ outwards, so the time is linear in the text."""
     out, end, at = [], 0, text.find("@")
@@ -75,7 +93,7 @@ def base_spans(text: str) -> list[Span]:
     """Base spans by start, then kind as listed."""
     out: list[tuple[int, int, int]] = [(a, 0, b) for a, b in emails(text)] if "@" in text else []
     if _DIGIT.search(text):
-        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in m[0].split("."))]
+        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if _address(m[0])]
         for m in _CARD.finditer(text):
             digits = _NO_DIGIT.sub("", m[0])
             if 14 <= len(digits) <= 19 and luhn(digits):
@@ -86,141 +104,367 @@ def base_spans(text: str) -> list[Span]:
     return [(KINDS[k], a, b) for a, k, b in out]
 
 
-def _digits(text: str) -> bool:
-    return _DIGIT.search(text) is not None
+
+_TOKEN = re.compile(r"[^\x09-\x0D\x20\"',;<>=|]+")
+_EDGE = frozenset("\t\n\x0b\x0c\r \"',;<>=|")
+_SEED = re.compile(r"[0-9@]+|=")
+_SEED_SPELT = re.compile(r"[0-9@]+|=|[\[(](?:at|dot)[\])]", re.I)
+_SPELT = re.compile(r"[\[(](?:at|dot)[\])]", re.I)
+_RUN = re.compile(r"[a-z]+|[A-Z]+|[0-9]+|[^\x00-\x7F]+")
+_HEX = re.compile(r"[0-9a-f]{16,}|[0-9A-F]{16,}")
+_KEY = re.compile(r"[A-Za-z0-9_/+-]{16,}")
+#: Weak labels of secrets.
+_ASSIGNED = re.compile(r"(?i)(?:token|key|secret|password|passwd|pwd|credential)\x20{0,3}[:=]\x20{0,3}[\"']?([^\x09-\x0D\x20\"',;<>=|]{8,})")
+_OTHER = re.compile(r"[^a-z0-9]")
+
+
+def tokens(text: str) -> list[tuple[int, int]]:
+    """The tokens of a text that are nodes, in order."""
+    spelt = "(" in text or "[" in text
+    out: dict[int, int] = {}
+    done = 0  # seeds before this place are inside of a known token
+
+    def back(at: int) -> int:
+        while at > 0 and text[at - 1] not in _EDGE:
+            at -= 1
+        return at
+
+    for m in (_SEED_SPELT if spelt else _SEED).finditer(text):
+        at = m.start()
+        if m[0] == "=":
+            if t := _TOKEN.search(text, m.end()):
+                if t.start() - m.end() <= 4:
+                    out.setdefault(t.start(), t.end())
+                    done = max(done, t.end())
+            continue
+        if at < done:
+            continue
+        a = back(at)
+        end = _TOKEN.match(text, at).end()
+        out.setdefault(a, end)
+        done = end
+        if spelt and _SPELT.match(m[0]):
+            before = a
+            while before > 0 and text[before - 1] == " ":
+                before -= 1
+            if before < a and before and (own := back(before)) < before:
+                out.setdefault(own, before)
+            if (t := _TOKEN.search(text, end)) and not text[end : t.start()].strip(" "):
+                out.setdefault(t.start(), t.end())
+                done = t.end()
+    return sorted(out.items())
+
+
+def shape(token: str) -> str:
+    """A token's kinds of characters, with the lengths of its runs of digits."""
+    if _HEX.fullmatch(token):
+        return "hex"
+    if len(token) >= 16 and _KEY.fullmatch(token) and _DIGIT.search(token) and re.search("[A-Za-z]", token):
+        return "key"
+
+    def run(m):
+        x = m[0]
+        if x[0].isdigit():
+            n = len(x)
+            return str(n if n < 5 else 5 if n < 7 else 7 if n < 10 else 10 if n < 14 else 14 if n < 20 else 20)
+        return "a" if x[0] < "\x80" and x[0].islower() else "A" if x[0] < "\x80" else "u"
+
+    return _RUN.sub(run, token[:64])[:24]
+
+
+def features(text: str, a: int, b: int, follows: bool) -> list[str]:
+    """What a token shows of itself and of what stands before it."""
+    token = text[a:b].rstrip(".:!?")
+    bare = token.strip("()[]")
+    digits = _NO_DIGIT.sub("", bare) if len(bare) < 64 else ""
+    head = text[max(0, a - 24) : a]
+    word = head.rstrip(" \t\"'=:,;<>|")
+    last = re.split(r"[^A-Za-z]", word.lower())[-1] if word else ""
+    out = [f"s{shape(token)}", f"d{min(len(digits), 20)}", f"g{head[len(word):][-4:]}", "follows" if follows else "first", "any"]
+    if last and len(head) - len(word) <= 6:
+        out.append(f"w{last[:12]}")
+    if 14 <= len(digits) <= 19:
+        out.append(f"luhn{luhn(digits)}")
+    if bare.count(".") == 3 and _IP.fullmatch(bare):
+        out.append(f"ip{_address(bare)}")
+    return out
+
+
+def keys(token: str) -> list[str]:
+    """What tokens must share to count as repeated or similar."""
+    out = []
+    low = _OTHER.sub("", token.lower())
+    if len(low) >= 7:
+        out.append(f"t{low}")
+    digits = _NO_DIGIT.sub("", token)
+    if 7 <= len(digits) <= 19:
+        out.append(f"s{digits[-7:]}")
+    name = _OTHER.sub("", token.split("@")[0].lower())
+    if len(name) >= 5 and name != low or "@" not in token and len(name) >= 5:
+        out.append(f"n{name}")
+    return out
 
 
 @dataclass(frozen=True)
-class Potentials:
-    """Log potentials of the field."""
+class Field:
+    """Fitted log potentials: of features, of neighbouring labels, and of the same kind in a skip group."""
 
-    unary: tuple[float, float, float, float] = (2.0, 0.4, -1.5, 2.0)  # of a loose email, phone and card candidate's own kind, and of a card that passes Luhn
-    chain: float = 0.2  # neighbours within ``reach`` characters with the same label other than none
-    reach: int = 80
-    skip: float = 2.5  # repeated or similar nodes with the same label
+    weights: dict[str, np.ndarray] = field(default_factory=dict)
+    chain: np.ndarray = field(default_factory=lambda: np.zeros((LABELS, LABELS)))
+    skip: float = 0.0
     rounds: int = 12
     damping: float = 0.3
 
 
-def keys(text: str) -> list[str]:
-    """What nodes must share to count as repeated or similar."""
-    digits = _NO_DIGIT.sub("", text)
-    out = [f"t{re.sub(r'[^a-z0-9]', '', text.lower())}"]
-    if len(digits) >= 7:
-        out += [f"d{digits}", f"s{digits[-7:]}"]
-    return out
-
-
-def beliefs(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int, damping: float) -> np.ndarray:
-    """Marginals by loopy sum-product: node log potentials (n, L), edges (m, 2), edge log potentials (m, L, L)."""
+def beliefs(unary: np.ndarray, edges: np.ndarray, kinds: np.ndarray, tables: np.ndarray, rounds: int, damping: float) -> np.ndarray:
+    """Marginals by loopy sum-product: node log potentials (n, L), edges (m, 2), each edge's table (m), log tables (t, L, L)."""
     n, labels = unary.shape
     m = len(edges)
-    if not m:
-        p = np.exp(unary - unary.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True)
-    src = np.concatenate((edges[:, 0], edges[:, 1]))
-    dst = np.concatenate((edges[:, 1], edges[:, 0]))
-    table = np.concatenate((pair, pair.transpose(0, 2, 1)))
-    back = np.concatenate((np.arange(m, 2 * m), np.arange(m)))
-    messages = np.zeros((2 * m, labels))
-    for _ in range(rounds):
-        total = unary.copy()
-        np.add.at(total, dst, messages)
-        out = (total[src] - messages[back])[:, :, None] + table
-        top = out.max(1, keepdims=True)
-        new = (top + np.log(np.exp(out - top).sum(1, keepdims=True)))[:, 0]
-        new -= new.max(1, keepdims=True)
-        messages = damping * messages + (1 - damping) * new
-    total = unary.copy()
-    np.add.at(total, dst, messages)
+    total = unary
+    if m:
+        src = np.concatenate((edges[:, 0], edges[:, 1]))
+        dst = np.concatenate((edges[:, 1], edges[:, 0]))
+        back = np.concatenate((np.arange(m, 2 * m), np.arange(m)))
+        ways = [(np.flatnonzero(kinds == t) + side * m, np.exp(tables[t].T if side else tables[t])) for t in range(len(tables)) for side in (0, 1)]
+        order = np.argsort(dst, kind="stable")
+        first = np.flatnonzero(np.diff(dst[order], prepend=-1))
+        messages = np.zeros((2 * m, labels))
+        for k in range(rounds + 1):
+            total = unary.copy()
+            total[dst[order][first]] += np.add.reduceat(messages[order], first)
+            if k == rounds:
+                break
+            out = total[src] - messages[back]
+            out = np.exp(out - out.max(1, keepdims=True))
+            new = np.empty_like(messages)
+            for own, table in ways:
+                new[own] = np.log(out[own] @ table)
+            new -= new.max(1, keepdims=True)
+            messages = damping * messages + (1 - damping) * new
     p = np.exp(total - total.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
 
 
-def spans(text: str | None, base: list[Span] | None = None, potentials: Potentials = Potentials()) -> list[Span]:
-    """All spans of a text by start, then kind as listed; base spans are always among them."""
-    text = text or ""
-    base = base_spans(text) if base is None else base
-    if "(" not in text and "[" not in text and not _digits(text):
-        return base
-    taken = sorted((a, b) for _, a, b in base)
-    starts = [a for a, _ in taken]
-    loose: list[Span] = []
-    for kind, pattern in _LOOSE:
-        if kind == "email" and not re.search(r"[\[(]\x20?at\x20?[\])]", text, re.I):
+class Graph:
+    """Tokens of some texts as one graph: nodes, chain edges, skip groups and the labels of known spans."""
+
+    def __init__(self):
+        self.owner, self.at, self.features, self.labels = [], [], [], []
+        self.chain: list[int] = []  # second nodes of neighbours
+        self.groups: list[list[int]] = []
+
+    def add(self, owner: int, text: str, known: list[Span]) -> None:
+        own = tokens(text)
+        groups: dict[str, list[int]] = {}
+        begin, k, end = len(self.at), 0, -2
+        ordered = sorted((a, b, ALL.index(kind)) for kind, a, b in known)
+        started: set[int] = set()
+        for a, b in own:
+            i = len(self.at)
+            follows = i > begin and a - end <= 2 and not text[end:a].strip(" ")
+            while k < len(ordered) and ordered[k][1] <= a:
+                k += 1
+            label, look = 0, k
+            while look < len(ordered) and ordered[look][0] < b:  # spans are ordered by start; those that ended are passed over
+                if ordered[look][1] > a:
+                    label = 1 + 2 * ordered[look][2] + (look in started)
+                    started.add(look)
+                    break
+                look += 1
+            self.owner.append(owner)
+            self.at.append((a, b))
+            self.features.append(features(text, a, b, follows))
+            self.labels.append(label)
+            if follows:
+                self.chain.append(i)
+            end = b
+            for key in keys(text[a:b]) if b - a < 256 else ():
+                groups.setdefault(key, []).append(i)
+        self.groups += {tuple(g): g for g in groups.values() if len(g) > 1}.values()
+
+    def marginals(self, model: Field) -> np.ndarray:
+        """Of every node's labels, with those of known spans observed."""
+        n = len(self.at)
+        none = np.zeros(LABELS)
+        unary = np.array([sum((model.weights.get(f, none) for f in own), none) for own in self.features]).reshape(n, LABELS)
+        labels = np.array(self.labels, np.int64)
+        known = np.flatnonzero(labels)
+        unary[known] = -30.0
+        unary[known, labels[known]] = 30.0
+        hub = np.full((len(self.groups), LABELS), -30.0)
+        hub[:, 0] = hub[:, 1::2] = 0.0
+        chain = np.array([(i - 1, i) for i in self.chain], np.int64).reshape(-1, 2)
+        tied = np.array([(i, n + g) for g, own in enumerate(self.groups) for i in own], np.int64).reshape(-1, 2)
+        tables = np.stack((model.chain, model.skip * (KIND_OF[:, None] == KIND_OF)))
+        kinds = np.repeat((0, 1), (len(chain), len(tied)))
+        return beliefs(np.vstack((unary, hub)), np.concatenate((chain, tied)), kinds, tables, model.rounds, model.damping)[:n]
+
+
+def weaker(kind: str, value: str, r: random.Random) -> str:
+    """A span's value in a form that the patterns do not have."""
+    if kind == "email":
+        at, dot = r.choice(((" (at) ", " (dot) "), (" [at] ", " [dot] "), (" (at) ", "."), ("(at)", "."), (" [at] ", ".")))
+        name, place = value.rsplit("@", 1)
+        return f"{name}{at}{place.replace('.', dot)}"
+    if kind == "phone":
+        digits = _NO_DIGIT.sub("", value)
+        short = value[1:].lstrip("0123456789").strip(" ") or digits
+        return r.choice((short, short, short, digits[-10:], digits[-7:], f"{digits[-10:-7]}.{digits[-7:-4]}.{digits[-4:]}", f"{digits[-7:-4]}-{digits[-4:]}"))
+    if kind == "card":
+        return r.choice((value, "-".join(re.findall("[0-9]{1,4}", _NO_DIGIT.sub("", value)))))
+    if kind == "secret":
+        return base64.urlsafe_b64encode(hashlib.sha256(value.encode()).digest())[: max(20, len(value) // 2)].decode()
+    return value
+
+
+#: Forms of ordinary numbers; each # is a digit.
+ORDINARY = "19## 20## # ## ### #### ##### ###### ####### ######## ########## #.# ##.## #,### ##,### ##:## #:## 20##-0#-1# ##.0#.20## 1#/0#/20## ##% $### ##.##€ v#.#.# #.#.# #th (##) [#] #a ###-### ##-## ##x## no.# a=# x# ###kg (#### ####)".split()
+
+
+def ordinary(r: random.Random) -> str:
+    return re.sub("#", lambda _: str(r.randrange(10)), r.choice(ORDINARY))
+
+
+def learn(texts: list[str], least: int = 3, steps_: int = 200, decay: float = 1e-4) -> Field:
+    """Potentials from weakly labelled texts, by pseudo-likelihood."""
+    graph = Graph()
+    for k, text in enumerate(texts):
+        known = base_spans(text)
+        known += [("secret", m.start(1), m.end(1)) for m in _ASSIGNED.finditer(text) if not any(a < m.end(1) and b > m.start(1) for _, a, b in known)]
+        r = random.Random(k)
+        for kind, a, b in list(known)[:20]:  # bounds the copies behind a text of the sample, no more
+            again = weaker(kind, text[a:b], r)
+            text += " and "
+            known.append((kind, len(text), len(text) + len(again)))
+            text += again
+        text += "".join(f" {r.choice(('in', 'of', 'the', 'about', 'and', ''))} {ordinary(r)}" for _ in range(8))
+        graph.add(k, text, known)
+    n = len(graph.at)
+    counts = Counter(f for own in graph.features for f in own)
+    names = {f: i for i, f in enumerate(sorted(f for f, c in counts.items() if c >= least))}
+    labels = np.array(graph.labels, np.int64)
+    if not n or not labels.any():
+        return Field()
+    row = np.array([i for i, own in enumerate(graph.features) for f in own if f in names], np.int64)
+    col = np.array([names[f] for own in graph.features for f in own if f in names], np.int64)
+    after = np.array(graph.chain, np.int64)
+    share = np.zeros((n, 1 + len(ALL)))  # of each kind among the others of a node's skip groups
+    for own in graph.groups:
+        kinds = np.bincount(KIND_OF[labels[own]], minlength=share.shape[1])
+        for i in own:
+            other = kinds.copy()
+            other[KIND_OF[labels[i]]] -= 1
+            share[i] += other / other.sum()
+    truth = np.eye(LABELS)[labels]
+    w, chain, skip = np.zeros((len(names), LABELS)), np.zeros((LABELS, LABELS)), np.zeros(1)
+    moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, chain, skip)]
+    for t in range(1, steps_ + 1):
+        score = np.zeros((n, LABELS))
+        np.add.at(score, row, w[col])
+        score[after] += chain[labels[after - 1]]
+        score[after - 1] += chain.T[labels[after]]
+        score += skip * share[:, KIND_OF]
+        p = np.exp(score - score.max(1, keepdims=True))
+        off = truth - p / p.sum(1, keepdims=True)
+        gw = np.zeros_like(w)
+        np.add.at(gw, col, off[row])
+        gc = np.zeros_like(chain)
+        np.add.at(gc, labels[after - 1], off[after])
+        np.add.at(gc.T, labels[after], off[after - 1])
+        gs = np.array([(off * share[:, KIND_OF]).sum()])
+        for x, g, (m1, m2) in zip((w, chain, skip), (gw, gc, gs), moments, strict=True):
+            g = g / n - decay * x
+            m1 += 0.1 * (g - m1)
+            m2 += 0.01 * (g * g - m2)
+            x += 0.1 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
+    # a hub passes on less than a pair would
+    return Field({f: w[i] for f, i in names.items()}, chain, 2.0 * float(np.clip(skip[0], 0.0, 4.0)))
+
+
+def fit(docs: DataFrame, sample_docs: int = 2_000, sample_chars: int = 20_000) -> Field:
+    """A field from a sample of the texts that have candidates, taken by the order of their hashes."""
+    own = docs.select("text").where(F.length("text") <= sample_chars).where(F.col("text").rlike("[0-9@=]"))
+    return learn([r.text for r in own.orderBy(F.xxhash64("text"), "text").limit(sample_docs).collect()])
+
+
+def added(text: str, at: list[tuple[int, int]], marginals: np.ndarray, base: list[Span]) -> list[Span]:
+    """Spans of tokens whose kind the field makes likelier than not, outside of base spans."""
+    out: list[list] = []
+    for (a, b), p in zip(at, marginals, strict=True):
+        kinds = np.bincount(KIND_OF, weights=p)
+        kind = int(kinds.argmax())
+        if not kind or kinds[kind] < 0.5:
             continue
-        for m in pattern.finditer(text):
-            i = np.searchsorted(starts, m.end()) if starts else 0
-            if not any(b > m.start() and a < m.end() for a, b in taken[max(0, i - 8) : i]):
-                loose.append((kind, m.start(), m.end()))
-    if not loose:
-        return base
-    nodes = sorted([(a, b, k, True) for k, a, b in base] + [(a, b, k, False) for k, a, b in loose])
-    labels = len(KINDS) + 1
-    unary = np.full((len(nodes), labels), -30.0)
-    own = dict(zip(("email", "phone", "card", "luhn"), potentials.unary, strict=True))
-    for i, (a, b, kind, observed) in enumerate(nodes):
-        if observed:
-            unary[i, 1 + KINDS.index(kind)] = 30.0
+        inside = p[2 * kind] > p[2 * kind - 1]
+        if inside and out and out[-1][0] == kind and not text[out[-1][2] : a].strip(" "):
+            out[-1][2] = b
         else:
-            unary[i, 0] = 0.0
-            unary[i, 1 + KINDS.index(kind)] = own["luhn" if kind == "card" and luhn(_NO_DIGIT.sub("", text[a:b])) else kind]
-    groups: dict[str, list[int]] = {}
-    for i, (a, b, _, _) in enumerate(nodes):
-        for key in keys(text[a:b]):
-            groups.setdefault(key, []).append(i)
-    same = np.eye(labels)
-    edges, pair = [], []
-    for i in range(len(nodes) - 1):
-        if nodes[i + 1][0] - nodes[i][1] <= potentials.reach:
-            edges.append((i, i + 1))
-            pair.append(potentials.chain * same * (np.arange(labels) > 0))
-    hubs = 0
-    seen: set[tuple[int, ...]] = set()
-    for members in groups.values():
-        if len(members) > 1 and (group := tuple(members)) not in seen:
-            seen.add(group)
-            hub = len(nodes) + hubs
-            hubs += 1
-            edges += [(i, hub) for i in members]
-            pair += [potentials.skip * same] * len(members)
-    unary = np.vstack((unary, np.zeros((hubs, labels))))
-    marginals = beliefs(unary, np.array(edges, np.int64).reshape(-1, 2), np.array(pair).reshape(-1, labels, labels), potentials.rounds, potentials.damping)
-    found = [(a, KINDS.index(k), b) for k, a, b in base]
-    for i, (a, b, _, observed) in enumerate(nodes):
-        label = int(marginals[i].argmax())
-        if not observed and label:
-            found.append((a, label - 1, b))
-    return [(KINDS[k], a, b) for a, k, b in sorted(set(found))]
+            out.append([kind, a, b])
+    taken = sorted((a, b) for _, a, b in base)
+    found, k, reach = [], 0, 0
+    for kind, a, b in out:
+        own = text[a:b]
+        left = own.lstrip("([{:" if ALL[kind - 1] != "phone" else "[{:")
+        a, own = b - len(left), left.rstrip(".:!?])}" if "(" not in left else ".:!?]}")
+        b = a + len(own)
+        while k < len(taken) and taken[k][0] < b:
+            reach = max(reach, taken[k][1])
+            k += 1
+        if a < b and reach <= a:
+            found.append((ALL[kind - 1], a, b))
+    return found
+
+
+def find_all(texts: list[str | None], model: Field) -> list[tuple[list[Span], list[Span]]]:
+    """(base spans, all spans by start, then kind as listed) of each text."""
+    graph = Graph()
+    texts = [t or "" for t in texts]
+    base = [base_spans(t) for t in texts]
+    for k, text in enumerate(texts):
+        if model.weights and _SEED.search(text) or "(" in text or "[" in text:
+            graph.add(k, text, base[k])
+    marginals = graph.marginals(model) if model.weights and graph.at else np.zeros((len(graph.at), LABELS))
+    edge = [0, *(i for i in range(1, len(graph.owner)) if graph.owner[i] != graph.owner[i - 1]), len(graph.owner)]
+    out = [(own, own) for own in base]
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        if a < b:
+            k = graph.owner[a]
+            more = added(texts[k], graph.at[a:b], marginals[a:b], base[k])
+            if more:
+                out[k] = base[k], sorted({*base[k], *more}, key=lambda x: (x[1], ALL.index(x[0]), x[2]))
+    return out
+
+
+def spans(text: str | None, model: Field) -> list[Span]:
+    """All spans of a text by start, then kind as listed; base spans are always among them."""
+    return find_all([text], model)[0][1]
 
 
 def listed(found: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in found)
 
 
-COLUMNS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+COLUMNS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_added long"
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """One row per document: counts of base spans, their digest, and all spans."""
+def find(docs: DataFrame, model: Field) -> DataFrame:
+    """One row per document: counts of base spans, their digest, and all spans, with how many these are and the field added."""
 
     def run(batches):
         for batch in steps(batches):
             rows = []
-            for text in batch.column("text").to_pylist():
-                base = base_spans(text or "")
-                own = spans(text, base)
+            for base, own in find_all(batch.column("text").to_pylist(), model):
                 kinds = [k for k, _, _ in base]
-                rows.append((*(kinds.count(k) for k in KINDS), hashlib.sha256(listed(base).encode()).hexdigest(), listed(own), len(own) - len(base)))
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()]
+                rows.append((*(kinds.count(k) for k in KINDS), hashlib.sha256(listed(base).encode()).hexdigest(), listed(own), len(own), len(own) - len(base)))
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], [c.split()[0] for c in COLUMNS.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(run, COLUMNS)
 
 
-def mask(text: str | None) -> str | None:
+def masked(text: str | None, own: list[Span]) -> str | None:
     """The text with every span replaced by its kind, as in <EMAIL>; overlapping spans become one."""
-    if not text or not (own := spans(text)):
+    if not text or not own:
         return text
     out, at = [], 0
     for kind, a, b in own:
@@ -230,12 +474,17 @@ def mask(text: str | None) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def mask(text: str | None, model: Field) -> str | None:
+    return masked(text, spans(text, model))
+
+
+def redact(docs: DataFrame, model: Field) -> DataFrame:
     """The same rows and columns with spans masked; n_chars, where there is one, follows the text."""
 
     def run(batches):
-        for batch in batches:
-            texts = [mask(t) for t in batch.column("text").to_pylist()]
+        for batch in steps(batches):
+            texts = batch.column("text").to_pylist()
+            texts = [masked(t, own) for t, (_, own) in zip(texts, find_all(texts, model), strict=True)]
             out = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
             at = batch.schema.get_field_index("n_chars")
             if at >= 0:

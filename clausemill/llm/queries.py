@@ -30,7 +30,8 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(read(spark, sf_dir, "documents"))
+    docs = read(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
