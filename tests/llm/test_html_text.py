@@ -1,5 +1,8 @@
 """Main text of pages."""
 
+import random
+import time
+
 import pytest
 
 from clausemill.llm.html_text import extract, texts
@@ -69,3 +72,108 @@ COMMENT = f"<article class=comment-body><p>{PARAGRAPH}</p></article>"
 ])
 def test_noise_names_do_not_drop_the_page(page, want):
     assert extract(page) == want
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<article><p>{PARAGRAPH} <span class='ad'>BUY NOW</span> more</p><p>a <span hidden>secret <span>in</span> it</span>b <a class=share href=x>tell</a></p></article>", f"{PARAGRAPH} more\na b"),
+    (f"<article><p>{PARAGRAPH}</p><p>one <span class=ad>never closed</p><p>two</p></article>", f"{PARAGRAPH}\none\ntwo"),
+    (f"<article><div class='lead header-story'>{PARAGRAPH}</div>{LONG}<p class='related-work'>{PARAGRAPH}</p></article>", f"{PARAGRAPH}\n{LINES}\n{PARAGRAPH}"),
+    # no article and no main: ratios alone decide
+    (f"<body><div class=top><a href=/>Home</a> <a href=/n>News</a></div><div class=text><h1>T</h1>{LONG}</div><div class=end>All rights kept 2020</div></body>", f"T\n{LINES}"),
+    (f"<body><div class=links><ul>{'<li><a href=x>some other page of this house</a></li>' * 20}</ul></div><h1>T</h1>{LONG}</body>", f"T\n{LINES}"),
+    (f"<body><div><div><p>{PARAGRAPH}</p></div></div><div class=a><span>x</span></div><div class=b>y</div></body>", PARAGRAPH),
+    ("<nav><ul><li>a<li>b</ul></nav><footer>c</footer>", ""), (f"<footer><p>{PARAGRAPH}</p></footer><article></article>", ""),
+    (f"<body><article><p>Hi.</p></article><footer><p>{PARAGRAPH * 50}</p></footer></body>", "Hi."),
+    (f"<div role=navigation>x</div><main><p>{PARAGRAPH}</p><header>h</header><form>f <input> <label>l</label></form></main>", PARAGRAPH),
+])
+def test_what_is_left_out(page, want):
+    assert extract(page) == want
+
+
+def random_page(r):
+    """A page and its blocks: (path, text, link characters, rejected, within)."""
+    out, rows = [], []
+
+    def text():
+        n = r.choice((2, 5, 30, 120))
+        return " ".join(r.choice(("word", "of", "stone,", "wall.", "green")) for _ in range(n))
+
+    def element(path, depth, rejected, within):
+        tag = r.choice(("p", "p", "p", "h2", "div", "div", "ul", "nav", "article", "section") if depth < 4 else ("p",))
+        tag = "p" if rejected and tag == "article" else tag
+        label = r.choice(("", "c1", "c2", "ad")) if tag in ("div", "p") else ""
+        rejected = rejected or tag == "nav" or label == "ad"
+        within = within or tag == "article"
+        step = (*path, f"{tag}.{label}" if label else tag)
+        out.append(f"<{tag} class='{label}'>" if label else f"<{tag}>")
+        if tag in ("p", "h2"):
+            link = r.random() < 0.2
+            rows.append((step, t := text(), len(t) if link else 0, rejected, within))
+            out.append(f"<a href=x>{t}</a>" if link else t)
+        elif tag == "ul":
+            for _ in range(r.randint(1, 4)):
+                rows.append(((*step, "li"), t := text(), 0, rejected, within))
+                out.append(f"<li>{t}</li>")
+        else:
+            for _ in range(r.randint(1, 4)):
+                element(step, depth + 1, rejected, within)
+        out.append(f"</{tag}>")
+
+    for _ in range(r.randint(1, 8)):
+        element(("html", "body"), 0, False, False)
+    return f"<html><body>{''.join(out)}</body></html>", rows
+
+
+def plain_content(rows, share=0.3):
+    """The definition of the module's docstring, path by path over all rows."""
+
+    def raw(path):
+        own = [t for p, t, *_ in rows if p == path]
+        return (sum(map(len, own)) / len(own)) ** 0.5 * (1 + sum(t.count(",") + t.count(".") for t in own) / len(own)) ** 0.5
+
+    def related(p, q):
+        p, q = sorted((p[:-1], q[:-1]), key=len)
+        return p == q or q[: len(p)] == p and p[-1] not in ("html", "body") and len(q) - len(p) <= 6
+
+    def ratio(path):
+        best = 0
+        for i, (p, _, _, rejected, within) in enumerate(rows):
+            if p == path:
+                near = [raw(q) for j in (i - 1, i + 1) if 0 <= j < len(rows) for q, _, _, x, y in [rows[j]] if (x, y) == (rejected, within) and related(p, q)]
+                best = max(best, sum([raw(p), *near]) / (1 + len(near)))
+        own = [(len(t), n) for p, t, n, *_ in rows if p == path]
+        return best * (1 - 0.95 * sum(n for _, n in own) / sum(c for c, _ in own))
+
+    fair = [x for x in rows if not x[3]]
+    if not fair:
+        return []
+    declares = 2 * sum(len(x[1]) for x in fair if x[4]) >= sum(len(x[1]) for x in fair)
+    limit = share * max(ratio(x[0]) for x in fair)
+    kept = [(1e-6 if x else 1 if not declares else 1e3 if y else 0.1) * ratio(p) >= limit for p, _, _, x, y in rows]
+    for i in range(len(rows) - 2, -1, -1):
+        kept[i] = kept[i] or rows[i][0][-1] == "h2" and kept[i + 1] and not rows[i][3] and not rows[i + 1][3] and rows[i][4] == rows[i + 1][4]
+    return [x[1] for x, k in zip(rows, kept, strict=True) if k]
+
+
+def test_ratios_equal_brute_force():
+    decided = 0
+    for seed in range(400):
+        page, rows = random_page(random.Random(seed))
+        fair = [x for x in rows if not x[3]]
+        if sum(len(x[1]) for x in rows if x[3]) > sum(len(x[1]) for x in fair):
+            continue  # a rejected part that holds most of the text is judged by more than its name
+        assert extract(page) == "\n".join(plain_content(rows)), seed
+        decided += len(plain_content(rows)) < len(fair)
+    assert decided > 100
+
+
+def test_deep_and_odd_pages_take_linear_time():
+    began = time.process_time()
+    for n, piece in ((20_000, "<div class=c{0}>x"), (20_000, "<div><p>a b c {0}."), (10_000, "<li><blockquote>x"), (10_000, "<table><tr><td>x"), (20_000, "</span></section><div>")):
+        assert extract("<article>" + "".join(piece.format(i) for i in range(n))) is not None
+    assert time.process_time() - began < 20
+
+
+def test_repeated_rows(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a b c.</p>", 2)] * 3 + [(None, None, None, None)], "page_id long, url string, html string, n_chars int")
+    assert sorted(r.text for r in texts(pages).collect()) == ["", "a b c.", "a b c.", "a b c."]
