@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import ctypes
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,25 +39,41 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 1_000):
-    """Jobs started inside send at most so many rows at once to Python; for tables with wide binary columns."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, rows)
+def small_batches(spark: SparkSession, rows: int = 1_000, size: str = "4m"):
+    """Jobs started inside send at most so many rows and bytes at once to Python; for tables with wide binary columns."""
+    kept = {}
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        kept[key] = spark.conf.get(key)
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+
+
+def trim() -> None:
+    """Gives memory that this Python process has freed back to the system, where that can be asked for."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one where that is unset (tests)."""
+    """A new folder under spark.checkpoint.dir; where that is unset, under a temporary one if all runs in one process, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and (hadoop := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         root = hadoop.get()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="clausemill-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{(root or _own_dir(spark.sparkContext.master)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@lru_cache(maxsize=1)
+def _own_dir(master: str) -> str:
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="clausemill-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
