@@ -236,8 +236,8 @@ class PieceEncoder:
     use of spaces is cut before each run of white space instead.
     """
 
-    def __init__(self, merges: Merges, max_pieces: int = 600_000):
-        self.merges, self.max_pieces = merges, max_pieces
+    def __init__(self, merges: Merges, max_pieces: int = 400_000, max_bytes: int = 24_000_000):
+        self.merges, self.max_pieces, self.max_bytes = merges, max_pieces, max_bytes
         self.clear()
 
     @property
@@ -247,6 +247,12 @@ class PieceEncoder:
     def clear(self) -> None:
         self.table, self.pieces, self._odd = _Index(), _Runs(), _Growing(bool)
         self.vocabulary, self.known = _Index(), _Runs()
+        self.held = 0  # characters of the keys
+
+    def _room(self) -> None:
+        """Empties the table when it has grown beyond its bounds; both hold but for what one call adds."""
+        if len(self.table) > self.max_pieces or self.held > self.max_bytes:
+            self.clear()
 
     def _words(self, words: list[str], budget: int = 1 << 16) -> None:
         """Merges new pre-tokens, about ``budget`` symbols at a time."""
@@ -271,6 +277,7 @@ class PieceEncoder:
         m, keys = self.merges, self.table.take_fresh()
         if not keys:
             return
+        self.held += sum(map(len, keys)) + sum(len(k[0]) for k in keys if k.__class__ is tuple)
         follow = not m.words  # (piece,) is a piece as it is; any other follows a space
         odd = np.zeros(len(keys), bool)
         index = self.vocabulary.__getitem__
@@ -320,8 +327,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts (int32), and each text's id count."""
-        if len(self.table) > self.max_pieces:
-            self.clear()
+        self._room()
         index, split = self.table.__getitem__, not self.merges.words
         fold = not split and "<|" not in "".join(filter(None, texts))
         rows: list[list[int]] = []
@@ -354,8 +360,7 @@ class PieceEncoder:
 
     def count_chunks(self, chunks: list[str]) -> list[int]:
         """Id counts of chunks."""
-        if len(self.table) > self.max_pieces:
-            self.clear()
+        self._room()
         index = self.table.__getitem__
         at = [index((c,)) for c in chunks]
         self._learn()

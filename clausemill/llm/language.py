@@ -10,8 +10,11 @@ largest decides.
 
 The filter is fitted on a bounded sample of labelled rows (``sample_docs`` a
 language, about) and holds ``top`` n-grams a language and length, so what a task
-receives has a fixed size.  Null texts and texts without letters are ``und`` with
-score 0; so is every text when nothing was learnt.
+receives has a fixed size; a row of words holds 64 languages.  Null texts and texts
+without letters are ``und`` with score 0; so is every text when nothing was learnt.  Of
+languages with equal counts the first by name is predicted; a text with letters of which
+no language has an n-gram gets the first by name with score 0.  Rows that share a doc_id
+are predicted each by its own text, null ids are not held out and not learnt from.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from clausemill.llm.common import steps
 
@@ -70,22 +74,20 @@ def grams(texts: list[str | None]):
 @dataclass(frozen=True)
 class Filters:
     languages: tuple[str, ...]
-    table: np.ndarray  # bitmasks
+    table: np.ndarray  # bitmasks; a row of words for every 64 languages
     false: np.ndarray  # false-positive rate of each language
 
     @staticmethod
     def build(languages: list[str], rows: list[tuple[int, int]]) -> Filters:
         """From (language number, n-gram hash) rows."""
-        if len(languages) > 64:
-            raise ValueError("at most 64 languages")
-        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(k).itemsize * 8 >= len(languages))
-        table = np.zeros(1 << LOG_SIZE, kind)
+        kind = next((k for k in (np.uint8, np.uint16, np.uint32) if np.dtype(k).itemsize * 8 >= len(languages)), np.uint64)
+        table = np.zeros((max(1, -(-len(languages) // 64)), 1 << LOG_SIZE), kind)
         if rows:
-            number = np.array([r[0] for r in rows], np.uint64)
+            number = np.array([r[0] for r in rows], np.int64)
             h = np.array([r[1] for r in rows], np.int64).view(np.uint64)
             for at in probes(h):
-                np.bitwise_or.at(table, at, (np.uint64(1) << number).astype(kind))
-        fill = np.array([(table >> kind(i) & kind(1)).mean() for i in range(len(languages))])
+                np.bitwise_or.at(table, (number // 64, at), (np.uint64(1) << (number % 64).astype(np.uint64)).astype(kind))
+        fill = np.array([(table[i // 64] >> kind(i % 64) & kind(1)).mean() for i in range(len(languages))])
         return Filters(tuple(languages), table, fill**PROBES)
 
     def count(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -93,10 +95,12 @@ class Filters:
         n, kind = len(texts), self.table.dtype.type
         total, hits = np.zeros(n), np.zeros((n, len(self.languages)))
         for _, h, owner in grams(texts):
-            mask = np.bitwise_and.reduce([self.table[at] for at in probes(h)])
             total += np.bincount(owner, minlength=n)[:n]
-            for i in range(len(self.languages)):
-                hits[:, i] += np.bincount(owner, mask >> kind(i) & kind(1), minlength=n)[:n]
+            at = probes(h)
+            for w, word in enumerate(self.table):
+                mask = np.bitwise_and.reduce([word[x] for x in at])
+                for i in range(64 * w, min(64 * w + 64, len(self.languages))):
+                    hits[:, i] += np.bincount(owner, mask >> kind(i % 64) & kind(1), minlength=n)[:n]
         return total, hits
 
     def unknown(self, total: np.ndarray, hits: np.ndarray) -> np.ndarray:
@@ -134,16 +138,19 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, sample_docs: int = 3000, top: int = 4000, relative: float = 0.3) -> Filters:
-    """Learns from text and lang of labelled rows that are not held out: about ``sample_docs`` rows of each language, chosen by a hash of their id."""
+def fit(docs: DataFrame, sample_docs: int = 3000, top: int = 4000, relative: float = 0.3, most: int = 1024) -> Filters:
+    """Learns from text and lang of labelled rows that are not held out: about ``sample_docs`` rows of each language, chosen by a hash of their id.
+
+    Of more than ``most`` languages those with the most rows are learnt (then by name).
+    """
     rows = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
     languages = sorted(counts)
-    if not languages:  # at most 64 names: one for each language
+    if not languages:
         return Filters.build([], [])
     number = {lang: i for i, lang in enumerate(languages)}
-    share = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(1_000_000 * min(1.0, sample_docs / n))))))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
+    shares = docs.sparkSession.createDataFrame([(lang, int(1_000_000 * min(1.0, sample_docs / n))) for lang, n in counts.items()], "lang string, share long")
+    sample = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share")).drop("share")  # at most ``most`` rows
 
     def run(batches):
         for batch in steps(batches):
@@ -161,15 +168,15 @@ def fit(docs: DataFrame, sample_docs: int = 3000, top: int = 4000, relative: flo
     return Filters.build(languages, [(r.number, r.gram) for r in best.select("number", "gram").collect()])
 
 
-def identify(docs: DataFrame, filters: Filters, floor: bool = False) -> DataFrame:
-    """All columns of docs, with lang_pred and score at the end (columns of these names are replaced); ``floor`` as in ``predict``."""
-    docs = docs.drop("lang_pred", "score")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, lang_pred string, score double"
+def identify(docs: DataFrame, filters: Filters, floor: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of docs, with the language and its score at the end (columns of these names are replaced); ``floor`` as in ``predict``."""
+    docs = docs.drop(*names)
+    schema = StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
 
     def run(batches):
         for batch in steps(batches):
-            names, scores = filters.predict(batch.column("text").to_pylist(), floor)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], [*batch.schema.names, "lang_pred", "score"])
+            found, scores = filters.predict(batch.column("text").to_pylist(), floor)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores)], [*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 

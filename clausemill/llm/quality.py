@@ -14,6 +14,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -85,17 +86,26 @@ def may_repeat(rows: list[list[bytes]]) -> list[bool]:
 
 
 class Document:
-    """A text whose words are split once, when a rule first asks for them."""
+    """A text whose words and measures are computed once, when a rule first asks for them."""
 
     def __init__(self, text: str | None):
         self.text = text or ""
-        self._words: list[bytes] | None = None
 
-    @property
+    @cached_property
     def words(self) -> list[bytes]:
-        if self._words is None:
-            self._words = self.text.encode("utf-8").split()
-        return self._words
+        return self.text.encode("utf-8", "surrogatepass").split()
+
+    @cached_property
+    def symbols(self) -> int:
+        return symbols(self.text)
+
+    @cached_property
+    def duplicate_lines(self) -> int:
+        return duplicate_lines(self.text)
+
+    @cached_property
+    def repeated_words(self) -> int:
+        return repeated_words(self.words)
 
 
 @dataclass(frozen=True)
@@ -113,9 +123,9 @@ def rules(min_words: int = 10, repeat_percent: int = 20, symbol_percent: int = 1
     """The production rules; shares are per hundred words, lines or letters."""
     return (
         Rule("few_words", lambda d: len(d.words) < min_words),
-        Rule("repeated_windows", lambda d: 100 * repeated_words(d.words) > repeat_percent * len(d.words)),
-        Rule("symbols", lambda d: 100 * symbols(d.text) > symbol_percent * len(d.words)),
-        Rule("duplicate_lines", lambda d: 100 * duplicate_lines(d.text) > duplicate_line_percent * (d.text.count("\n") + 1)),
+        Rule("repeated_windows", lambda d: 100 * d.repeated_words > repeat_percent * len(d.words)),
+        Rule("symbols", lambda d: 100 * d.symbols > symbol_percent * len(d.words)),
+        Rule("duplicate_lines", lambda d: 100 * d.duplicate_lines > duplicate_line_percent * (d.text.count("\n") + 1)),
         Rule("capitals", _capitals),
         Rule("stutter", lambda d: 100 * stutters(d.words) > stutter_percent * len(d.words)),
     )
@@ -146,7 +156,7 @@ def keep(docs: DataFrame, ordered: tuple[Rule, ...]) -> DataFrame:
     """The rows that no rule rejects, with all their columns; rules run in the order given and stop at the first rejection."""
 
     def run(batches):
-        for batch in batches:
+        for batch in steps(batches):
             own = [not any(r.rejects(d) for r in ordered) for d in map(Document, batch.column("text").to_pylist())]
             yield batch.filter(pa.array(own, pa.bool_()))
 
@@ -157,18 +167,23 @@ MEASURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_li
 
 
 def measure(docs: DataFrame, ordered: tuple[Rule, ...], min_words: int = 10, repeat_percent: int = 20) -> DataFrame:
-    """Base measures of every row, whether the base rules fail it, and the cascade's verdict on the others."""
-    others = tuple(r for r in ordered if r.name not in ("few_words", "repeated_windows"))
+    """Base measures of every row, whether the base rules fail it, and the cascade's verdict.
+
+    The cascade is that of ``keep``: all rules, in the order given, up to the first
+    rejection.  Measures that the row returns anyhow are computed once for both.
+    """
 
     def run(batches):
         for batch in steps(batches):
             own = [Document(t) for t in batch.column("text").to_pylist()]
-            maybe = may_repeat([d.words for d in own])
-            repeated = [repeated_words(d.words) if m else 0 for d, m in zip(own, maybe, strict=True)]
+            for d, maybe in zip(own, may_repeat([d.words for d in own]), strict=True):
+                if not maybe:
+                    d.repeated_words = 0
+            kept = [not any(r.rejects(d) for r in ordered) for d in own]
             n = [len(d.words) for d in own]
-            failed = [a < min_words or 100 * r > repeat_percent * a for a, r in zip(n, repeated, strict=True)]
-            kept = [not f and not any(r.rejects(d) for r in others) for f, d in zip(failed, own, strict=True)]
-            cols = [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, [word_chars(d.text) for d in own], [symbols(d.text) for d in own], [duplicate_lines(d.text) for d in own], repeated)), pa.array(failed), pa.array(kept)]
+            failed = [k < min_words or 100 * d.repeated_words > repeat_percent * k for k, d in zip(n, own, strict=True)]
+            kept = [k and not f for k, f in zip(kept, failed, strict=True)]
+            cols = [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, [word_chars(d.text) for d in own], [d.symbols for d in own], [d.duplicate_lines for d in own], [d.repeated_words for d in own])), pa.array(failed), pa.array(kept)]
             yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in MEASURES.split(", ")])
 
     return docs.select(F.col("doc_id"), F.col("text")).mapInArrow(run, MEASURES)

@@ -25,6 +25,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +35,9 @@ from clausemill.llm.common import shared_dir, steps
 BLOCK = 512
 PERCENTILES = (50, 75, 90, 95, 99, 100)
 MAGIC = b"CMPF"
-MANIFEST = "path string, first_doc long, n_docs long, n_tokens long"
+MANIFEST = "path string, part int, place int, first_doc long, n_docs long, n_tokens long"
+#: Ids that a task reads back, about.
+READ_TOKENS = 8_000_000
 
 
 def bits(values: np.ndarray) -> np.ndarray:
@@ -126,7 +129,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
     Null text counts as empty (its ids: the end id alone), a null doc_id comes first,
     rows that share a doc_id come in order of their text.  An empty table gives no
     file.  A range shuffle by doc_id moves the texts once; a task holds one file's
-    ids at most, beside a step of texts.
+    ids at most, beside a step of texts, also where very many rows share a doc_id.
+    Files come in the order of ``part`` (the task) and ``place``.
     """
     spark = docs.sparkSession
     folder = folder or shared_dir(spark, "token-files")
@@ -135,20 +139,23 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
         e = encoder(tokenizer)
         files, base = _files(folder)
         files.create_dir(base, recursive=True)
-        docs_, ids_, size = [], [], 0
+        docs_, ids_, size, place = [], [], 0, 0
+        part = TaskContext.get().partitionId()
 
         def flush():
+            nonlocal place
+            place += 1
             lengths = np.array([len(x) for x in ids_], np.int64)
             name = f"{base}/{uuid.uuid4().hex}.tok"
             with files.open_output_stream(name) as out:
                 out.write(to_bytes(np.concatenate(ids_), docs_, np.cumsum(lengths)))
-            return pa.RecordBatch.from_pylist([{"path": f"{folder}/{name.rpartition('/')[2]}", "first_doc": docs_[0], "n_docs": len(docs_), "n_tokens": int(lengths.sum())}], pa.schema([("path", pa.string()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+            return pa.RecordBatch.from_pylist([{"path": f"{folder}/{name.rpartition('/')[2]}", "part": part, "place": place, "first_doc": docs_[0], "n_docs": len(docs_), "n_tokens": int(lengths.sum())}], pa.schema([("path", pa.string()), ("part", pa.int32()), ("place", pa.int32()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
         for batch in steps(batches):
             ids, counts = e.encode(batch.column("text").to_pylist())
             ends = segments(counts)
             for k, doc in enumerate(batch.column("doc_id").to_pylist()):
-                if docs_ and size >= tokens_per_file and doc != docs_[-1]:
+                if docs_ and size >= tokens_per_file:
                     yield flush()
                     docs_, ids_, size = [], [], 0
                 docs_.append(doc)
@@ -166,9 +173,14 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
 def read(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read back from the files.
 
-    The running sum goes over one row per file, not over documents.
+    Running sums go over a task's files, and over one row for each writing task.  Files
+    are spread over tasks of about ``READ_TOKENS`` ids.
     """
-    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy(F.col("first_doc").asc_nulls_first(), "path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("size"))
+    ahead = Window.rowsBetween(Window.unboundedPreceding, -1)
+    first = parts.select("part", F.coalesce(F.sum("size").over(ahead.orderBy("part")), F.lit(0)).alias("first"))
+    own = F.coalesce(F.sum("n_tokens").over(ahead.partitionBy("part").orderBy("place")), F.lit(0))
+    tasks = 1 + (manifest.agg(F.sum("n_tokens")).first()[0] or 0) // READ_TOKENS
 
     def run(batches):
         for batch in batches:
@@ -181,5 +193,5 @@ def read(manifest: DataFrame) -> DataFrame:
                 crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(base + starts, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spread = manifest.select("path", before.alias("file_start")).repartition(F.col("path"))
+    spread = manifest.withColumn("own", own).join(first, "part").select("path", (F.col("first") + F.col("own")).alias("file_start")).repartition(int(tasks))
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -22,8 +22,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     filters, letters = language.fit(docs), F.col("text").rlike(r"\p{L}")
     if not filters.learnt:  # no labels to learn from
         return docs.where(letters)
-    found = language.identify(docs, filters, floor=True).where((F.col("lang_pred") != "und") | ~F.col("lang").isin(filters.learnt) & letters)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    name, score = (next(x for x in (f"{y}{'_' * k}" for k in range(len(docs.columns) + 1)) if x not in docs.columns) for y in ("lang_pred", "score"))
+    found = language.identify(docs, filters, True, (name, score)).where((F.col(name) != "und") | ~F.col("lang").isin(filters.learnt) & letters)
+    return found.withColumn("lang", F.coalesce("lang", name)).select(docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

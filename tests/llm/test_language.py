@@ -39,7 +39,7 @@ def test_filter_has_every_learnt_gram_and_few_others():
     f = language.Filters.build(["x", "y"], [(int(i % 2), int(v)) for i, v in enumerate(h)])
 
     def masks(values):
-        return np.bitwise_and.reduce([f.table[at] for at in language.probes(values.view(np.uint64))])
+        return np.bitwise_and.reduce([f.table[0][at] for at in language.probes(values.view(np.uint64))])
 
     assert all(m >> (i % 2) & 1 for i, m in enumerate(masks(h)))
     others = masks(rng.integers(-(1 << 63), (1 << 63) - 1, 50_000))
@@ -55,3 +55,38 @@ def test_grams_stay_inside_texts():
     assert got[2][0] == 3 and got[3][0] == 2 and got[4][0] == 1 and got[2][1] == 0 and got[2][2] == 2
     alone = [sorted(h.tolist()) for _, h, _ in language.grams(["ab"])]
     assert alone == [sorted(h[o == 1].tolist()) for _, h, o in language.grams(["xyz", "ab", "q"])]
+
+
+def test_more_languages_than_a_word_has_bits(spark):
+    table = [(10 * i + k, f"{' '.join(f'q{chr(97 + i % 26)}{chr(97 + i // 26)}x' for _ in range(6))}", f"l{i:03d}", "s") for i in range(150) for k in range(6)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string, source string")
+    filters = language.fit(docs)
+    assert len(filters.languages) == 150 and filters.table.shape[0] == 3
+    truth = {i: x for i, _, x, _ in table}
+    held = [r for r in language.predictions(docs, filters).collect() if r.held_out]
+    assert sum(truth[r.doc_id] == r.lang_pred for r in held) == len(held) > 100
+    assert len(language.fit(docs, most=70).languages) == 70
+
+
+def test_predictions_equal_a_plain_count():
+    """The filter's decision, recounted n-gram by n-gram over sets, without probes."""
+    texts = [t for _, t, _ in rows(60)]
+    owner = [list(WORDS).index(x) if x in WORDS else 0 for *_, x in rows(60)]
+    known = [set() for _ in WORDS]
+    for t, k in zip(texts, owner, strict=True):
+        for _, h, _ in language.grams([t]):
+            known[k].update(h.tolist())
+    f = language.Filters.build(list(WORDS), [(k, int(np.uint64(v).astype(np.int64))) for k, own in enumerate(known) for v in own])
+    names, scores = f.predict(texts)
+    for t, name, score in zip(texts, names, scores, strict=True):
+        own = [v for _, h, _ in language.grams([t]) for v in h.tolist()]
+        found = [sum(v in k for v in own) for k in known]
+        if not own:
+            assert (name, score) == ("und", 0.0)
+        elif sorted(found)[-1] - sorted(found)[-2] > 0.02 * len(own) + 1:
+            assert name == list(WORDS)[found.index(max(found))] and abs(score - max(found) / sum(found)) < 0.05
+
+
+def test_ties_and_unknown_letters():
+    f = language.Filters.build(["b", "c"], [(k, int(v.astype(np.int64))) for k in (0, 1) for _, h, _ in language.grams(["same words"]) for v in h])
+    assert f.predict(["same words", "ΩΩΩ", "1 2", None]) [0] == ["b", "b", "und", "und"] and f.predict(["ΩΩΩ"])[1][0] == 0.0

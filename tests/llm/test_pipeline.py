@@ -49,3 +49,11 @@ def test_language_stage_rejects_what_no_filter_knows(spark):
     got = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, docs, "").collect()}
     assert {100, 107, 103}.isdisjoint(got) and [got[i] for i in (108, 104, 105)] == ["el", "en", "en"]
     assert {i for i in got if i < 100} == {i for i, t, *_ in rows() if t and any(c.isalpha() for c in t)}
+
+
+def test_columns_with_the_operators_names_stay(spark):
+    docs = spark.createDataFrame([(*r, 777.0, f"p{r[0]}") for r in rows()], "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns[-2:] == ["score", "lang_pred"]
+    assert {(r.score, r.lang_pred == f"p{r.doc_id}") for r in docs.collect()} == {(777.0, True)}

@@ -29,3 +29,21 @@ def test_measures(spark):
     kept = quality.keep(docs, ordered)
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept} and kept.columns == docs.columns
     assert quality.measure(docs.limit(0), ordered).collect() == []
+
+
+def test_the_order_does_not_change_the_verdict(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, "a b " * 30, "LOUD " * 20, "# $ % x " * 9] * 2)], "doc_id long, text string")
+    want = None
+    for shift in range(6):
+        rules = quality.rules()
+        ordered = rules[shift:] + rules[:shift]
+        got = sorted(map(tuple, quality.measure(docs, ordered).collect()))
+        assert want in (None, got)
+        want = got
+        assert sorted(r.doc_id for r in quality.keep(docs, ordered).collect()) == [r[0] for r in got if r[-1]]
+
+
+def test_a_cascade_stops_at_the_first_rejection():
+    asked = []
+    ordered = [quality.Rule(str(k), lambda d, k=k: asked.append(k) or k == 1) for k in range(3)]
+    assert any(r.rejects(quality.Document("x")) for r in ordered) and asked == [0, 1]

@@ -1,5 +1,7 @@
 """Encoding, token files and packing against the tokenizers library."""
 
+import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -24,11 +26,39 @@ def test_encoder_equals_library(name):
         at += n
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_library_at_random(name):
+    r = random.Random(11)
+    library, own = Tokenizer.from_file(public_tokenizers.path(name)), PieceEncoder(Merges(public_tokenizers.path(name)))
+    signs = ["a", "B", "the", " ", " ", "  ", "\n", "\t", "'s", "'LL", "1", "234", ".", ",", "!?", "é", "ß", "日", "😀", "\u0301", "\xa0", "\u3000", "\u200b", "<|endoftext|>", "<|", "#", "%%%", "ﬁ", "İ", "ǅ", "\x1c", "\x00", "\x7f", "µ", "Σ"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 40))) for _ in range(4000)]
+    ids, counts = own.encode(texts)
+    at = 0
+    for text, n in zip(texts, counts.tolist(), strict=True):
+        assert ids[at : at + n].tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+        at += n
+
+
+def test_round_trip_digests(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = [*TEXTS, "\ud7ff\ue000 é" * 9, "日本" * 4000]
+    got = {r.doc_id: r for r in token_digests.round_trip(documents(spark, texts).repartition(3), path).collect()}
+    for i, text in enumerate(texts):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        back = library.decode(ids, skip_special_tokens=False)
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()), i
+
+
 def test_piece_table_is_bounded():
     e = PieceEncoder(Merges(public_tokenizers.path("byte_bpe_50k.json")), max_pieces=3)
     for text in ("a b c d e", "f g h", "i j k l"):
         e.encode([text])
         assert len(e.table) <= 3 + 5  # the bound and one call
+    e = PieceEncoder(Merges(public_tokenizers.path("byte_bpe_50k.json")), max_bytes=1000)
+    for i in range(20):
+        e.encode([f"{i}" + "日本" * 300])
+        assert e.held <= 1000 + 2500
 
 
 def documents(spark, texts):
@@ -67,6 +97,20 @@ def test_token_files(spark, tmp_path):
     assert empty.collect() == []
 
 
+def test_token_files_of_one_hot_id(spark, tmp_path):
+    """Rows of one doc_id and of none fill many files, in order."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(7, f"text {i:04d} of many words") for i in range(300)] + [(None, f"none {i:03d}") for i in range(60)] + [(9, "last"), (1, "first")]
+    manifest = token_files.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), path, 0, f"file://{tmp_path}/h", tokens_per_file=100)
+    assert manifest.count() > 15 and manifest.agg({"n_tokens": "max"}).first()[0] < 120
+    got = sorted(token_files.read(manifest).collect(), key=lambda r: r.start)
+    library, start = Tokenizer.from_file(path), 0
+    for (doc, text), r in zip(sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1])), got, strict=True):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 0]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_karmarkar_karp_is_near_equal():
     sizes = [8, 7, 6, 5, 4]
     loads = sorted(sum(sizes[i] for i in w) for w in packing.karmarkar_karp(sizes, 2))
