@@ -67,7 +67,8 @@ def similar_pairs(rows: DataFrame, domain: str, order: str, text: str, num: int
     Exact prefix filter: in a global order of tokens (the most common last, so that
     they seldom join), similar sets share one of their first n - ceil(num/den n) + 1.
     """
-    sets = rows.select(F.col(domain).alias("domain"), F.col(order).alias("order"), F.array_sort(token_set(F.coalesce(F.col(text), F.lit("")))).alias("tokens")).where(F.size("tokens") > 0)
+    # a domain as a structure, so that null is a domain like any other
+    sets = rows.select(F.struct(F.col(domain).alias("domain")).alias("domain"), F.col(order).alias("order"), F.array_sort(token_set(F.coalesce(F.col(text), F.lit("")))).alias("tokens")).where(F.size("tokens") > 0)
     sets = sets.groupBy("domain", "tokens").agg(F.min("order").alias("order")).withColumn("n", F.size("tokens"))
     sets = cut(sets, "token-sets")
     common = [r.token for r in sets.select(F.explode("tokens").alias("token")).groupBy("token").count().orderBy(F.desc("count"), "token").limit(hot).collect()]
@@ -85,6 +86,11 @@ def similar_pairs(rows: DataFrame, domain: str, order: str, text: str, num: int
     return sets, both.select("domain", "i", "j", "overlap", "total")
 
 
+def plain_domain(found: DataFrame) -> DataFrame:
+    """Sets or pairs with the domain itself."""
+    return found.withColumn("domain", F.col("domain.domain"))
+
+
 def greedy_survivors(pairs: DataFrame) -> DataFrame:
     """(domain, j) of the rows that a kept earlier row removes.
 
@@ -111,7 +117,7 @@ def drop_near_duplicates(rows: DataFrame, domain: str, order: str, text: str) ->
     """
     sets, pairs = similar_pairs(rows, domain, order, text)
     gone = greedy_survivors(pairs)
-    firsts = sets.select("domain", "order").join(gone.select("domain", F.col("j").alias("order")), ["domain", "order"], "left_anti")
+    firsts = plain_domain(sets.select("domain", "order").join(gone.select("domain", F.col("j").alias("order")), ["domain", "order"], "left_anti"))
     bare = F.size(token_set(F.coalesce(F.col(text), F.lit("")))) == 0
     with_tokens = rows.where(~bare).join(firsts, rows[domain].eqNullSafe(firsts["domain"]) & (rows[order] == firsts["order"]), "left_semi")
     return with_tokens.unionByName(rows.where(bare))

@@ -52,8 +52,12 @@ def char_ngrams(text: Column, low: int = 3, high: int = 5) -> Column:
 
 
 def term_counts(rows: DataFrame, key: str, grams: Column) -> DataFrame:
-    """key, term, tf."""
-    return rows.select(F.col(key).alias("key"), F.explode(grams).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
+    """key, term, tf.
+
+    Rows are dealt by key before their terms are exploded, so that texts cross the
+    network once and no term does: counts by key and term then need no shuffle.
+    """
+    return rows.repartition(F.col(key)).select(F.col(key).alias("key"), F.explode(grams).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(counts: DataFrame, min_df: int = 2, most: int | None = 8000) -> DataFrame:

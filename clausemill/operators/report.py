@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausemill.functions.lexicon import LABELS
+from clausemill.operators.rank import with_rank
 
 
 def counts(rows: DataFrame, by: str) -> DataFrame:
@@ -15,17 +16,20 @@ def counts(rows: DataFrame, by: str) -> DataFrame:
 
 
 def summary(rows: DataFrame, value: str) -> DataFrame:
-    """One row: count, mean, std (sample), min, quartiles (interpolated), max, sum."""
+    """One row: count, mean, std (sample), min, quartiles (interpolated), max, sum.
+
+    Quartiles are read at their ranks in a range-partitioned order, so no task holds
+    all distinct values.
+    """
     v = F.col(value)
-    return rows.agg(
-        F.count(v).alias("count"),
-        F.mean(v).alias("mean"),
-        F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"),
-        *(F.percentile(v, F.lit(p)).alias(f"p{int(p * 100)}") for p in (0.25, 0.5, 0.75)),
-        F.max(v).alias("max"),
-        F.sum(v).alias("sum"),
-    )
+    placed = with_rank(rows.select(v.alias("v")).where(v.isNotNull()), [F.col("v").asc()], "place")
+    one = placed.agg(F.count("v").alias("count"), F.mean("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), F.sum("v").alias("sum"))
+    shares = (0.25, 0.5, 0.75)
+    at = {p: 1 + F.lit(p) * (F.col("count") - 1) for p in shares}
+    ends = placed.join(F.broadcast(one.select("count"))).agg(*(F.max(F.when(F.col("place") == f(at[p]), F.col("v"))).alias(f"{side}{int(p * 100)}") for p in shares for side, f in (("low", F.floor), ("high", F.ceil))))
+    ends = one.join(F.broadcast(ends))  # one row on either side
+    parts = {p: F.col(f"low{int(p * 100)}") + (F.col(f"high{int(p * 100)}") - F.col(f"low{int(p * 100)}")) * (at[p] - F.floor(at[p])) for p in shares}
+    return ends.select("count", "mean", "std", "min", *(parts[p].alias(f"p{int(p * 100)}") for p in shares), "max", "sum")
 
 
 def pivot(rows: DataFrame, by: str, label: str, values: tuple[str, ...] = LABELS) -> DataFrame:
@@ -84,6 +88,18 @@ def extraction_summary(manifest: DataFrame) -> DataFrame:
     return out.withColumn("thin", F.coalesce(F.col("average_words") < 200, F.lit(True)))
 
 
+def collection_summary(files: DataFrame) -> DataFrame:
+    """domain, files, and the share of all files in percent."""
+    return counts(files, "domain").select("domain", F.col("n").alias("files"), "share")
+
+
+def cards(ranked: DataFrame, values: tuple[str, ...] = LABELS) -> tuple[DataFrame, DataFrame]:
+    """What a results page shows: one row of counts (total, each label), and the ranked clauses as cards."""
+    head = ranked.agg(F.count("*").alias("total"), *(F.count_if(F.col("label") == v).alias(v.lower()) for v in values))
+    own = [c for c in ("doc", "rank", "clause", "label", "badge", "confidence") if c in ranked.columns]
+    return head, ranked.select(*own)
+
+
 def label_summary(rows: DataFrame, label: str) -> DataFrame:
     """One row with the count of each label."""
     return rows.agg(*(F.count_if(F.col(label) == v).alias(v) for v in LABELS))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clausemill.operators.rank import with_rank
+
 
 def hash_order(key: list[str], seed: int) -> Column:
     """A stable pseudo-random order of rows by their key."""
@@ -23,9 +25,8 @@ def balance(rows: DataFrame, label: str, score: str, key: list[str], k: int = 10
     a row appears that often at most.  Adds ``copy`` (0 for a large class).  A class
     without rows gives none.
     """
-    # labels are few, so their counts are a small table
     counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
-    known = rows.join(F.broadcast(counts), rows[label].eqNullSafe(counts[label])).drop(counts[label])
+    known = rows.join(counts, rows[label].eqNullSafe(counts[label])).drop(counts[label])
     large = top_per_class(known.where(F.col("_n") >= k), label, score, key, k).withColumn("copy", F.lit(0))
     copies = known.where(F.col("_n") < k).withColumn("copy", F.explode(F.sequence(F.lit(0), F.expr(f"cast({k} div _n as int)"))))
     place = F.row_number().over(Window.partitionBy(label).orderBy(hash_order([*key, "copy"], seed), *key, "copy"))
@@ -53,9 +54,10 @@ def stratified_split(rows: DataFrame, label: str, key: list[str], test_share: fl
     balancing: then no test row has a copy among the training rows.
     """
     groups = rows.select(label, *key).distinct()
-    w = Window.partitionBy(label)
-    place = F.row_number().over(w.orderBy(hash_order(key, seed), *key))
-    marked = groups.withColumn("_place", place).withColumn("_n", F.count("*").over(w)).withColumn("is_test", F.col("_place") <= F.floor(F.col("_n") * test_share)).drop("_place", "_n")
+    # ranks of the whole order less those before the label: no task sorts a label alone
+    placed = with_rank(groups, [F.col(label).asc(), hash_order(key, seed).asc(), *(F.col(k).asc() for k in key)], "_place")
+    sizes = placed.groupBy(F.col(label).alias("_label")).agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    marked = placed.join(sizes, F.col(label).eqNullSafe(F.col("_label"))).withColumn("is_test", F.col("_place") - F.col("_first") < F.floor(F.col("_n") * test_share))
     marked = marked.select(*(F.col(c).alias(f"_{c}") for c in (label, *key)), "is_test")
     same = None
     for c in (label, *key):

@@ -53,7 +53,8 @@ def cross_similarity(rows: DataFrame, label: str, vector: str, key: str, first:
     """label_a < label_b, similarity: mean cosine of all pairs between the first rows of two labels."""
     u = _unit_sums(rows, label, vector, key, first)
     a, b = (u.select(F.col("label").alias(f"label_{x}"), F.col("s").alias(f"s_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    # one row a label on either side
+    if b.limit(10_001).count() > 10_000:
+        raise ValueError("more than 10,000 labels are too many for every pair of them")
     return a.join(F.broadcast(b), F.col("label_a") < F.col("label_b")).select("label_a", "label_b", (dot(F.col("s_a"), F.col("s_b")) / (F.col("n_a") * F.col("n_b"))).alias("similarity"))
 
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as T
 from clausemill.functions.dom import strip_html_dom
 from clausemill.functions.lexicon import FIXTURE, LABELS, POLICY, Lexicon
-from clausemill.operators import clean, ngrams, rank, report, sample, score, segment, vectors
+from clausemill.operators import clean, ml, ngrams, rank, report, sample, score, segment, vectors
+from clausemill.plans.stages import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -125,7 +127,7 @@ q AS (SELECT domain, i, j, overlap, CAST(size - overlap AS INTEGER) AS total FRO
 
 def _near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs between first rows of each token set; rows with equal sets are listed by the exact filter."""
-    return clean.similar_pairs(documents(spark, sf_dir), "source", "doc_id", "text")[1]
+    return clean.plain_domain(clean.similar_pairs(documents(spark, sf_dir), "source", "doc_id", "text")[1])
 
 
 _add("f11_similar_pairs", _near_pairs, f"WITH {PAIRS_SQL}, f AS (SELECT min(doc_id) AS doc_id FROM t GROUP BY source, list_sort(w)) SELECT q.* FROM q WHERE i IN (SELECT doc_id FROM f) AND j IN (SELECT doc_id FROM f)")
@@ -220,7 +222,7 @@ z AS (SELECT doc_id, pos, CAST(round(CAST(CAST(CASE WHEN p1 = 0 THEN 0.0 WHEN be
 
 def _tfidf(spark: SparkSession, sf_dir: str, sublinear: bool) -> DataFrame:
     docs = documents(spark, sf_dir)
-    counts = ngrams.term_counts(docs, "doc_id", ngrams.ngrams(ngrams.tokens(F.col("text"), ngrams.WORD_TOKEN), 1, 2))
+    counts = cut(ngrams.term_counts(docs, "doc_id", ngrams.ngrams(ngrams.tokens(F.col("text"), ngrams.WORD_TOKEN), 1, 2)), "counts")
     w = ngrams.tfidf(counts, ngrams.vocabulary(counts, 2, 3000), docs.count(), sublinear)
     return w.select(F.col("key").alias("doc_id"), "term", F.round("weight", 5).alias("weight"))
 
@@ -233,7 +235,7 @@ SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 5) A
 
 def _char_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    counts = ngrams.term_counts(docs, "doc_id", ngrams.char_ngrams(F.col("text")))
+    counts = cut(ngrams.term_counts(docs, "doc_id", ngrams.char_ngrams(F.col("text"))), "counts")
     w = ngrams.tfidf(counts, ngrams.vocabulary(counts, 1, 1000), docs.count(), True)
     return w.select(F.col("key").alias("doc_id"), "term", F.round("weight", 5).alias("weight"))
 
@@ -274,9 +276,14 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _JUDGED = "j AS (SELECT doc_id, CASE quality WHEN 1 THEN 'High' ELSE 'Low' END AS actual, CASE toxic WHEN 0 THEN 'High' ELSE 'Low' END AS predicted FROM labels)"
 _add("a16_confusion", lambda s, d: report.confusion(_judged(s, d), "actual", "predicted", ("High", "Low")), f"WITH {_JUDGED} SELECT actual, count(*) FILTER (predicted = 'High') AS High, count(*) FILTER (predicted = 'Low') AS Low FROM j GROUP BY actual")
-_add("a17_metrics", lambda s, d: report.class_metrics(_judged(s, d), "actual", "predicted", ("High", "Low")).select("label", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")), "support").where("label in ('High', 'Low')"), f"""WITH {_JUDGED}, x AS (SELECT unnest(['High', 'Low']) AS label),
-m AS (SELECT label, count(*) FILTER (actual = label AND predicted = label) AS tp, count(*) FILTER (predicted = label) AS pp, count(*) FILTER (actual = label) AS support FROM x, j GROUP BY label)
-SELECT label, round(tp / pp, 6) AS precision, round(tp / support, 6) AS recall, round(2 * (tp / pp) * (tp / support) / (tp / pp + tp / support), 6) AS f1, support FROM m""")
+_add("a17_metrics", lambda s, d: report.class_metrics(_judged(s, d), "actual", "predicted", ("High", "Low")).select("label", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")), "support"), f"""WITH {_JUDGED}, x AS (SELECT unnest(['High', 'Low']) AS label),
+m AS (SELECT label, count(*) FILTER (actual = label AND predicted = label) AS tp, count(*) FILTER (predicted = label) AS pp, count(*) FILTER (actual = label) AS support FROM x, j GROUP BY label),
+r AS (SELECT label, tp / pp AS p, tp / support AS r, 2 * (tp / pp) * (tp / support) / (tp / pp + tp / support) AS f, support FROM m)
+SELECT label, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1, support FROM r
+UNION ALL SELECT 'macro avg', round(avg(p), 6), round(avg(r), 6), round(avg(f), 6), CAST(sum(support) AS BIGINT) FROM r
+UNION ALL SELECT 'weighted avg', round(sum(p * support) / sum(support), 6), round(sum(r * support) / sum(support), 6), round(sum(f * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM r
+UNION ALL SELECT 'accuracy', round(avg(CAST(actual = predicted AS INTEGER)), 6), round(avg(CAST(actual = predicted AS INTEGER)), 6), round(avg(CAST(actual = predicted AS INTEGER)), 6), count(*) FROM j""")
+_add("a18_recall_of_one", lambda s, d: report.class_metrics(_judged(s, d), "actual", "predicted", ("High", "Low")).where("label = 'High'").select(F.round("recall", 6).alias("recall")), f"WITH {_JUDGED} SELECT round(count(*) FILTER (predicted = 'High') / count(*), 6) AS recall FROM j WHERE actual = 'High'")
 _add("a19_mistakes", lambda s, d: report.mistakes_by_class(_judged(s, d), "actual", "predicted"), f"WITH {_JUDGED} SELECT actual, predicted, count(*) AS n FROM j WHERE actual <> predicted GROUP BY ALL")
 _add("a20_bars", lambda s, d: report.counts(documents(s, d), "lang").select("lang", report.bar(F.col("n"), 25).alias("bar")), "SELECT lang, repeat('█', CAST(floor(count(*) / 25) AS BIGINT)) AS bar FROM documents GROUP BY lang")
 
@@ -296,7 +303,12 @@ def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("m01_label_codes", _coded, "SELECT doc_id, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS code FROM documents")
-_add("m02_scale", lambda s, d: documents(s, d).join(F.broadcast(documents(s, d).agg(F.mean("n_chars").alias("m"), F.stddev_pop("n_chars").alias("sd")))).select("doc_id", F.round((F.col("n_chars") - F.col("m")) / F.col("sd"), 6).alias("z")), "SELECT doc_id, round((n_chars - avg(n_chars) OVER ()) / stddev_pop(n_chars) OVER (), 6) AS z FROM documents")
+def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return SQLTransformer(statement=ml.scale_statement(docs, ("n_chars",))).transform(docs).select("doc_id", F.round("_z_n_chars", 6).alias("z"))
+
+
+_add("m02_scale", _scaled, "SELECT doc_id, round((n_chars - avg(n_chars) OVER ()) / stddev_pop(n_chars) OVER (), 6) AS z FROM documents")
 
 # Ranking
 SCORED_DOCS = f"WITH c AS (SELECT doc_id, text AS clause FROM documents), {score_sql(FIXTURE, 'c', 'doc_id')}, y AS (SELECT doc_id, risk_score, {LABEL_SQL} AS risk_label FROM f), w AS (SELECT *, CASE risk_label WHEN 'Critical' THEN 4 WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END AS severity_weight FROM y)"

@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="clausemill-")
-    return root.rstrip("/")
+    """spark.checkpoint.dir; where it is unset, a temporary folder if all runs in one process, else an error."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark.sparkContext.master)).rstrip("/")
+
+
+@lru_cache(maxsize=1)
+def _own_folder(master: str) -> str:
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="clausemill-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

@@ -6,6 +6,8 @@ A folder holds one sub-folder per domain.  Files are read whole through Spark's
 
 from __future__ import annotations
 
+import importlib.util
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,20 +41,29 @@ def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("txt", "
     return rows.where(F.col("extension").isin(*extensions))
 
 
-def pdf_text(rows: DataFrame, join: str = "\n") -> DataFrame:
-    """Adds ``text`` from PDF content; empty where a file cannot be read or no PDF library is installed."""
+def pdf_library() -> str | None:
+    """The library that reads PDF files, where one is installed."""
+    return "pdfplumber" if importlib.util.find_spec("pdfplumber") else None
+
+
+def pdf_text(rows: DataFrame, after: str = "", between: str = "\n") -> DataFrame:
+    """Adds ``text`` from PDF content: pages with ``between`` between and ``after`` after each; empty where a file cannot be read.
+
+    Without a PDF library text is null, and a manifest says so (``no_pdf_library``).
+    """
+    if not pdf_library():
+        return rows.withColumn("text", F.lit(None).cast("string"))
+
     @F.pandas_udf("string")
     def pages(content: pd.Series) -> pd.Series:
-        try:
-            import pdfplumber
-        except ImportError:
-            return pd.Series([""] * len(content))
         import io
 
+        import pdfplumber
+
         def one(data: bytes) -> str:
             try:
                 with pdfplumber.open(io.BytesIO(data)) as f:
-                    return join.join(p.extract_text() or "" for p in f.pages)
+                    return between.join((p.extract_text() or "") + after for p in f.pages)
             except Exception:  # noqa: BLE001  a broken file is an empty document
                 return ""
 
@@ -61,18 +72,23 @@ def pdf_text(rows: DataFrame, join: str = "\n") -> DataFrame:
     return rows.withColumn("text", pages("content"))
 
 
+def online_pdf(rows: DataFrame) -> DataFrame:
+    """doc (the path), text of PDF files as the online analysis reads them: two line feeds after each page, no cleaning."""
+    return pdf_text(rows, "\n\n", "").select(F.col("source_path").alias("doc"), "text")
+
+
 def extract(rows: DataFrame) -> DataFrame:
     """Adds ``text``: cleaned text of every scanned file, by its extension."""
     plain = rows.where("extension <> 'pdf'").withColumn("text", decode_fallback(F.col("content")))
     pdf = pdf_text(rows.where("extension = 'pdf'"))
-    return plain.unionByName(pdf).withColumn("text", F.when(F.col("extension").isin("txt", "text", "pdf"), clean_extracted(F.coalesce("text", F.lit("")))).otherwise(F.lit("")))
+    return plain.unionByName(pdf).withColumn("text", F.when(F.col("extension").isin("txt", "text", "pdf"), clean_extracted(F.col("text"))).otherwise(F.lit("")))
 
 
 def manifest(extracted: DataFrame, output_root: str, min_words: int = 50) -> DataFrame:
     """One row per file, kept or skipped."""
     base = F.regexp_replace("filename", r"\.[^.]*$", "")
     words = word_count(F.col("text"))
-    status = F.when(words >= min_words, "ok").otherwise("skipped_too_short")
+    status = F.when(F.col("text").isNull(), "no_pdf_library").when(words >= min_words, "ok").otherwise("skipped_too_short")
     return extracted.select("domain", "filename", "source_path", F.concat(F.lit(output_root.rstrip("/") + "/"), "domain", F.lit("/"), base, F.lit(".txt")).alias("output_path"), words.alias("word_count"), F.length("text").alias("char_count"), status.alias("status"))
 
 
