@@ -13,7 +13,7 @@ def tokens(text: Column, pattern: str) -> Column:
 
 
 def _run(own: Column, n: int):
-    return lambda i: F.array_join(F.slice(own, i, n), " ")
+    return lambda i: F.concat_ws(" ", *(F.get(own, i + (k - 1)) for k in range(n)))
 
 
 def _piece(padded: Column, n: int):

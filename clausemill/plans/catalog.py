@@ -12,7 +12,7 @@ from clausemill.functions import text as T
 from clausemill.functions.dom import strip_html_dom
 from clausemill.functions.lexicon import FIXTURE, LABELS, POLICY, Lexicon
 from clausemill.operators import clean, ml, ngrams, rank, report, sample, score, segment, vectors
-from clausemill.plans.stages import cut
+from clausemill.plans.stages import cut, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,7 +26,7 @@ def _add(name: str, query: Query, sql: str | None = None) -> None:
 
 
 def _table(name: str):
-    return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return lambda spark, sf_dir: spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 documents, pages, labels, embeddings = (_table(n) for n in ("documents", "pages", "labels", "embeddings"))

@@ -75,3 +75,13 @@ def test_too_many_labels_are_not_crossed(spark):
     rows = spark.range(10_002).select(F.col("id").alias("label"), F.array(F.lit(1.0)).alias("v"), "id")
     with pytest.raises(ValueError, match="too many"):
         vectors.cross_similarity(rows, "label", "v", "id")
+
+
+def test_a_scan_of_one_file_uses_all_cores(spark, tmp_path):
+    spark.range(100).withColumn("text", F.lit("x")).coalesce(1).write.parquet(f"{tmp_path}/t")
+    scan = spark.read.parquet(f"{tmp_path}/t")
+    out = stages.spread(scan)
+    assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and out.count() == 100
+    assert stages.spread(out) is out
+    plan = stages.spread(scan).where("id > 5").select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:bigint>" in plan and "PushedFilters: [IsNotNull(id), GreaterThan(id,5)]" in plan
