@@ -16,7 +16,7 @@ A skip group is tied through one hub node instead of through all its pairs, so a
 with thousands of copies of a number costs as many messages.
 
 All potentials are fitted by pseudo-likelihood on weak labels: base spans, and values
-that a text assigns to a key, token or password, in a sample of ``sample_docs`` texts of
+that a text assigns to a key, token or password, in a sample of about ``sample_docs`` texts of
 at most ``sample_chars`` characters.  Every span of the sample is put once more behind its
 text in a weaker form (without country code, spelt out, another alphabet), so that the
 field learns forms that no pattern has, and what a repeat tells; and every text gets a few
@@ -382,9 +382,16 @@ def learn(texts: list[str], least: int = 3, steps_: int = 200, decay: float = 1e
 
 
 def fit(docs: DataFrame, sample_docs: int = 2_000, sample_chars: int = 20_000) -> Field:
-    """A field from a sample of the texts that have candidates, taken by the order of their hashes."""
-    own = docs.select("text").where(F.length("text") <= sample_chars).where(F.col("text").rlike("[0-9@=]"))
-    return learn([r.text for r in own.orderBy(F.xxhash64("text"), "text").limit(sample_docs).collect()])
+    """A field from about ``sample_docs`` of the distinct texts that have candidates, chosen by a hash of the text.
+
+    Their number is estimated first, so that every task sends its share of the sample
+    and no more; of a text with very many copies a task sends one.
+    """
+    own = docs.select("text").where(F.length("text") <= sample_chars).where(F.col("text").rlike("[0-9@=]")).withColumn("hash", F.xxhash64("text"))
+    n = own.agg(F.approx_count_distinct("hash")).first()[0]
+    share = int(1_000_000_000 * min(1.0, sample_docs / max(1, n)))
+    chosen = own.where(F.pmod("hash", F.lit(1_000_000_000)) < share).groupBy("hash", "text").agg(F.count("*"))
+    return learn([r.text for r in sorted(chosen.select("hash", "text").collect())])
 
 
 def added(text: str, at: list[tuple[int, int]], marginals: np.ndarray, base: list[Span]) -> list[Span]:
