@@ -8,7 +8,9 @@ touches and one on either side, encodes those, and updates the sums on the way t
 root.  A page that grows too large makes the tree be laid out again, without encoding.
 
 Null text counts as empty: no segments, no tokens.  Offsets are code points and are
-clipped to the text.  Row-local: no shuffle, and a task holds the trees of one step of
+clipped to the text.  Rows that share a doc_id are counted each for itself, columns beside
+doc_id and text are ignored, whatever their names; an empty table gives an empty result.
+A text without white space is one segment, so every edit of it encodes all of it again.  Row-local: no shuffle, and a task holds the trees of one step of
 texts beside the bounded piece table.
 """
 

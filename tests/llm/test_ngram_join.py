@@ -5,7 +5,9 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
+from clausemill.llm import components as graph
 from clausemill.llm import ngram_join as N
 from clausemill.llm.components import components
 
@@ -206,7 +208,9 @@ def test_key_groups_pass_large_keys_on_in_pieces(monkeypatch):
                         assert any(a in s and b in s for s in met.values())
 
 
-def test_components(spark):
+@pytest.mark.parametrize("part", [200_000, 60])
+def test_components(spark, monkeypatch, part):
+    monkeypatch.setattr(graph, "PART", part)  # one partition, or several and rounds over them
     r = random.Random(9)
     edges = [(i + 1, i) for i in range(300)] + [(r.randrange(1000, 1400), r.randrange(1000, 1400)) for _ in range(150)] + [(5000, 5000)]
     root = {}
