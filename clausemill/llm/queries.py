@@ -26,7 +26,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.edited(read(spark, sf_dir, "documents"))
+    return fingerprints.edited(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
