@@ -218,7 +218,15 @@ def hot_slots(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield flush()
 
     counted = sets.select("shingles").where("shingles is not null").mapInArrow(run, "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
-    top = counted.orderBy(F.desc("times"), "shingle").limit(HOT_MOST).collect()
+    counted = materialise(counted.withColumn("level", F.floor(8 * F.log2("times")).cast("int")), "counted")
+    # the lowest level down to which there are no more than the list may hold
+    held, least = 0, 1 << 30
+    for r in counted.groupBy("level").count().orderBy(F.desc("level")).collect():  # eight levels for each power of two
+        held += r["count"]
+        if held > HOT_MOST:
+            break
+        least = r.level
+    top = counted.where(F.col("level") >= least).select("shingle", "times").collect()
     return _slots([r.shingle for r in top]), _slots([r.shingle for r in top if r.times >= HOTTER])
 
 
