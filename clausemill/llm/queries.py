@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clausemill.llm import fingerprints, html_text, language, ngram_join, packing, pii, quality, token_counts, token_digests, token_files
+from clausemill.llm import fingerprints, html_text, language, ngram_join, packing, pii, quality, token_counts, token_digests, token_files, url_filter
 from clausemill.llm.common import read
 
 
@@ -55,8 +55,14 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(read(spark, sf_dir, "documents"))
 
 
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list is that of addresses that several pages claim."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_filter.judge(pages, url_filter.RULES, url_filter.contested(pages))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality, op3_token_counts, op4_fingerprints, op5_pii, op6_token_files, op7_bpe, op8_language, op9_html, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_packing, op2_quality, op3_token_counts, op4_fingerprints, op5_pii, op6_token_files, op7_bpe, op8_language, op9_html, op10_ngram_join, op13_urls)}
 
 
 #: op2: lists of words and lines per text; windows by position.
@@ -78,5 +84,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f"""
 
 
+#: op13: the rules by length, then the addresses that several pages claim.
+OP13_SQL = r"""
+WITH r AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, url, rest, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+q AS (SELECT *, array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref)(=|$)'))), '&') AS told FROM h),
+k AS (SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(regexp_replace(host, '^www[.]', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '') || CASE WHEN told = '' THEN '' ELSE '?' || told END END AS key FROM q),
+listed AS (SELECT key FROM k WHERE key IS NOT NULL GROUP BY key HAVING count(*) > 1),
+v AS (SELECT page_id, host, path, key, CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+             WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+             WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/' WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+             WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM k)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN key IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END AS verdict FROM v"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": OP2_SQL}
+    return {"op2_quality": OP2_SQL, "op13_urls": OP13_SQL}
