@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clausemill.llm import fingerprints, html_text, language, ngram_join, packing, pii, quality, token_counts, token_digests, token_files, url_filter
+from clausemill.llm import conversations, fingerprints, html_text, language, ngram_join, packing, pii, quality, token_counts, token_digests, token_files, url_filter
 from clausemill.llm.common import read
 
 
@@ -55,6 +55,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(read(spark, sf_dir, "documents"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list is that of addresses that several pages claim."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
@@ -62,7 +66,7 @@ def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality, op3_token_counts, op4_fingerprints, op5_pii, op6_token_files, op7_bpe, op8_language, op9_html, op10_ngram_join, op13_urls)}
+    return {f.__name__: f for f in (op1_packing, op2_quality, op3_token_counts, op4_fingerprints, op5_pii, op6_token_files, op7_bpe, op8_language, op9_html, op10_ngram_join, op12_conversations, op13_urls)}
 
 
 #: op2: lists of words and lines per text; windows by position.
