@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clausemill.llm import conversations, fingerprints, html_text, language, ngram_join, packing, pii, quality, token_counts, token_digests, token_files, url_filter
+from clausemill.llm import collocations, conversations, fingerprints, html_text, language, ngram_join, packing, pii, quality, token_counts, token_digests, token_files, url_filter
 from clausemill.llm.common import read
 
 
@@ -55,6 +55,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(read(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
@@ -66,7 +70,7 @@ def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality, op3_token_counts, op4_fingerprints, op5_pii, op6_token_files, op7_bpe, op8_language, op9_html, op10_ngram_join, op12_conversations, op13_urls)}
+    return {f.__name__: f for f in (op1_packing, op2_quality, op3_token_counts, op4_fingerprints, op5_pii, op6_token_files, op7_bpe, op8_language, op9_html, op10_ngram_join, op11_collocations, op12_conversations, op13_urls)}
 
 
 #: op2: lists of words and lines per text; windows by position.
@@ -88,6 +92,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f"""
 
 
+#: op11: all phrases of one to three words by text, every cut of those of two and three.
+OP11_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+u AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+o AS (SELECT lang, ws[i] AS x, ws[i+1] AS y, ws[i+2] AS z FROM u),
+g AS (SELECT lang, x AS phrase, count(*) AS f FROM o GROUP BY ALL UNION ALL SELECT lang, x || ' ' || y, count(*) FROM o WHERE y IS NOT NULL GROUP BY ALL),
+t AS (SELECT lang, x, y, z, count(*) AS f FROM o WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, CAST(count(*) AS BIGINT) AS n FROM o GROUP BY lang),
+d AS (SELECT lang, x || ' ' || y AS phrase, count(*) AS f, x AS hx, y AS hy FROM o WHERE y IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT lang, phrase, f AS a, 1 AS j, hx AS p, hy AS q FROM d UNION ALL SELECT lang, x || ' ' || y || ' ' || z, f, 1, x, y || ' ' || z FROM t UNION ALL SELECT lang, x || ' ' || y || ' ' || z, f, 2, x || ' ' || y, z FROM t),
+s AS (SELECT c.lang, c.phrase, a, j, left_part.f AS l, right_part.f AS r, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(left_part.f AS HUGEINT) * right_part.f) AS BIGINT) AS score
+      FROM c JOIN g AS left_part ON left_part.lang = c.lang AND left_part.phrase = c.p JOIN g AS right_part ON right_part.lang = c.lang AND right_part.phrase = c.q),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+held AS (SELECT lang, pair, max(f) AS f FROM (SELECT lang, x || ' ' || y AS pair, f FROM t UNION ALL SELECT lang, y || ' ' || z, f FROM t) GROUP BY lang, pair),
+kept AS (SELECT b.lang, b.phrase, a, l, r, score FROM b LEFT JOIN held ON held.lang = b.lang AND held.pair = b.phrase WHERE held.f IS NULL OR 100 * held.f < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN n USING (lang) QUALIFY rank <= 2000"""
+
 #: op13: the rules by length, then the addresses that several pages claim.
 OP13_SQL = r"""
 WITH r AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -103,4 +125,4 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": OP2_SQL, "op13_urls": OP13_SQL}
+    return {"op2_quality": OP2_SQL, "op11_collocations": OP11_SQL, "op13_urls": OP13_SQL}
