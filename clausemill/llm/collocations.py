@@ -4,20 +4,20 @@ Texts are coded once, where they are read: every part of some ``PART`` bytes of
 dictionary of (lang, word) with counts, and its words as numbers of that dictionary, with a zero
 where a piece ends.  From there on a level at a time:
 
-1. Names of the level are joined globally.  The dictionary's words meet their counts by key
-   (level 1), the pairs of the last level's names meet in buckets by hash (higher levels).  What
-   occurs ``least`` times gets an id, and every part learns the ids of its own entries.
+1. Names of the level are joined globally: the words of the dictionaries (level 1) or the pairs
+   of the last level's names (higher levels) meet in buckets by hash.  What occurs ``least`` times
+   gets an id, and every part learns the ids of its own entries.
 2. Each part replaces its numbers by these ids, zero where there is none.  Two neighbours that
    both have an id are a pair: a (k-1)-gram and the next one, which share all but one word, make
-   a k-gram.  The part counts its distinct pairs and deals them to the buckets.
+   a k-gram.  The part counts its distinct pairs and deals them to the buckets.  Nothing of this is
+   kept but the ids: for the next level a part finds its pairs again, in the same order.
 
 A name is a row (id, left, right, count) whose left and right point at the two names it joins.
 The pointers give the parts of every cut (k-1 words from the left: follow right pointers; the
 first words: follow left ones) and the phrases that hold it: a phrase is dropped if one that
 points at it is frequent enough, as longer ones are never more frequent than those.
 
-Only pairs of frequent names are written, a part at a time, as numpy arrays: 24 bytes for a
-distinct pair of a part.  A bucket holds ``BUCKET`` pairs on average, at most one entry for a part
+Only pairs of frequent names are shuffled, a part at a time, as packed columns of integers.  A bucket holds ``BUCKET`` pairs on average, at most one entry for a part
 and pair, whatever a pair's frequency.  A hot language is split like any other, because pairs are
 dealt by their names; ranks by language keep the first rows of every task before the shuffle.
 
@@ -27,27 +27,62 @@ empty result.  Only ``lang`` and ``text`` are read, so further columns do not ma
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausemill.llm.common import materialise, small_batches
 
-#: Bytes of text of a part, bytes that are split into words at once, numbers of a row, pairs of a bucket.
-PART, SLICE, ROW, BUCKET = 16_000_000, 1_000_000, 200_000, 1_500_000
+#: Bytes of text of a part, bytes that are split into words at once, numbers of a row, pairs and words of a bucket.
+PART, SLICE, ROW, BUCKET, DISTINCT = 16_000_000, 1_000_000, 200_000, 1_500_000, 400_000
 BREAK = b"\xff"  # no byte of UTF-8
 TABLE = bytes(0xFF if chr(i) in ".,;:!?\n\x0b\x0c\r" else 32 if i == 9 else i + 32 if 65 <= i <= 90 else i for i in range(256))
 
-CODED = "part string, at int, n long, numbers binary, lang string, word string, number int, times long"
+CODED = "part string, at int, numbers binary, lang string, words binary, times binary, size int, n long"
+WORDS = "bucket int, part string, lang string, words binary, numbers binary, times binary"
 PAIRS = "bucket int, part string, entries binary"
-NAMED = "id long, a long, b long, times long, part string, numbers binary, ids binary"
-#: One distinct pair of a part: the two names, its number in the part, its count.
-ENTRY = np.dtype([("a", "<i8"), ("b", "<i8"), ("number", "<i4"), ("times", "<i4")])
+NAMED = "id long, a long, b long, times long, part string, level int, numbers binary, ids binary"
+
+
+def squeezed(held: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(held)
+
+
+def loosened(held: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(held)
+
+
+def packed(column: np.ndarray, rising: bool = False) -> bytes:
+    """A column of integers, as differences if it rises: bytes of equal weight together, compressed."""
+    own = np.diff(column, prepend=column.dtype.type(0)) if rising else column
+    return squeezed(np.ascontiguousarray(own.view(np.uint8).reshape(len(own), -1).T).tobytes())
+
+
+def unpacked(held: bytes, kind: str, rising: bool = False) -> np.ndarray:
+    own = np.frombuffer(loosened(held), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    own = np.ascontiguousarray(own.T).view(kind).ravel()
+    return np.cumsum(own, dtype=kind) if rising else own
+
+
+#: Columns of the distinct pairs of a part in a bucket, in order of the two names: names, number in the part, count there.
+COLUMNS = (("a", "<i8", True), ("b", "<i8", False), ("number", "<i4", True), ("times", "<i4", False))
+
+
+def _joined(columns: list[np.ndarray]) -> bytes:
+    parts = [packed(c, rising) for c, (_, _, rising) in zip(columns, COLUMNS, strict=True)]
+    return np.array([len(p) for p in parts], "<i4").tobytes() + b"".join(parts)
+
+
+def _split(held: bytes) -> list[np.ndarray]:
+    ends = np.cumsum([4 * len(COLUMNS), *np.frombuffer(held, "<i4", len(COLUMNS))])
+    return [unpacked(held[x:y], kind, rising) for x, y, (_, kind, rising) in zip(ends, ends[1:], COLUMNS, strict=False)]
 
 
 def words(text: bytes) -> Iterator[list[bytes]]:
@@ -65,24 +100,23 @@ def _code(batches):
     """Rows of numbers, then of the dictionary, of each part."""
     task, made = TaskContext.get().partitionId(), 0
     table: dict = {}
-    entries: list[tuple[str, bytes]] = []
     chunks: list[np.ndarray] = []
-    size = 0
+    size = entries = 0
 
     def written():
         name = f"{task}-{made}"
         flat = np.concatenate([*chunks, np.zeros(1, np.int32)])
-        counts = np.bincount(flat)
-        total = len(flat) - int(counts[0])
-        for at in range(0, len(flat), ROW):
-            own = flat[at : at + ROW]
-            yield pa.RecordBatch.from_pylist([{"part": name, "at": at // ROW, "n": total if not at else 0, "numbers": own.tobytes()}], schema)
-        for at in range(0, len(entries), 10_000):
-            own = entries[at : at + 10_000]
-            numbers = np.arange(at + 1, at + 1 + len(own), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(own)), *(pa.nulls(len(own), f.type) for f in list(schema)[1:4]), pa.array([k[0] for k in own]), pa.array([k[1] for k in own], pa.binary()).cast(pa.string()), pa.array(numbers), pa.array(counts[numbers])], schema=schema)
-
-    schema = pa.schema([("part", pa.string()), ("at", pa.int32()), ("n", pa.int64()), ("numbers", pa.binary()), ("lang", pa.string()), ("word", pa.string()), ("number", pa.int32()), ("times", pa.int64())])
+        counts = np.bincount(flat, minlength=entries + 1)
+        rows = [{"part": name, "at": at // ROW, "numbers": packed(flat[at : at + ROW])} for at in range(0, len(flat), ROW)]
+        for lang, own in table.items():
+            found, numbers = list(own)[1:], np.fromiter(own.values(), "<i4", len(own))[1:]
+            for at in range(0, len(found), ROW):
+                these = numbers[at : at + ROW]
+                rows.append({"part": name, "lang": lang, "words": squeezed(b" ".join(found[at : at + ROW])), "numbers": packed(these), "times": packed(counts[these]), "size": len(these), "n": int(counts[these].sum())})
+        for row in rows:
+            yield pa.RecordBatch.from_pylist([row], schema)
+
+    schema = pa.schema([("part", pa.string()), ("at", pa.int32()), ("numbers", pa.binary()), ("lang", pa.string()), ("words", pa.binary()), ("times", pa.binary()), ("size", pa.int32()), ("n", pa.int64())])
     end = np.zeros(1, np.int32)
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -94,15 +128,15 @@ def _code(batches):
                     for i, w in enumerate(found):
                         if numbers[i] is None:
                             if (x := get(w)) is None:
-                                entries.append((lang, w))
-                                x = own[w] = len(entries)
+                                entries += 1
+                                x = own[w] = entries
                             numbers[i] = x
                 chunks.append(np.array(numbers, np.int32))
             chunks.append(end)
             size += len(text)
             if size > PART:
                 yield from written()
-                table, entries, chunks, size, made = {}, [], [], 0, made + 1
+                table, entries, chunks, size, made = {}, 0, [], 0, made + 1
     if size:
         yield from written()
 
@@ -115,73 +149,135 @@ def coded(docs: DataFrame) -> DataFrame:
 
 
 def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list, list]]:
-    """For each part (rows sorted by part): its rows of numbers, by their order, and its rows of ids."""
+    """For each part (rows sorted by part): its rows of numbers, by their order, and its rows of ids (level, numbers, ids)."""
     part, flats, ids = None, [], []
     for batch in batches:
-        for name, at, numbers, own in zip(*(batch.column(x).to_pylist() for x in ("part", "at", "numbers", "ids")), strict=True):
+        for name, at, level, numbers, own in zip(*(batch.column(x).to_pylist() for x in ("part", "at", "level", "numbers", "ids")), strict=True):
             if name != part:
                 if part is not None:
                     yield part, flats, ids
                 part, flats, ids = name, [], []
             if own is None:
-                flats.append((at, np.frombuffer(numbers, np.int32)))
+                flats.append((at, unpacked(numbers, "<i4")))
             else:
-                ids.append((np.frombuffer(numbers, np.int32), np.frombuffer(own, np.int64)))
+                ids.append((level, unpacked(numbers, "<i4"), unpacked(own, "<i8")))
     if part is not None:
         yield part, flats, ids
 
 
-def _pairs(buckets: int, keep: bool):
-    """Of each part: its distinct pairs by bucket, and, if a further level follows (``keep``), the pairs' numbers by position."""
+def _neighbours(flat: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, number of the pair at each, first names, second names, counts): distinct pairs of neighbours with names, in order of the names. ``names`` has the id of each number, 0 for none."""
+    some = np.flatnonzero(names)
+    some = some[np.argsort(names[some])]
+    rank = np.full(len(names), -1, np.int64)
+    rank[some] = np.arange(len(some))
+    own = rank[flat]
+    at = np.flatnonzero((own[:-1] >= 0) & (own[1:] >= 0))
+    keys, which, times = np.unique(own[at] * max(1, len(some)) + own[at + 1], return_inverse=True, return_counts=True)
+    return at, which.reshape(-1), names[some[keys // max(1, len(some))]], names[some[keys % max(1, len(some))]], times
+
+
+def _pairs(level: int, buckets: int):
+    """Of each part: its distinct pairs of names of the level before, by bucket. The part goes through the levels below again: pairs have the same numbers each time."""
 
     def run(batches):
-        schema = pa.schema([("bucket", pa.int32()), ("part", pa.string()), ("entries", pa.binary()), ("at", pa.int32()), ("numbers", pa.binary())])
+        schema = pa.schema([("bucket", pa.int32()), ("part", pa.string()), ("entries", pa.binary())])
         for part, flats, ids in _by_part(batches):
-            if not ids or not flats:
-                continue
             flat = np.concatenate([x for _, x in sorted(flats, key=lambda x: x[0])])
-            names = np.zeros(1 + max(int(flat.max()), max(int(n.max()) for n, _ in ids)), np.int64)
-            for n, i in ids:
-                names[n] = i
-            known = names[flat] > 0
-            at = np.flatnonzero(known[:-1] & known[1:])
-            if not len(at):
-                continue
-            wide = len(names)
-            keys, which, times = np.unique(flat[at].astype(np.int64) * wide + flat[at + 1], return_inverse=True, return_counts=True)
-            entries = np.empty(len(keys), ENTRY)
-            entries["a"], entries["b"] = names[keys // wide], names[keys % wide]
-            entries["number"], entries["times"] = np.arange(1, len(keys) + 1), times
-            mixed = (entries["a"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (entries["b"].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+            for k in range(1, level):
+                names = np.zeros(1 + max([int(flat.max(initial=0)), *(int(n.max()) for x, n, _ in ids if x == k)]), np.int64)
+                for x, n, i in ids:
+                    if x == k:
+                        names[n] = i
+                at, which, first, second, times = _neighbours(flat, names)
+                flat = np.zeros(len(flat), np.int32)
+                flat[at] = which + 1
+            mixed = (first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (second.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
             mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
             bucket = ((mixed >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                for i in range(0, len(own), ROW // 4):
-                    yield pa.RecordBatch.from_pylist([{"bucket": int(bucket[own[0]]), "part": part, "entries": entries[own[i : i + ROW // 4]].tobytes()}], schema)
-            if keep:
-                flat = np.zeros(len(flat), np.int32)
-                flat[at] = which.reshape(-1) + 1
-                for i in range(0, len(flat), ROW):
-                    yield pa.RecordBatch.from_pylist([{"part": part, "at": i // ROW, "numbers": flat[i : i + ROW].tobytes()}], schema)
+            for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
+                yield pa.RecordBatch.from_pylist([{"bucket": int(bucket[own[0]]), "part": part, "entries": _joined([first[own], second[own], (own + 1).astype("<i4"), times[own].astype("<i4")])}], schema)
+
+    return run
+
+
+def _words(buckets: int):
+    """The dictionaries of the parts, by bucket."""
+
+    def run(batches):
+        schema = pa.schema([("bucket", pa.int32()), ("part", pa.string()), ("lang", pa.string()), ("words", pa.binary()), ("numbers", pa.binary()), ("times", pa.binary())])
+        for batch in batches:
+            for row in batch.to_pylist():
+                found, numbers, times = loosened(row["words"]).split(b" "), unpacked(row["numbers"], "<i4"), unpacked(row["times"], "<i8")
+                bucket = np.fromiter(map(zlib.crc32, found), np.int64, len(found)) % buckets
+                order = np.argsort(bucket, kind="stable")
+                for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                    held = row | {"bucket": int(bucket[own[0]]), "words": squeezed(b" ".join([found[i] for i in own.tolist()])), "numbers": packed(numbers[own]), "times": packed(times[own])}
+                    yield pa.RecordBatch.from_pylist([held], schema)
 
     return run
 
 
-def _name(least: int):
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """The rows of each bucket (rows sorted by bucket)."""
+    key, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["bucket"] != key:
+                if rows:
+                    yield key, rows
+                key, rows = row["bucket"], []
+            rows.append(row)
+    if rows:
+        yield key, rows
+
+
+def _name_words(least: int):
+    """Of each bucket: the words that occur ``least`` times or more in a language, with ids, and for each part its own ones."""
+
+    def run(batches):
+        schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("id", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("times", pa.int64()), ("part", pa.string()), ("level", pa.int32()), ("numbers", pa.binary()), ("ids", pa.binary())])
+        for bucket, rows in _by_bucket(batches):
+            sums: dict[str, dict[bytes, int]] = {}
+            for row in rows:
+                own = sums.setdefault(row["lang"], {})
+                for w, n in zip(loosened(row["words"]).split(b" "), unpacked(row["times"], "<i8").tolist(), strict=True):
+                    own[w] = own.get(w, 0) + n
+            ids: dict[str, dict[bytes, int]] = {}
+            last = bucket << 32
+            for lang, own in sums.items():
+                found = [(w, n) for w, n in own.items() if n >= least]
+                ids[lang] = {w: last + i for i, (w, _) in enumerate(found, 1)}
+                for at in range(0, len(found), 10_000):
+                    some = found[at : at + 10_000]
+                    yield pa.RecordBatch.from_pylist([{"lang": lang, "word": w.decode(), "id": ids[lang][w], "times": n} for w, n in some], schema)
+                last += len(found)
+            for row in rows:
+                get = ids[row["lang"]].get
+                named = np.array([get(w, 0) for w in loosened(row["words"]).split(b" ")], "<i8")
+                if named.any():
+                    yield pa.RecordBatch.from_pylist([{"part": row["part"], "level": 1, "numbers": packed(unpacked(row["numbers"], "<i4")[named > 0]), "ids": packed(named[named > 0])}], schema)
+
+    return run
+
+
+def _name(level: int, least: int):
     """Of each bucket: the pairs that occur ``least`` times or more, with ids, and for each part its own ones."""
 
     def run(batches):
-        schema = pa.schema([("id", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("times", pa.int64()), ("part", pa.string()), ("numbers", pa.binary()), ("ids", pa.binary())])
+        schema = pa.schema([("id", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("times", pa.int64()), ("part", pa.string()), ("level", pa.int32()), ("numbers", pa.binary()), ("ids", pa.binary())])
 
         def named(bucket, parts, rows):
-            entries = np.concatenate([np.frombuffer(r, ENTRY) for r in rows])
-            owner = np.repeat(np.arange(len(rows)), [len(r) // ENTRY.itemsize for r in rows])
-            left, i = np.unique(entries["a"], return_inverse=True)
-            right, j = np.unique(entries["b"], return_inverse=True)
+            own = [_split(r) for r in rows]
+            sizes = [len(x[0]) for x in own]
+            a, b, number, count = (np.concatenate(c) for c in zip(*own, strict=True))
+            owner = np.repeat(np.arange(len(rows)), sizes)
+            left, i = np.unique(a, return_inverse=True)
+            right, j = np.unique(b, return_inverse=True)
             keys, which = np.unique(i.astype(np.int64) * len(right) + j, return_inverse=True)
             times = np.zeros(len(keys), np.int64)
-            np.add.at(times, which, entries["times"])
+            np.add.at(times, which, count)
             frequent = np.flatnonzero(times >= least)
             ids = np.zeros(len(keys), np.int64)
             ids[frequent] = (bucket << 32) + 1 + np.arange(len(frequent))
@@ -190,57 +286,35 @@ def _name(least: int):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(left[keys[own] // len(right)]), pa.array(right[keys[own] % len(right)]), pa.array(times[own]), *(pa.nulls(len(own), f.type) for f in list(schema)[4:])], schema=schema)
             kept = np.flatnonzero(ids[which] > 0)
             for own in np.split(kept, np.flatnonzero(np.diff(owner[kept])) + 1) if len(kept) else ():
-                yield pa.RecordBatch.from_pylist([{"part": parts[owner[own[0]]], "numbers": entries["number"][own].tobytes(), "ids": ids[which[own]].tobytes()}], schema)
+                yield pa.RecordBatch.from_pylist([{"part": parts[owner[own[0]]], "level": level, "numbers": packed(number[own]), "ids": packed(ids[which[own]])}], schema)
 
-        key, parts, rows = None, [], []
-        for batch in batches:
-            for bucket, part, own in zip(*(batch.column(x).to_pylist() for x in ("bucket", "part", "entries")), strict=True):
-                if bucket != key:
-                    if rows:
-                        yield from named(key, parts, rows)
-                    key, parts, rows = bucket, [], []
-                parts.append(part)
-                rows.append(own)
-        if rows:
-            yield from named(key, parts, rows)
+        for bucket, rows in _by_bucket(batches):
+            yield from named(bucket, [r["part"] for r in rows], [r["entries"] for r in rows])
 
     return run
 
 
 def levels(code: DataFrame, least: int, most_words: int) -> list[DataFrame]:
     """Names of each level: (id, lang, word, times) of words, then (id, a, b, times) of pairs of names of the level before."""
-    spark, out = code.sparkSession, []
-    entries = code.where("number IS NOT NULL").select("part", "lang", "word", "number", "times")
-    frequent = entries.groupBy("lang", "word").agg(F.sum("times").alias("times")).where(F.col("times") >= least)
-    out.append(materialise(frequent.select((F.monotonically_increasing_id() + 1).alias("id"), "lang", "word", "times"), "words"))
-    own = entries.join(out[0].select("lang", "word", "id"), ["lang", "word"]).select("part", "number", "id")
-    ids = own.groupBy("part", F.expr("number div 20000").alias("k")).agg(F.collect_list(F.struct("number", "id")).alias("own"))  # 20,000 to a row
-    ids = ids.select("part", F.col("own.number").alias("number"), F.col("own.id").alias("id")).mapInArrow(_packed, "part string, numbers binary, ids binary")
-    flats = code.where("numbers IS NOT NULL").select("part", "at", "numbers")
-    total = code.agg(F.sum("n")).first()[0] or 0  # words, and so no fewer than pairs
+    spark = code.sparkSession
+    size, total = code.agg(F.sum("size"), F.sum("n")).first()  # words of the parts' dictionaries; all words, and so no fewer than pairs
+    size, total = size or 0, total or 0
+    with small_batches(spark, 200, "4m"):
+        dealt = code.where("words IS NOT NULL").select("part", "lang", "words", "numbers", "times").mapInArrow(_words(1 + size // DISTINCT), WORDS)
+        named = materialise(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_name_words(least), f"lang string, word string, {NAMED}"), "named")
+    out = [named.where("part IS NULL").select("id", "lang", "word", "times")]
+    ids = named.where("part IS NOT NULL").select("part", "level", "numbers", "ids")
+    flats = code.where("at IS NOT NULL").select("part", "at", F.lit(None).cast("int").alias("level"), "numbers", F.lit(None).cast("binary").alias("ids"))
     for k in range(2, most_words + 1):
-        buckets = 1 + total // BUCKET
-        rows = flats.select("part", "at", "numbers", F.lit(None).cast("binary").alias("ids")).unionByName(ids.select("part", F.lit(None).cast("int").alias("at"), "numbers", "ids"))
-        last = k == most_words
-        with small_batches(spark, 100, "4m"):
-            made = rows.repartition("part").sortWithinPartitions("part").mapInArrow(_pairs(buckets, not last), f"{PAIRS}, at int, numbers binary")
-            if not last:
-                made = materialise(made, "pairs")
-            named = materialise(made.where("bucket IS NOT NULL").select("bucket", "part", "entries").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_name(least), NAMED), "named")
+        rows = flats.unionByName(ids.select("part", F.lit(None).cast("int").alias("at"), "level", "numbers", "ids"))
+        with small_batches(spark, 200, "4m"):
+            made = rows.repartition("part").sortWithinPartitions("part").mapInArrow(_pairs(k, 1 + total // BUCKET), PAIRS)
+            named = materialise(made.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_name(k, least), NAMED), "named")
         out.append(named.where("part IS NULL").select("id", "a", "b", "times"))
-        ids = named.where("part IS NOT NULL").select("part", "numbers", "ids")
-        if not last:
-            flats = made.where("numbers IS NOT NULL").select("part", "at", "numbers")
+        ids = ids.unionByName(named.where("part IS NOT NULL").select("part", "level", "numbers", "ids"))
     return out
 
 
-def _packed(batches):
-    for batch in batches:
-        rows = zip(*(batch.column(x).to_pylist() for x in ("part", "number", "id")), strict=True)
-        held = [{"part": p, "numbers": np.array(n, np.int32).tobytes(), "ids": np.array(i, np.int64).tobytes()} for p, n, i in rows]
-        yield pa.RecordBatch.from_pylist(held, pa.schema([("part", pa.string()), ("numbers", pa.binary()), ("ids", pa.binary())]))
-
-
 def phrases(names: list[DataFrame]) -> list[DataFrame]:
     """For each level the phrases with what their pointers lead to: (id, a, b, lang, phrase, times, heads, tails), where heads has the counts of the first 1, 2, .. words, tails those of the rest behind them."""
     none = F.array().cast("array<long>")
@@ -267,7 +341,7 @@ def collocations(docs: DataFrame, least: int = 10, most_words: int = 3, share: i
     scored = reduce(DataFrame.unionByName, held).withColumn("cut", F.array_min(cut)).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)
-    totals = code.where("number IS NOT NULL").groupBy("lang").agg(F.sum("times").alias("n"))
+    totals = code.where("words IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n"))
     return top.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
