@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausemill.functions.text import strip, token_set, word_count
+from clausemill.operators import near
 from clausemill.plans.stages import cut
 
 # Fixed patterns
@@ -61,29 +62,16 @@ def cap_per_document(rows: DataFrame, document: list[str], order: list[str], mos
     return rows.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
 
 
-def similar_pairs(rows: DataFrame, domain: str, order: str, text: str, num: int = 17, den: int = 20, hot: int = 500) -> tuple[DataFrame, DataFrame]:
-    """(sets: domain, order, tokens of the first row of each token set; pairs: domain, i < j, overlap, total with overlap/total >= num/den).
-
-    Exact prefix filter: in a global order of tokens (the most common last, so that
-    they seldom join), similar sets share one of their first n - ceil(num/den n) + 1.
-    """
+def token_sets(rows: DataFrame, domain: str, order: str, text: str) -> DataFrame:
+    """(node, domain, order, tokens): the first row of each token set of a domain, rows without tokens left out; a stage table."""
     # a domain as a structure, so that null is a domain like any other
     sets = rows.select(F.struct(F.col(domain).alias("domain")).alias("domain"), F.col(order).alias("order"), F.array_sort(token_set(F.coalesce(F.col(text), F.lit("")))).alias("tokens")).where(F.size("tokens") > 0)
-    sets = sets.groupBy("domain", "tokens").agg(F.min("order").alias("order")).withColumn("n", F.size("tokens"))
-    sets = cut(sets, "token-sets")
-    common = [r.token for r in sets.select(F.explode("tokens").alias("token")).groupBy("token").count().orderBy(F.desc("count"), "token").limit(hot).collect()]
-    last = F.array(*(F.lit(w) for w in reversed(common))) if common else F.array().cast("array<string>")
-    by_hash = F.transform(F.array_sort(F.transform(F.array_except("tokens", last), lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), lambda s: s["w"])
-    size = F.col("n") - F.expr(f"(({num} * n + {den - 1}) div {den})").cast("int") + 1
-    keys = sets.select("domain", "order", "n", F.explode(F.slice(F.concat(by_hash, F.array_intersect(last, F.col("tokens"))), F.lit(1), size)).alias("key"))
-    a = keys.select("domain", "key", F.col("order").alias("i"), F.col("n").alias("n1"))
-    b = keys.select("domain", "key", F.col("order").alias("j"), F.col("n").alias("n2"))
-    near = a.join(b, ["domain", "key"]).where((F.col("i") < F.col("j")) & (den * F.least("n1", "n2") >= num * F.greatest("n1", "n2"))).select("domain", "i", "j").distinct()
-    left = sets.select("domain", F.col("order").alias("i"), F.col("tokens").alias("t1"))
-    right = sets.select("domain", F.col("order").alias("j"), F.col("tokens").alias("t2"))
-    both = near.join(left, ["domain", "i"]).join(right, ["domain", "j"]).withColumn("overlap", F.size(F.array_intersect("t1", "t2")))
-    both = both.withColumn("total", F.size("t1") + F.size("t2") - F.col("overlap")).where(den * F.col("overlap") >= num * F.col("total"))
-    return sets, both.select("domain", "i", "j", "overlap", "total")
+    return cut(sets.groupBy("domain", "tokens").agg(F.min("order").alias("order")).select(F.monotonically_increasing_id().alias("node"), "domain", "order", "tokens"), "token-sets")
+
+
+def similar_pairs(rows: DataFrame, domain: str, order: str, text: str, num: int = 17, den: int = 20) -> DataFrame:
+    """(domain, i < j, overlap, total) of token sets with overlap / total of num / den or more, by their first rows."""
+    return plain_domain(near.pairs(token_sets(rows, domain, order, text), num, den))
 
 
 def plain_domain(found: DataFrame) -> DataFrame:
@@ -91,33 +79,14 @@ def plain_domain(found: DataFrame) -> DataFrame:
     return found.withColumn("domain", F.col("domain.domain"))
 
 
-def greedy_survivors(pairs: DataFrame) -> DataFrame:
-    """(domain, j) of the rows that a kept earlier row removes.
-
-    Rounds over the pair table: a row without an undecided earlier neighbour is kept,
-    its later neighbours go, and the pairs of both leave the table.
-    """
-    left = cut(pairs.select("domain", "i", "j"), "pairs")
-    gone = None
-    while left.limit(1).count():
-        later = left.select("domain", F.col("j").alias("i")).distinct()
-        kept = left.select("domain", "i").distinct().join(later, ["domain", "i"], "left_anti")
-        out = cut(left.join(kept, ["domain", "i"], "left_semi").select("domain", "j").distinct(), "dropped")
-        gone = out if gone is None else gone.unionByName(out)
-        same = out.select("domain", F.col("j").alias("i"))
-        left = cut(left.join(kept, ["domain", "i"], "left_anti").join(same, ["domain", "i"], "left_anti").join(out, ["domain", "j"], "left_anti"), "pairs")
-    return gone if gone is not None else pairs.select("domain", "j").limit(0)
-
-
-def drop_near_duplicates(rows: DataFrame, domain: str, order: str, text: str) -> DataFrame:
+def drop_near_duplicates(rows: DataFrame, domain: str, order: str, text: str, num: int = 17, den: int = 20) -> DataFrame:
     """Greedy near-duplicate removal: within a domain, in ``order``, a kept row removes later ones that are similar.
 
     Rows with the token set of an earlier row always go; rows without tokens stay.
     ``order`` must be unique within a domain.
     """
-    sets, pairs = similar_pairs(rows, domain, order, text)
-    gone = greedy_survivors(pairs)
-    firsts = plain_domain(sets.select("domain", "order").join(gone.select("domain", F.col("j").alias("order")), ["domain", "order"], "left_anti"))
+    sets = token_sets(rows, domain, order, text)
+    firsts = plain_domain(sets.select("domain", "order").join(near.dropped(sets, num, den), ["domain", "order"], "left_anti"))
     bare = F.size(token_set(F.coalesce(F.col(text), F.lit("")))) == 0
     with_tokens = rows.where(~bare).join(firsts, rows[domain].eqNullSafe(firsts["domain"]) & (rows[order] == firsts["order"]), "left_semi")
     return with_tokens.unionByName(rows.where(bare))

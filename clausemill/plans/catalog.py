@@ -127,7 +127,7 @@ q AS (SELECT domain, i, j, overlap, CAST(size - overlap AS INTEGER) AS total FRO
 
 def _near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs between first rows of each token set; rows with equal sets are listed by the exact filter."""
-    return clean.plain_domain(clean.similar_pairs(documents(spark, sf_dir), "source", "doc_id", "text")[1])
+    return clean.similar_pairs(documents(spark, sf_dir), "source", "doc_id", "text")
 
 
 _add("f11_similar_pairs", _near_pairs, f"WITH {PAIRS_SQL}, f AS (SELECT min(doc_id) AS doc_id FROM t GROUP BY source, list_sort(w)) SELECT q.* FROM q WHERE i IN (SELECT doc_id FROM f) AND j IN (SELECT doc_id FROM f)")
