@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausemill.functions.text import clean_clause, is_html, strip, strip_html, word_count
+from clausemill.operators.boundaries import Boundaries, joined
 from clausemill.operators.rank import with_rank
 
 LONG_PARAGRAPH, MIN_WORDS, MAX_WORDS, MAX_CLAUSES = 40, 10, 120, 120
@@ -47,13 +48,14 @@ def paragraphs(text: Column, more_than: int = 0) -> Column:
     return F.filter(_parts(text, r"\n{2,}"), lambda p: word_count(p) > more_than)
 
 
-def sentences(text: Column) -> Column:
-    """Pieces after sentence marks."""
-    return _parts(text, r"(?U)(?<=[.!?])\s+")
+def sentences(text: Column, model: Boundaries | None = None) -> Column:
+    """Pieces after sentence marks; with learnt boundaries not those after abbreviations."""
+    pieces = _parts(text, r"(?U)(?<=[.!?])\s+")
+    return joined(pieces, model) if model else pieces
 
 
-def _whole_or_sentences(p: Column, label: str = "paragraph", long_label: str = "spacy_sentence") -> Column:
-    return F.when(word_count(p) > LONG_PARAGRAPH, _labelled(sentences(p), long_label)).otherwise(F.array(_clause(p, label)))
+def _whole_or_sentences(p: Column, model: Boundaries | None, label: str = "paragraph", long_label: str = "spacy_sentence") -> Column:
+    return F.when(word_count(p) > LONG_PARAGRAPH, _labelled(sentences(p, model), long_label)).otherwise(F.array(_clause(p, label)))
 
 
 def numbered_paragraph(p: Column) -> Column:
@@ -81,10 +83,10 @@ def numbered_paragraph(p: Column) -> Column:
     return _let(F.split(p, LINES), fold)
 
 
-def academic_hr(text: Column) -> Column:
+def academic_hr(text: Column, model: Boundaries | None = None) -> Column:
     def one(p: Column) -> Column:
         bullets = F.split(p, BULLET)
-        return F.when(p.rlike(NUMBER_START), numbered_paragraph(p)).when(F.size(bullets) > 1, _labelled(_parts(p, BULLET), "bullet_clause")).otherwise(_whole_or_sentences(p))
+        return F.when(p.rlike(NUMBER_START), numbered_paragraph(p)).when(F.size(bullets) > 1, _labelled(_parts(p, BULLET), "bullet_clause")).otherwise(_whole_or_sentences(p, model))
 
     return F.flatten(F.transform(paragraphs(text, 4), one))
 
@@ -93,30 +95,30 @@ def _numbered(text: Column) -> Column:
     return F.filter(_parts(text, NUMBERED), lambda x: ~x.rlike(r"(?U)^\d+(\.\d+)*$"))
 
 
-def legal(text: Column) -> Column:
+def legal(text: Column, model: Boundaries | None = None) -> Column:
     def one(p: Column) -> Column:
         return (
             F.when(p.rlike(DEFINITION), F.array(_clause(p, "definition_clause")))
             .when(p.rlike(LETTERED), _labelled(_parts(p, LETTERED), "lettered_subclause"))
             .when(p.rlike(NUMBERED), _labelled(_numbered(p), "numbered_clause"))
-            .otherwise(_whole_or_sentences(p))
+            .otherwise(_whole_or_sentences(p, model))
         )
 
     text = F.regexp_replace(F.regexp_replace(text, EXHIBIT, ""), INITIALS, "")
     return F.flatten(F.transform(paragraphs(text, 3), one))
 
 
-def privacy(text: Column) -> Column:
+def privacy(text: Column, model: Boundaries | None = None) -> Column:
     def relabel(other):
         return lambda x: F.when(x.rlike(LEGAL_WORDS), F.lit("legal_keyword_clause")).otherwise(other)
 
     def one(p: Column) -> Column:
         label = relabel(F.lit("section_clause"))
-        whole = F.when(word_count(p) > LONG_PARAGRAPH, F.transform(sentences(p), lambda s: _clause(s, label(p)))).otherwise(F.array(_clause(p, label(p))))
+        whole = F.when(word_count(p) > LONG_PARAGRAPH, F.transform(sentences(p, model), lambda s: _clause(s, label(p)))).otherwise(F.array(_clause(p, label(p))))
         return F.when(p.rlike(NUMBERED), _labelled(_numbered(p), relabel(F.lit("numbered_clause")))).otherwise(whole)
 
     def split(parts: Column) -> Column:
-        flat = F.transform(academic_hr(text), lambda c: _clause(c["text"], relabel(c["label"])(c["text"])))
+        flat = F.transform(academic_hr(text, model), lambda c: _clause(c["text"], relabel(c["label"])(c["text"])))
         return F.when(F.size(parts) <= 1, flat).otherwise(F.flatten(F.transform(F.filter(parts, lambda p: word_count(p) > 4), one)))
 
     # the split's capture (the word Section, Article, ...) counts as a part of its own
@@ -125,9 +127,9 @@ def privacy(text: Column) -> Column:
     return _let(F.when(hits > 0, F.concat(parts, F.array(F.lit("Section")))).otherwise(parts), split)
 
 
-def by_domain(text: Column, domain: Column) -> Column:
+def by_domain(text: Column, domain: Column, model: Boundaries | None = None) -> Column:
     text = F.when(is_html(text), strip_html(text)).otherwise(text)
-    return F.when(domain == "legal", legal(text)).when(domain == "privacy", privacy(text)).otherwise(academic_hr(text))
+    return F.when(domain == "legal", legal(text, model)).when(domain == "privacy", privacy(text, model)).otherwise(academic_hr(text, model))
 
 
 def online(text: Column) -> Column:
@@ -148,13 +150,13 @@ def online(text: Column) -> Column:
     return F.flatten(F.transform(paragraphs(text), lambda p: F.flatten(F.transform(chunks(p), cut))))
 
 
-def clauses(docs: DataFrame, cap: int = MAX_CLAUSES) -> DataFrame:
+def clauses(docs: DataFrame, cap: int = MAX_CLAUSES, model: Boundaries | None = None) -> DataFrame:
     """domain, source_doc, pos, raw_text, word_count, pattern_label of valid clauses, at most ``cap`` a document.
 
-    docs has domain, source_doc and text.  The cap counts valid clauses in document
+    docs has domain, source_doc and text; ``model`` has the learnt sentence boundaries, if any.  The cap counts valid clauses in document
     order and is taken inside the row, so nothing is shuffled.
     """
-    found = F.transform(by_domain(F.coalesce("text", F.lit("")), F.coalesce("domain", F.lit(""))), lambda c: _clause(clean_clause(c["text"]), c["label"]))
+    found = F.transform(by_domain(F.coalesce("text", F.lit("")), F.coalesce("domain", F.lit("")), model), lambda c: _clause(clean_clause(c["text"]), c["label"]))
     valid = F.slice(F.filter(found, lambda c: word_count(c["text"]).between(MIN_WORDS, MAX_WORDS)), 1, cap)
     long_enough = docs.where(F.length(strip(F.coalesce("text", F.lit("")))) >= 50)
     rows = long_enough.select("domain", "source_doc", F.posexplode(valid).alias("pos", "c"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from clausemill.functions import text as T
 from clausemill.functions.lexicon import FIXTURE
-from clausemill.operators import clean, ngrams, report, score, segment
+from clausemill.operators import boundaries, clean, ngrams, report, score, segment
 from clausemill.plans import catalog, corpus
 from clausemill.plans.catalog import _add, documents, embeddings, sql_text
 
@@ -85,6 +85,51 @@ _add("g17_online_semicolons", _online(lambda x: _joined(x, lambda v, i: v, ";  "
 _add("g17_online_numbers", _online(lambda x: F.concat(F.lit("0) first\n"), _joined(x, lambda v, i: F.concat((i % 9 + 1).cast("string"), F.lit(") "), v), "\n"))), f"{ITEM_SQL} SELECT doc_id, CAST(i AS INTEGER) AS pos, item AS clause FROM n WHERE words >= 8")
 
 
+# Learnt sentence boundaries: texts in which abbreviations stand for common words
+
+ABBREVIATED = "replace(replace(replace(text, ' the ', ' e.g. '), ' la ', ' art. '), ' und ', ' z.B. ')"
+_EDGES = r"""^[\p{Ps}\p{Pi}"'']+|[\p{Pe}\p{Pf}"'',;:]+$"""
+_ENDS = "'[.!?]+$', ''"
+LEARNT_SQL = rf"""w AS (SELECT doc_id, regexp_extract_all({ABBREVIATED}, '\S+') AS w FROM documents),
+u AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM w),
+k AS (SELECT doc_id, i, w[i] AS raw, w[i+1] AS behind, lower(regexp_replace(w[i], '{_EDGES}', '', 'g')) AS t, lower(regexp_replace(w[i+1], '{_EDGES}', '', 'g')) AS f FROM u),
+b AS (SELECT *, regexp_replace(t, {_ENDS}) AS own, regexp_replace(f, {_ENDS}) AS follows, regexp_matches(t, '(^|[^.!?])[.]$') AS closed FROM k),
+n AS (SELECT sum(closed::INT) / count(*)::DOUBLE AS share FROM b),
+y AS (SELECT own AS type, CAST(sum(closed::INT) AS BIGINT) AS closed, CAST(sum((NOT closed)::INT) AS BIGINT) AS open, length(replace(own, '.', '')) AS letters FROM b WHERE regexp_matches(own, '\p{{L}}') GROUP BY own),
+a AS (SELECT type, closed, open, -2 * (closed * ln(share) + open * ln(greatest(1 - share, 1e-12)) - closed * ln(0.99) - open * ln(0.01)) * exp(-letters) * (length(type) - letters + 1) * pow(letters::DOUBLE, -open::DOUBLE) AS score FROM y, n WHERE closed > 0),
+abbreviated AS (SELECT * FROM a WHERE score >= 0.3),
+e AS (SELECT own, CASE WHEN regexp_matches(t, '[.!?]$') AND own <> '' AND own NOT IN (SELECT type FROM abbreviated) THEN follows END AS follows FROM b),
+c AS (SELECT type, CAST(sum(after) AS BIGINT) AS after, CAST(sum(1 - after) AS BIGINT) AS times FROM (SELECT own AS type, 0 AS after FROM e UNION ALL SELECT follows, 1 FROM e WHERE follows IS NOT NULL) GROUP BY type),
+z AS (SELECT sum(after)::DOUBLE AS a, sum(times)::DOUBLE AS n FROM c),
+l AS (SELECT type, after, times, -2 * (after * ln(greatest(times / n, 1e-12)) + (a - after) * ln(greatest(1 - times / n, 1e-12)) + (times - after) * ln(greatest(times / n, 1e-12)) + (n - a - times + after) * ln(greatest(1 - times / n, 1e-12))
+   - after * ln(greatest(after / a, 1e-12)) - (a - after) * ln(greatest(1 - after / a, 1e-12)) - (times - after) * ln(greatest((times - after) / (n - a), 1e-12)) - (n - a - times + after) * ln(greatest(1 - (times - after) / (n - a), 1e-12))) AS score, a, n FROM c, z WHERE regexp_matches(type, '^\p{{L}}') AND after > 0),
+starting AS (SELECT type, after, times, score FROM l WHERE score >= 30 AND n / a > times / after)"""
+
+
+def _abbreviated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.expr(ABBREVIATED).alias("text"))
+
+
+def _starters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _abbreviated(spark, sf_dir)
+    return boundaries.starters(docs, "text", boundaries.learn(docs).abbreviations).withColumn("score", F.round("score", 4))
+
+
+def _learnt_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of texts with abbreviations, by boundaries learnt from these texts."""
+    docs = _abbreviated(spark, sf_dir)
+    return docs.select("doc_id", F.posexplode(segment.sentences(T.collapse(F.col("text")), boundaries.learn(docs))).alias("pos", "sentence"))
+
+
+_add("g04_abbreviations", lambda s, d: boundaries.abbreviations(_abbreviated(s, d), "text").withColumn("score", F.round("score", 4)), f"WITH {LEARNT_SQL} SELECT type, closed, open, round(score, 4) AS score FROM abbreviated")
+_add("g04_starters", _starters, f"WITH {LEARNT_SQL} SELECT type, after, times, round(score, 4) AS score FROM starting")
+_add("g04_learnt_sentences", _learnt_sentences, rf"""WITH {LEARNT_SQL},
+s AS (SELECT doc_id, i, raw, CASE WHEN lag(raw) OVER o IS NULL OR NOT regexp_matches(lag(raw) OVER o, '[.!?]$') THEN 0
+        WHEN lag(closed) OVER o AND (lag(own) OVER o IN (SELECT type FROM abbreviated) OR regexp_matches(lag(own) OVER o, '^\p{{L}}$')) AND NOT (own IN (SELECT type FROM starting) AND regexp_matches(regexp_replace(raw, '{_EDGES}', '', 'g'), '^\p{{Lu}}')) THEN 0 ELSE 1 END AS cut FROM b WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM s)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, string_agg(raw, ' ' ORDER BY i) AS sentence FROM g GROUP BY doc_id, pos""")
+
+
 # Tokens, features and reports
 
 _STOP, _KEEP, _LEMMAS = ["the", "of", "and", "not", "de", "la"], ("not",), {"the": "a", "und": "and", "les": "le"}
