@@ -673,19 +673,20 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component: one of those with the smallest doc_id (a null one where no other is); rows stay as they are.
 
     Rows without words stay.  Where rows share a doc_id, or have none, the one with the
-    smallest text among those in the component stays, also if they are equal.
+    smallest text among those in the component stays, also if they are equal.  Columns of
+    ``docs`` may have any names.
     """
     own, points, found = links(docs)
     named = materialise(_named(points, found), "named")
-    often = materialise(own.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("often")), "often")
-    once = own.join(named, "set", "left").where("n = 0 or doc_id = component_id").select("doc_id").join(often, F.col("doc_id") == F.col("often"), "left_anti")
-    plain = docs.join(once.where("doc_id is not null").select(F.col("doc_id").alias("once")), F.col("doc_id") == F.col("once"), "left_semi")
-    if often.isEmpty():
-        return plain
     name = "set"
     while name in docs.columns:
         name += "_"
-    odd = _with_names(docs.join(often, F.col("doc_id").eqNullSafe(F.col("often")), "left_semi"), name)
+    often = materialise(own.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias(name)), "often")
+    once = own.join(named, "set", "left").where("n = 0 or doc_id = component_id").select(F.col("doc_id").alias(name)).join(often, name, "left_anti").where(F.col(name).isNotNull())
+    plain = docs.join(once, F.col("doc_id") == F.col(name), "left_semi")
+    if often.isEmpty():
+        return plain
+    odd = _with_names(docs.join(often, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi"), name)
     whole = F.struct(*(F.col(c) for c in docs.columns)).alias("whole")
     odd = odd.select(whole, F.col(name).alias("set"), F.col("doc_id").alias("id")).join(named, "set", "left").where("component is null or id <=> component_id")
     one = odd.where("component is not null").groupBy("component").agg(F.min_by("whole", "whole.text").alias("whole"))

@@ -57,3 +57,14 @@ def test_columns_with_the_operators_names_stay(spark):
         docs = stage(spark, docs, "")
         assert docs.columns[-2:] == ["score", "lang_pred"]
     assert {(r.score, r.lang_pred == f"p{r.doc_id}") for r in docs.collect()} == {(777.0, True)}
+
+
+def test_columns_of_any_name(spark):
+    names = ("once", "often", "set", "set_", "component", "component_id", "n", "whole", "id", "hash", "sample")
+    table = [(*r, *names) for r in rows()] + [(None, rows()[3][1], "en", "s", 0, *names), (7, rows()[8][1], "en", "s", 0, *names)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{x} string" for x in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns[5:] == list(names)
+    assert {tuple(r)[5:] for r in docs.collect()} == {names}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= docs.count() > 5
