@@ -12,8 +12,11 @@ potential, neighbours share a transition potential, and distant tokens that repe
 resemble each other (the same letters and digits, the same last seven digits, the same
 name before an @) share a skip potential that asks for the same kind.  Loopy sum-product
 message passing over all tokens of a document decides; tokens of base spans are observed.
-A skip group is tied through one hub node instead of through all its pairs, so a document
-with thousands of copies of a number costs as many messages.
+A mention in a skip group has one factor with the group's observed mentions, so that any number
+of unobserved ones cannot outvote these; a group without observed ones is tied through one hub node
+instead of through all pairs, so a document with thousands of copies of a number costs as many
+messages.
+Tokens that follow one another and make up one number repeat as a whole.
 
 All potentials are fitted by pseudo-likelihood on weak labels: base spans, and values
 that a text assigns to a key, token or password, in a sample of about ``sample_docs`` texts of
@@ -49,6 +52,8 @@ KINDS = ("email", "ip", "card", "phone")
 ALL = (*KINDS, "secret")
 LABELS = 1 + 2 * len(ALL)  # none, then begin and inside of each kind
 KIND_OF = (np.arange(LABELS) + 1) // 2
+#: How much more than the learnt skip potential the factor with an observed mention counts: what was learnt is the share among all others.
+OBSERVED = 1.5
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
@@ -106,6 +111,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 _TOKEN = re.compile(r"[^\x09-\x0D\x20\"',;<>=|]+")
+_GAP = re.compile(r"[\x09-\x0D\x20\"',;<>=|]{0,4}")
 _EDGE = frozenset("\t\n\x0b\x0c\r \"',;<>=|")
 _SEED = re.compile(r"[0-9@]+|=")
 _SEED_SPELT = re.compile(r"[0-9@]+|=|[\[(](?:at|dot)[\])]", re.I)
@@ -116,6 +122,8 @@ _KEY = re.compile(r"[A-Za-z0-9_/+-]{16,}")
 #: Weak labels of secrets.
 _ASSIGNED = re.compile(r"(?i)(?:token|key|secret|password|passwd|pwd|credential)\x20{0,3}[:=]\x20{0,3}[\"']?([^\x09-\x0D\x20\"',;<>=|]{8,})")
 _OTHER = re.compile(r"[^a-z0-9]")
+#: A token that can be part of a number written in several.
+_NUMERAL = re.compile(r"[+(]*[0-9][0-9().+-]*[.:!?]*")
 
 
 def tokens(text: str) -> list[tuple[int, int]]:
@@ -132,10 +140,9 @@ def tokens(text: str) -> list[tuple[int, int]]:
     for m in (_SEED_SPELT if spelt else _SEED).finditer(text):
         at = m.start()
         if m[0] == "=":
-            if t := _TOKEN.search(text, m.end()):
-                if t.start() - m.end() <= 4:
-                    out.setdefault(t.start(), t.end())
-                    done = max(done, t.end())
+            if t := _TOKEN.match(text, _GAP.match(text, m.end()).end()):
+                out.setdefault(t.start(), t.end())
+                done = max(done, t.end())
             continue
         if at < done:
             continue
@@ -169,14 +176,15 @@ def shape(token: str) -> str:
             return str(n if n < 5 else 5 if n < 7 else 7 if n < 10 else 10 if n < 14 else 14 if n < 20 else 20)
         return "a" if x[0] < "\x80" and x[0].islower() else "A" if x[0] < "\x80" else "u"
 
-    return _RUN.sub(run, token[:64])[:24]
+    runs = _RUN.sub(run, token)
+    return runs if len(runs) <= 24 else f"{''.join(sorted(set(runs)))}{len(runs).bit_length()}"
 
 
 def features(text: str, a: int, b: int, follows: bool) -> list[str]:
     """What a token shows of itself and of what stands before it."""
     token = text[a:b].rstrip(".:!?")
     bare = token.strip("()[]")
-    digits = _NO_DIGIT.sub("", bare) if len(bare) < 64 else ""
+    digits = _NO_DIGIT.sub("", bare)
     head = text[max(0, a - 24) : a]
     word = head.rstrip(" \t\"'=:,;<>|")
     last = re.split(r"[^A-Za-z]", word.lower())[-1] if word else ""
@@ -259,6 +267,8 @@ class Graph:
         begin, k, end = len(self.at), 0, -2
         ordered = sorted((a, b, ALL.index(kind)) for kind, a, b in known)
         started: set[int] = set()
+        run: list[int] = []
+        whole: list[list[int]] = []
         for a, b in own:
             i = len(self.at)
             follows = i > begin and a - end <= 2 and not text[end:a].strip(" ")
@@ -278,8 +288,17 @@ class Graph:
             if follows:
                 self.chain.append(i)
             end = b
-            for key in keys(text[a:b]) if b - a < 256 else ():
+            for key in keys(text[a:b]):
                 groups.setdefault(key, []).append(i)
+            run = [*run, i] if follows and run and _NUMERAL.fullmatch(text, a, b) else [i] if _NUMERAL.fullmatch(text, a, b) else []
+            if len(run) > 1:
+                whole.append(run)
+        for k, run in enumerate(whole):  # numbers in several tokens, by their last digits; the longest of those that begin alike
+            if k + 1 == len(whole) or whole[k + 1][0] != run[0]:
+                digits = _NO_DIGIT.sub("", text[self.at[run[0]][0] : self.at[run[-1]][1]])
+                if 7 <= len(digits) <= 19:
+                    for i in run:
+                        groups.setdefault(f"s{digits[-7:]}", []).append(i)
         self.groups += {tuple(g): g for g in groups.values() if len(g) > 1}.values()
 
     def marginals(self, model: Field) -> np.ndarray:
@@ -291,10 +310,20 @@ class Graph:
         known = np.flatnonzero(labels)
         unary[known] = -30.0
         unary[known, labels[known]] = 30.0
-        hub = np.full((len(self.groups), LABELS), -30.0)
+        hubs, tied = 0, []
+        for own in self.groups:
+            seen = labels[own]
+            kinds = np.bincount(KIND_OF[seen[seen > 0]], minlength=1 + len(ALL))
+            free = [i for i, x in zip(own, seen.tolist(), strict=True) if not x]
+            if kinds.any():  # a factor with what is observed, for every other mention, however many there are
+                unary[free] += OBSERVED * model.skip * (kinds / kinds.sum())[KIND_OF]
+            elif len(free) > 1:
+                tied += [(i, n + hubs) for i in free]
+                hubs += 1
+        hub = np.full((hubs, LABELS), -30.0)
         hub[:, 0] = hub[:, 1::2] = 0.0
         chain = np.array([(i - 1, i) for i in self.chain], np.int64).reshape(-1, 2)
-        tied = np.array([(i, n + g) for g, own in enumerate(self.groups) for i in own], np.int64).reshape(-1, 2)
+        tied = np.array(tied, np.int64).reshape(-1, 2)
         tables = np.stack((model.chain, model.skip * (KIND_OF[:, None] == KIND_OF)))
         kinds = np.repeat((0, 1), (len(chain), len(tied)))
         return beliefs(np.vstack((unary, hub)), np.concatenate((chain, tied)), kinds, tables, model.rounds, model.damping)[:n]
@@ -309,7 +338,8 @@ def weaker(kind: str, value: str, r: random.Random) -> str:
     if kind == "phone":
         digits = _NO_DIGIT.sub("", value)
         short = value[1:].lstrip("0123456789").strip(" ") or digits
-        return r.choice((short, short, short, digits[-10:], digits[-7:], f"{digits[-10:-7]}.{digits[-7:-4]}.{digits[-4:]}", f"{digits[-7:-4]}-{digits[-4:]}"))
+        a, b, c = digits[-10:-7], digits[-7:-4], digits[-4:]
+        return r.choice((short, short, short, digits[-10:], digits[-7:], f"{a}.{b}.{c}", f"{a}-{b}-{c}", f"{b}-{c}"))
     if kind == "card":
         return r.choice((value, "-".join(re.findall("[0-9]{1,4}", _NO_DIGIT.sub("", value)))))
     if kind == "secret":
@@ -333,7 +363,10 @@ def learn(texts: list[str], least: int = 3, steps_: int = 200, decay: float = 1e
         known += [("secret", m.start(1), m.end(1)) for m in _ASSIGNED.finditer(text) if not any(a < m.end(1) and b > m.start(1) for _, a, b in known)]
         r = random.Random(k)
         for kind, a, b in list(known)[:20]:  # bounds the copies behind a text of the sample, no more
-            again = weaker(kind, text[a:b], r)
+            own = text[a:b]
+            if kind == "phone" and r.random() < 0.5:  # another number: what a form tells without a repeat
+                own = "+" + re.sub("[0-9]", lambda _: str(r.randrange(10)), own[1:])
+            again = weaker(kind, own, r)
             text += " and "
             known.append((kind, len(text), len(text) + len(again)))
             text += again
