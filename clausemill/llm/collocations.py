@@ -38,10 +38,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausemill.llm.common import materialise, small_batches
+from clausemill.llm.common import materialise, small_batches, trim
 
 #: Bytes of text of a part, bytes that are split into words at once, numbers of a row, pairs and words of a bucket.
-PART, SLICE, ROW, BUCKET, DISTINCT = 16_000_000, 1_000_000, 200_000, 1_500_000, 400_000
+PART, SLICE, ROW, BUCKET, DISTINCT = 10_000_000, 1_000_000, 200_000, 800_000, 250_000
 BREAK = b"\xff"  # no byte of UTF-8
 TABLE = bytes(0xFF if chr(i) in ".,;:!?\n\x0b\x0c\r" else 32 if i == 9 else i + 32 if 65 <= i <= 90 else i for i in range(256))
 
@@ -137,6 +137,7 @@ def _code(batches):
             if size > PART:
                 yield from written()
                 table, entries, chunks, size, made = {}, 0, [], 0, made + 1
+                trim()
     if size:
         yield from written()
 
@@ -198,6 +199,8 @@ def _pairs(level: int, buckets: int):
             order = np.argsort(bucket, kind="stable")
             for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
                 yield pa.RecordBatch.from_pylist([{"bucket": int(bucket[own[0]]), "part": part, "entries": _joined([first[own], second[own], (own + 1).astype("<i4"), times[own].astype("<i4")])}], schema)
+            del flat, names, first, second, times, mixed, bucket, order
+            trim()
 
     return run
 
@@ -290,6 +293,7 @@ def _name(level: int, least: int):
 
         for bucket, rows in _by_bucket(batches):
             yield from named(bucket, [r["part"] for r in rows], [r["entries"] for r in rows])
+            trim()
 
     return run
 
