@@ -45,6 +45,9 @@ PART, SLICE, ROW, BUCKET, DISTINCT = 10_000_000, 1_000_000, 200_000, 800_000, 25
 BREAK = b"\xff"  # no byte of UTF-8
 TABLE = bytes(0xFF if chr(i) in ".,;:!?\n\x0b\x0c\r" else 32 if i == 9 else i + 32 if 65 <= i <= 90 else i for i in range(256))
 
+#: Shares of a language's phrases that are ranked apart first.
+SALTS = 16
+
 CODED = "part string, at int, numbers binary, lang string, words binary, times binary, size int, n long"
 WORDS = "bucket int, part string, lang string, words binary, numbers binary, times binary"
 PAIRS = "bucket int, part string, entries binary"
@@ -343,12 +346,19 @@ def collocations(docs: DataFrame, least: int = 10, most_words: int = 3, share: i
         held.append(level.select("lang", "phrase", F.col("times").alias("a"), "heads", "tails"))
     cut = F.transform("heads", lambda h, i: F.struct(_score(F.col("a"), h, F.col("tails")[i]).alias("score"), i.alias("k"), h.alias("l"), F.col("tails")[i].alias("r")))
     scored = reduce(DataFrame.unionByName, held).withColumn("cut", F.array_min(cut)).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)
+    top = _first(scored, first)
     totals = code.where("words IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n"))
     return top.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
+def _first(scored: DataFrame, first: int) -> DataFrame:
+    """Each language's first rows with their rank: the first of each of ``SALTS`` shares of its phrases, then of these, so that no task reads more than ``SALTS * first`` rows of a language."""
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    salted = scored.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    few = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= first)
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= first)
+
+
 def _score(a: Column, left: Column, right: Column) -> Column:
     """floor(1000000 * a * a / (l * r)) in decimals of 38 digits: exact while counts have at most 15 digits; the result fits a long, as a is at most l and r."""
     wide = [c.cast("decimal(15,0)") for c in (a, left, right)]
