@@ -6,6 +6,8 @@ makes the line feed the only line end.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -117,14 +119,17 @@ def plain_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
 
 
-def content_tokens(c: Column, stop_words: list[str], keep: tuple[str, ...], lemmas: dict[str, str] | None = None) -> Column:
+def content_tokens(c: Column, stop_words: list[str], keep: tuple[str, ...], lemmas: dict[str, str] | Callable[[Column], Column] | None = None) -> Column:
     """Preprocessed tokens without stop words (but for ``keep``), as lemmas of two letters and more.
 
-    Lemmas come from a small table; a word that it lacks is its own lemma.
+    Lemmas come from a small table, in which a word that it lacks is its own lemma, or from
+    an expression (``lemmas.lemma``).
     """
     drop = F.array(*(F.lit(w) for w in stop_words if w not in keep)) if stop_words else F.array().cast("array<string>")
     tokens = F.filter(F.split(preprocess(c), " "), lambda w: (w != "") & ~F.array_contains(drop, w))
-    if lemmas:
+    if callable(lemmas):
+        tokens = F.transform(tokens, lambda w: lemmas(w))
+    elif lemmas:
         table = F.create_map(*(F.lit(x) for pair in lemmas.items() for x in pair))
         tokens = F.transform(tokens, lambda w: F.coalesce(F.try_element_at(table, w), w))
     return F.filter(tokens, lambda w: F.length(w) > 1)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausemill.functions import lemmas
 from clausemill.functions import text as T
 from clausemill.functions.lexicon import FIXTURE
 from clausemill.operators import boundaries, clean, ngrams, report, score, segment
@@ -134,6 +135,36 @@ SELECT doc_id, CAST(pos AS INTEGER) AS pos, string_agg(raw, ' ' ORDER BY i) AS s
 
 _STOP, _KEEP, _LEMMAS = ["the", "of", "and", "not", "de", "la"], ("not",), {"the": "a", "und": "and", "les": "le"}
 _add("n02_content_tokens", lambda s, d: documents(s, d).select("doc_id", F.array_join(T.content_tokens(F.col("text"), _STOP, _KEEP, _LEMMAS), " ").alias("tokens")), f"SELECT doc_id, coalesce(array_to_string(list_filter(list_transform(list_filter(string_split({catalog.PREPROCESSED}, ' '), lambda w: w <> '' AND w NOT IN ('the', 'of', 'and', 'de', 'la')), lambda w: CASE w WHEN 'und' THEN 'and' WHEN 'les' THEN 'le' ELSE w END), lambda w: length(w) > 1), ' '), '') AS tokens FROM documents")
+
+
+# Lemmas: endings put on the words of the texts, so that rules and exceptions have work to do
+
+INFLECTED = "lower(replace(replace(replace(replace(text, 'er ', 'ing '), 'e ', 'ed '), 'n ', 'nning '), 's ', 'sses '))"
+
+
+def _lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", F.expr(f"regexp_extract_all({INFLECTED}, '[a-z]+', 0)").alias("w"))
+    learnt = lemmas.learn(docs.select(F.explode("w").alias("word")))
+    return docs.select("doc_id", F.array_join(F.transform("w", lambda w: lemmas.lemma(w, learnt)), " ").alias("lemmas"))
+
+
+def _rule_sql(w: str) -> str:
+    parts = [f"WHEN regexp_matches({w}, '{p}') THEN " + (f"left(regexp_extract({w}, '{p}', 1), -1)" if e == "-" else f"regexp_extract({w}, '{p}', 1) || '{e}'") for p, e in lemmas.RULES]
+    return f"CASE WHEN length({w}) <= 3 THEN {w} {' '.join(parts)} ELSE {w} END"
+
+
+_BARE = f"regexp_extract(word, '{lemmas.OPEN}', 1)"
+LEMMA_SQL = f"""w AS (SELECT doc_id, regexp_extract_all({INFLECTED}, '[a-z]+') AS w FROM documents),
+u AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM w), t AS (SELECT doc_id, i, w[i] AS word FROM u),
+n AS (SELECT word, count(*) AS n FROM t GROUP BY word),
+irregular(word, lemma) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in lemmas.IRREGULAR.items())}),
+s AS (SELECT word, unnest([0, 1, 2, 3]) AS place, unnest([{_rule_sql('word')}, {_BARE}, {_BARE} || 'e', CASE WHEN right({_BARE}, 1) = left(right({_BARE}, 2), 1) AND length({_BARE}) > 1 THEN left({_BARE}, -1) ELSE {_BARE} END]) AS stem
+      FROM n WHERE regexp_matches(word, '{lemmas.OPEN}') AND length(word) > 3 AND word NOT IN (SELECT word FROM irregular)),
+b AS (SELECT s.word, s.stem, s.place, n.n FROM s JOIN n ON n.word = s.stem QUALIFY row_number() OVER (PARTITION BY s.word ORDER BY n.n DESC, s.place) = 1),
+x AS (SELECT b.word, stem AS lemma FROM b WHERE n >= 5 AND stem <> {_rule_sql('word')}),
+r AS (SELECT word, coalesce(irregular.lemma, x.lemma, {_rule_sql('word')}) AS lemma FROM n LEFT JOIN irregular USING (word) LEFT JOIN x USING (word))"""
+_add("n03_lemmas", _lemmas, f"WITH {LEMMA_SQL}, g AS (SELECT doc_id, string_agg(lemma, ' ' ORDER BY i) AS lemmas FROM t JOIN r USING (word) GROUP BY doc_id) SELECT doc_id, coalesce(lemmas, '') AS lemmas FROM documents LEFT JOIN g USING (doc_id)")
+_add("n03_exceptions", lambda s, d: lemmas.exceptions(documents(s, d).select(F.explode(F.expr(f"regexp_extract_all({INFLECTED}, '[a-z]+', 0)")).alias("word"))), f"WITH {LEMMA_SQL} SELECT word, lemma FROM x")
 _add("r21_online_features", lambda s, d: score.features(catalog.clauses(s, d), "clause", FIXTURE, tokens=T.plain_tokens).select("doc_id", "pos", "obligation_count", "word_count_f"), rf"""WITH {catalog.CLAUSE_SQL} SELECT doc_id, pos, CAST(len(list_filter(regexp_extract_all(lower(clause), '\S+'), lambda w: w IN ({', '.join(map(sql_text, FIXTURE.obligations))}))) AS INTEGER) AS obligation_count, CAST(len(regexp_extract_all(clause, '\S+')) AS INTEGER) AS word_count_f FROM c""")
 _add("a11_readiness", lambda s, d: report.readiness(embeddings(s, d), "label", "embedding", F.col("label"), 2000, ["vec_id", "label"], 20), """
 WITH c AS (SELECT label, count(*) AS n, bool_or(len(list_filter(embedding, lambda x: isnan(x))) > 0) AS nan, count(label) AS al FROM embeddings GROUP BY label),

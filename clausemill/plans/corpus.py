@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausemill.functions import lemmas as L
 from clausemill.functions import text as T
 from clausemill.functions.lexicon import FEATURES, KEEP_WORDS, POLICY, Lexicon
 from clausemill.operators import clean, ngrams, rank, report, sample, score, segment
@@ -23,9 +26,15 @@ def cleaned(clauses: DataFrame) -> DataFrame:
     return segment.numbered_ids(kept, order, 5)
 
 
-def preprocessed(clauses: DataFrame, lemmas: dict[str, str] | None = None) -> DataFrame:
-    """Adds clean_text and token_count; code snippets and clauses without content words leave."""
+def preprocessed(clauses: DataFrame, lemmas: dict[str, str] | Callable | None = None) -> DataFrame:
+    """Adds clean_text and token_count; code snippets and clauses without content words leave.
+
+    Without lemmas these follow the rules, with exceptions learnt from the clauses.
+    """
     stop = StopWordsRemover.loadDefaultStopWords("english")
+    if lemmas is None:
+        learnt = L.learn(clauses.select(F.explode(F.split(T.preprocess(F.col("raw_text")), " ")).alias("word")))
+        lemmas = lambda w: L.lemma(w, learnt)
     rows = clauses.where(~clean.has_code(F.col("raw_text"))).withColumn("clean_text", F.array_join(T.content_tokens(F.col("raw_text"), stop, KEEP_WORDS, lemmas), " "))
     return rows.where("clean_text <> ''").withColumn("token_count", T.word_count(F.col("clean_text")))
 
@@ -42,7 +51,7 @@ def labelled(clauses: DataFrame, lexicon: Lexicon = POLICY, text: str = "raw_tex
 
 def master(docs: DataFrame, lexicon: Lexicon = POLICY, features: Lexicon = FEATURES, balanced: int | None = 1000) -> DataFrame:
     """The master table (16 columns) from documents (domain, source_doc, text)."""
-    clauses = cut(preprocessed(cleaned(segment.clauses(docs))), "clauses")
+    clauses = cut(preprocessed(cut(cleaned(segment.clauses(docs)), "cleaned")), "clauses")
     rows = cut(labelled(clauses, lexicon), "labelled")
     if balanced:
         rows = sample.balance(rows, "risk_label", "risk_score", ["clause_id"], balanced).withColumn("key", sample.hash_order(["clause_id", "copy"], 42))
