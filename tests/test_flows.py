@@ -163,18 +163,12 @@ def test_stream_equals_batch(spark, tmp_path):
     assert label_counts(scored_stream(stamped, time="ts"), "ts").agg(F.sum("n")).first()[0] == len(got)
 
 
-def test_the_boosted_member_has_the_size_asked_for(spark, monkeypatch):
-    class Seen(Exception):
-        pass
-
-    def boosted(**given):
-        raise Seen(given)
-
-    monkeypatch.setattr(ml, "GBTClassifier", boosted)
-    with pytest.raises(Seen) as seen:
-        ml.fit(corpus.master(docs(spark), balanced=20), "clean_text", n_words=20, n_chars=20)
-    given = seen.value.args[0]
-    assert (given["maxIter"], given["maxDepth"], given["subsamplingRate"], given["featureSubsetStrategy"]) == (300, 8, 0.9, "0.8")
+def test_the_members_have_the_sizes_asked_for(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ml.T, "boost", lambda data, rounds, **given: seen.append((rounds, given)))
+    monkeypatch.setattr(ml.T, "randomised", lambda data, trees, **given: seen.append((trees, given)))
+    ml.fit(corpus.master(docs(spark), balanced=20), "clean_text", n_words=20, n_chars=20)
+    assert seen == [(300, {"depth": 8, "l2": 0.5, "row_share": 0.9, "feature_share": 0.8, "seed": 42}), (300, {"depth": 8, "leaves": 31, "l2": 0.0, "few": 5, "seed": 42}), (300, {"few": 2, "seed": 42})]
 
 
 def test_char_tfidf_against_brute_force_and_its_sql(spark, tmp_path):
