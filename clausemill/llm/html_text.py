@@ -46,8 +46,8 @@ CONTAINERS = frozenset("article main".split())
 #: Elements whose class is part of the path.
 CLASSED = frozenset("div section ul ol dl table blockquote article main p".split())
 DECLARED, BESIDE, REJECTED = 1e3, 0.1, 1e-6
-#: Steps by which one of two neighbours may lie deeper.
-DEEPER = 6
+#: Link text in a path's characters from which on its blocks are no text between content.
+LINKED = 0.5
 P_CLOSERS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: An element closes open ones of these names, up to the scope in the second set.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -132,17 +132,28 @@ class Paths:
             self.depth.append(self.depth[path] + 1)
         return self.known[key]
 
-    def related(self, p: int, q: int) -> bool:
+    def spans(self) -> tuple[list[int], list[int]]:
+        """Of each path its place before and behind all paths below it, in one walk; a path is above another if its span holds the other's."""
+        below: list[list[int]] = [[] for _ in self.step]
+        for p in range(1, len(self.step)):
+            below[self.parent[p]].append(p)
+        first, last, at, stack = [0] * len(self.step), [0] * len(self.step), 0, [(0, 0)]
+        while stack:
+            p, k = stack.pop()
+            if not k:
+                first[p] = at = at + 1
+            if k < len(below[p]):
+                stack += [(p, k + 1), (below[p][k], 0)]
+            else:
+                last[p] = at
+        return first, last
+
+    def related(self, p: int, q: int, spans: tuple[list[int], list[int]]) -> bool:
         """Whether two paths are siblings, or the parent of one is above the other and not the page's body."""
         above, below = sorted((self.parent[p], self.parent[q]), key=self.depth.__getitem__)
         if p == q or above == below:
             return True
-        up = self.depth[below] - self.depth[above]
-        if up > DEEPER or self.step[above] in ("", "html", "body"):
-            return False
-        for _ in range(up):
-            below = self.parent[below]
-        return below == above
+        return self.step[above] not in ("", "html", "body") and spans[0][above] <= spans[0][below] and spans[1][below] <= spans[1][above]
 
 
 def _dropped(marks: list[tuple[int, str]], sizes: list[int]) -> list[bool]:
@@ -299,11 +310,11 @@ def ratios(own: list[Block], paths: Paths) -> dict[int, float]:
         s[2] += len(_MARKS.findall(b.text))
         s[3] += b.linked
     raw = {p: math.sqrt(c / k) * math.sqrt(1 + m / k) for p, (k, c, m, _) in sums.items()}
-    best = dict.fromkeys(raw, 0.0)
+    best, spans = dict.fromkeys(raw, 0.0), paths.spans()
     for i, b in enumerate(own):
         near = [raw[b.path]]
         for o in own[max(0, i - 1) : i] + own[i + 1 : i + 2]:
-            if b.rejected == o.rejected and b.within == o.within and paths.related(b.path, o.path):
+            if b.rejected == o.rejected and b.within == o.within and paths.related(b.path, o.path, spans):
                 near.append(raw[o.path])
         best[b.path] = max(best[b.path], sum(near) / len(near))
     return {p: best[p] * (1 - 0.95 * min(1.0, linked / max(1, c))) for p, (_, c, _, linked) in sums.items()}
@@ -323,6 +334,16 @@ def content(page: str | None, share: float = 0.3) -> tuple[list[Block], list[boo
         return REJECTED if b.rejected else 1.0 if not declares else DECLARED if b.within else BESIDE
 
     chosen = [weight(b) * ratio[b.path] >= limit for b in own]
+    if any(chosen):  # quotations, short paragraphs and the like: nothing but links is left out between content
+        share_of: dict[int, list[int]] = {}
+        for b in own:
+            s = share_of.setdefault(b.path, [0, 0])
+            s[0] += b.linked
+            s[1] += len(b.text)
+        first, last = chosen.index(True), len(chosen) - 1 - chosen[::-1].index(True)
+        for i in range(first + 1, last):
+            b = own[i]
+            chosen[i] = chosen[i] or not b.rejected and (b.within or not declares) and share_of[b.path][0] < LINKED * share_of[b.path][1]
     for i in range(len(own) - 2, -1, -1):
         b, after = own[i], own[i + 1]
         if not b.rejected and not after.rejected and b.within == after.within and paths.step[b.path].split(".")[0] in HEADINGS:
