@@ -9,8 +9,8 @@ from clausemill.operators.rank import with_rank
 
 
 def hash_order(key: list[str], seed: int) -> Column:
-    """A stable pseudo-random order of rows by their key."""
-    return F.xxhash64(*(F.col(k) for k in key), F.lit(seed))
+    """A stable pseudo-random order of rows by their key: the MD5 of the key's parts as text and the seed, which any engine can state."""
+    return F.md5(F.concat_ws("|", *(F.col(k).cast("string") for k in key), F.lit(str(seed))))
 
 
 def top_per_class(rows: DataFrame, label: str, score: str, key: list[str], k: int) -> DataFrame:

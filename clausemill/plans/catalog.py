@@ -181,6 +181,11 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 for _id, _column in (("r01_modal", "modal"), ("r02_consequence", "cons"), ("r03_conditional", "cond"), ("r06_amplifier", "amp")):
     _add(_id, lambda s, d, c=_column: _parts(s, d).select("doc_id", "pos", c), f"{FIXTURE_SQL} SELECT doc_id, pos, CAST({_column} AS DOUBLE) AS {_column} FROM f")
 _add("r05_weighted_sum", lambda s, d: _parts(s, d).select("doc_id", "pos", F.round(score.damped(F.col("modal"), F.col("cons"), F.col("cond")) * 0.25 + F.col("cons") * 0.5 + F.col("cond") * 0.25, 6).alias("total")), f"{FIXTURE_SQL} SELECT doc_id, pos, round(s0, 6) AS total FROM f")
+#: Texts with phrases of the policy lexicon behind them, from none to the gravest.
+POLICY_TEXT = """text || CASE doc_id % 8 WHEN 0 THEN ' Staff shall face immediate termination for failure to report.' WHEN 1 THEN ' You must pay a penalty if late, unless agreed.' WHEN 2 THEN ' Members may request guidance.'
+ WHEN 3 THEN ' Gross misconduct shall result in dismissal and legal action.' WHEN 4 THEN ' A minor breach of these terms may result in a verbal warning.' WHEN 5 THEN ' Use is prohibited without consent.' WHEN 6 THEN ' Suspension is required where possible.' ELSE '' END"""
+_add("r_policy_labels", lambda s, d: score.scored(documents(s, d).select("doc_id", F.expr(POLICY_TEXT).alias("text")), "text", POLICY).select("doc_id", "risk_score", "risk_label"), f"WITH c AS (SELECT doc_id, {POLICY_TEXT} AS clause FROM documents), {score_sql(POLICY, 'c', 'doc_id')} SELECT doc_id, risk_score, {LABEL_SQL} AS risk_label FROM f")
+_add("r_policy_parts", lambda s, d: score.first_pass(documents(s, d).select("doc_id", F.expr(POLICY_TEXT).alias("text")), "text", POLICY).select("doc_id", "modal", "cons", "cond", "amp"), f"WITH c AS (SELECT doc_id, {POLICY_TEXT} AS clause FROM documents), {score_sql(POLICY, 'c', 'doc_id')} SELECT doc_id, CAST(modal AS DOUBLE) AS modal, CAST(cons AS DOUBLE) AS cons, CAST(cond AS DOUBLE) AS cond, CAST(amp AS DOUBLE) AS amp FROM f")
 _add("r08_score", lambda s, d: _parts(s, d).select("doc_id", "pos", score.rounded(F.col("p1")).alias("risk_score")), f"{FIXTURE_SQL} SELECT doc_id, pos, risk_score FROM f")
 _add("r13_label", lambda s, d: score.scored(clauses(s, d), "clause", FIXTURE).select("doc_id", "pos", "risk_label"), f"{FIXTURE_SQL} SELECT doc_id, pos, {LABEL_SQL} AS risk_label FROM f")
 _add("r_policy_score", lambda s, d: score.scored(documents(s, d), "text", POLICY).select("doc_id", "risk_score", "risk_label"), f"{POLICY_SQL} SELECT doc_id, risk_score, {LABEL_SQL} AS risk_label FROM f")
@@ -258,7 +263,21 @@ _add("b05_numbered_ids", lambda s, d: segment.numbered_ids(documents(s, d).selec
 _add("b07_preview", lambda s, d: sample.preview(documents(s, d), ["doc_id"], 1, label="lang").groupBy("lang").agg(F.count("*").alias("n")), "SELECT lang, CAST(1 AS BIGINT) AS n FROM documents GROUP BY lang")
 _add("b08_split", lambda s, d: sample.stratified_split(documents(s, d), "lang", ["doc_id"]).groupBy("lang", "is_test").agg(F.count("*").alias("n")), "WITH n AS (SELECT lang, count(*) AS n, CAST(floor(count(*) * 0.2) AS BIGINT) AS t FROM documents GROUP BY lang) SELECT lang, true AS is_test, t AS n FROM n WHERE t > 0 UNION ALL SELECT lang, false, n - t FROM n")
 
+# The same with the rows chosen and their order: hash orders are stated in both dialects
+_HASH = "md5(concat_ws('|', CAST(doc_id AS VARCHAR){}, '42'))"
+_add("b02_choice", lambda s, d: sample.balance(documents(s, d), "lang", "n_chars", ["doc_id"], 230).select("lang", "doc_id", "copy"), f"""
+WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
+big AS (SELECT lang, doc_id, 0 AS copy FROM documents JOIN n USING (lang) WHERE n >= 230 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) <= 230),
+copies AS (SELECT lang, doc_id, unnest(range(0, 230 // n + 1)) AS copy FROM documents JOIN n USING (lang) WHERE n < 230),
+small AS (SELECT * FROM copies QUALIFY row_number() OVER (PARTITION BY lang ORDER BY {_HASH.format(", CAST(copy AS VARCHAR)")}, doc_id, copy) <= 230)
+SELECT lang, doc_id, CAST(copy AS INTEGER) AS copy FROM big UNION ALL SELECT lang, doc_id, CAST(copy AS INTEGER) FROM small""")
+_add("b04_order", lambda s, d: rank.with_rank(documents(s, d).select("doc_id"), [sample.hash_order(["doc_id"], 42).asc(), F.col("doc_id").asc()], "place"), f"SELECT doc_id, row_number() OVER (ORDER BY {_HASH.format('')}, doc_id) AS place FROM documents")
+_add("b07_choice", lambda s, d: sample.preview(documents(s, d), ["doc_id"], 7, label="lang").select("lang", "doc_id"), f"SELECT lang, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY {_HASH.format('')}, doc_id) <= 7")
+_add("b07_any", lambda s, d: sample.preview(documents(s, d), ["doc_id"], 25).select("doc_id"), f"SELECT doc_id FROM documents ORDER BY {_HASH.format('')}, doc_id LIMIT 25")
+_add("b08_choice", lambda s, d: sample.stratified_split(documents(s, d), "lang", ["doc_id"]).select("lang", "doc_id", "is_test"), f"SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY {_HASH.format('')}, doc_id) <= floor(count(*) OVER (PARTITION BY lang) * 0.2) AS is_test FROM documents")
+
 # Reports
+_add("a14_shares", lambda s, d: report.collection_summary(documents(s, d).select(F.col("lang").alias("domain"))), "SELECT lang AS domain, count(*) AS files, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS share FROM documents GROUP BY lang")
 _add("a01_counts", lambda s, d: report.counts(documents(s, d), "lang"), "SELECT lang, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS share FROM documents GROUP BY lang")
 _add("a03_summary", lambda s, d: report.summary(documents(s, d), "n_chars").select("count", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "min", "p25", "p50", "p75", "max", "sum"), "SELECT count(n_chars) AS count, round(avg(n_chars), 4) AS mean, round(stddev_samp(n_chars), 4) AS std, min(n_chars) AS min, quantile_cont(n_chars, 0.25) AS p25, quantile_cont(n_chars, 0.5) AS p50, quantile_cont(n_chars, 0.75) AS p75, max(n_chars) AS max, CAST(sum(n_chars) AS BIGINT) AS sum FROM documents")
 _add("a06_distinct", lambda s, d: documents(s, d).agg(F.countDistinct("source").alias("sources"), F.countDistinct("lang").alias("langs")), "SELECT count(DISTINCT source) AS sources, count(DISTINCT lang) AS langs FROM documents")
