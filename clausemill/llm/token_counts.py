@@ -1,25 +1,37 @@
 """Edit-aware token counts (operator 3).
 
-A document's pre-token segments (a run of white space with the characters that follow)
-encode independently of each other.  A tree keeps them: leaves are pages of up to 64
-segments, inner nodes hold the sums of characters and tokens below them.  An edit
-finds its page by descending over character sums, cuts anew only the segments that it
-touches and one on either side, encodes those, and updates the sums on the way to the
-root.  A page that grows too large makes the tree be laid out again, without encoding.
-
-Null text counts as empty: no segments, no tokens.  Offsets are code points and are
-clipped to the text.  Rows that share a doc_id are counted each for itself, columns beside
-doc_id and text are ignored, whatever their names; an empty table gives an empty result.
-A text without white space is one segment, so every edit of it encodes all of it again.  Row-local: no shuffle, and a task holds the trees of one step of
-texts beside the bounded piece table.
+A document's pre-token segments encode independently of each other.  A segment is a run of white
+space with the characters that follow; one of over ``LONG`` characters is cut further, where the
+vocabulary's split pattern always cuts: around added tokens, between letters and digits, before
+other signs, and before digits.  (A longer run of letters alone is one pre-token and stays whole.)
+A tree keeps them: leaves are pages of up to 64 segments, inner nodes hold the sums of characters
+and tokens below them.  An edit finds its page by descending over character sums, cuts anew only
+the segments that it touches and one on either side, encodes those, and updates the sums on the way
+to the root.  A page that grows too large makes the tree be laid out again, without encoding.
+
+``store`` adds the trees' leaves to a table, as lengths and counts of segments, and ``apply`` edits
+such a table: documents without edits are passed on, others are laid out from what is stored, and
+only what their edits touch is encoded.
+
+Null text counts as empty: no segments, no tokens.  Offsets are code points and are clipped to the
+text.  Rows that share a doc_id are counted, and edited, each for itself; rows of null doc_id have no
+edits.  Edits of one document apply in order of ``seq``, those of equal ``seq`` in order of their
+other columns.  Further columns are ignored by ``edited_counts`` and kept by ``store`` and ``apply``;
+columns of the names of what is stored are replaced.  An empty table gives an empty result.  Counting
+is row-local; edits are joined by doc_id, and a task holds the trees of one step of texts beside the
+bounded piece table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from clausemill.llm.bpe import PieceEncoder, encoder
 from clausemill.llm.common import steps
@@ -27,7 +39,29 @@ from clausemill.llm.common import steps
 PAGE = 64
 Edit = tuple[int, int, str]  # start, end, replacement
 
-#: Every segment but the first begins with white space, and all but the last end without.
+#: Characters of a segment beyond which it is cut further, and of the pieces at least.
+LONG, PIECE = 32, 16
+#: Places where the split pattern of byte-level vocabularies always cuts: contractions alone join other signs and letters.
+_SAFE = regex.compile(r"(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}])(?=\p{N})")
+STORED = ("segment_chars", "segment_tokens", "n_tokens")
+
+
+def cut(text: str, pieces: PieceEncoder) -> list[str]:
+    """The segments of a text."""
+    out: list[str] = []
+    for chunk in pieces.chunks(text):
+        if len(chunk) <= LONG or pieces.merges.words:
+            out.append(chunk)
+            continue
+        for part in pieces.merges.marks.split(chunk) if pieces.merges.marks else [chunk]:
+            at = 0
+            for m in _SAFE.finditer(part) if part not in pieces.merges.added else ():
+                if m.start() - at >= PIECE:
+                    out.append(part[at : m.start()])
+                    at = m.start()
+            if at < len(part):
+                out.append(part[at:])
+    return out
 
 
 class TokenTree:
@@ -39,7 +73,7 @@ class TokenTree:
 
     @staticmethod
     def of(text: str | None, pieces: PieceEncoder) -> TokenTree:
-        segments = pieces.chunks(text or "")
+        segments = cut(text or "", pieces)
         tree = TokenTree(segments, pieces.count_chunks(segments), pieces)
         tree.encoded = len(segments)
         return tree
@@ -129,7 +163,7 @@ class TokenTree:
         if b < len(segments):
             b += 1
         old = "".join(segments[a:b])
-        return left, right, segments, counts, a, b, self.pieces.chunks(old[: start - at] + replacement + old[end - at :])
+        return left, right, segments, counts, a, b, cut(old[: start - at] + replacement + old[end - at :], self.pieces)
 
     def commit(self, plan: tuple, fresh_counts: list[int]) -> None:
         left, right, segments, counts, a, b, fresh = plan
@@ -170,10 +204,10 @@ def edited_counts(docs: DataFrame, tokenizer: str, edits: Callable[[int], list[E
         pieces = encoder(tokenizer)
         for batch in steps(batches):
             texts = batch.column("text").to_pylist()
-            cut = [pieces.chunks(t or "") for t in texts]
-            counts = pieces.count_chunks([c for own in cut for c in own])
+            segments = [cut(t or "", pieces) for t in texts]
+            counts = pieces.count_chunks([c for own in segments for c in own])
             trees, at = [], 0
-            for own in cut:
+            for own in segments:
                 trees.append(TokenTree(own, counts[at : at + len(own)], pieces))
                 at += len(own)
             before = [(t.n_chars, t.n_segments, t.n_tokens) for t in trees]
@@ -183,3 +217,67 @@ def edited_counts(docs: DataFrame, tokenizer: str, edits: Callable[[int], list[E
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols)], [c.split()[0] for c in COLUMNS.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(run, COLUMNS)
+
+
+def _numbers(values: list[int]) -> bytes:
+    return np.array(values, "<i4").tobytes()
+
+
+def _stored(tree: TokenTree) -> tuple[bytes, bytes, int]:
+    segments = [x for own, _ in tree.pages for x in own]
+    return _numbers([len(x) for x in segments]), _numbers([x for _, own in tree.pages for x in own]), tree.n_tokens
+
+
+def _restored(text: str, chars: bytes, tokens: bytes, pieces: PieceEncoder) -> TokenTree:
+    """A tree from what is stored, without encoding."""
+    ends = np.cumsum(np.frombuffer(chars, "<i4")).tolist()
+    return TokenTree([text[a:b] for a, b in zip([0, *ends], ends, strict=False)], np.frombuffer(tokens, "<i4").tolist(), pieces)
+
+
+def _with_trees(docs: DataFrame, more: tuple[str, ...] = ()) -> StructType:
+    kinds = {"segment_chars": BinaryType(), "segment_tokens": BinaryType()}
+    return StructType([*(f for f in docs.schema.fields if f.name not in (*STORED, *more)), *(StructField(n, kinds.get(n, LongType())) for n in (*STORED, *more))])
+
+
+def store(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """All columns of docs, with the lengths and token counts of the text's segments and its token count."""
+    schema = _with_trees(docs)
+
+    def run(batches):
+        pieces = encoder(tokenizer)
+        for batch in steps(batches):
+            segments = [cut(t or "", pieces) for t in batch.column("text").to_pylist()]
+            counts, at, rows = pieces.count_chunks([c for own in segments for c in own]), 0, []
+            for own in segments:
+                mine = counts[at : at + len(own)]
+                rows.append((_numbers([len(x) for x in own]), _numbers(mine), sum(mine)))
+                at += len(own)
+            columns = zip(*rows, strict=True) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in schema.names[: -len(STORED)]), *(pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.int64()), strict=True))], schema.names)
+
+    return docs.drop(*STORED).mapInArrow(run, schema)
+
+
+def apply(stored: DataFrame, edits: DataFrame, tokenizer: str) -> DataFrame:
+    """A stored table after edits (doc_id, seq, start, end, replacement), in the same columns and ``n_encoded``: the segments that the edits of a row encoded, 0 for a row without edits."""
+    name = "edits"
+    while name in stored.columns:
+        name += "_"
+    own = edits.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "start", "end", F.coalesce("replacement", F.lit("")).alias("replacement")))).alias(name))
+    schema = _with_trees(stored, ("n_encoded",))
+
+    def run(batches):
+        pieces = encoder(tokenizer)
+        for batch in steps(batches):
+            texts, chars, tokens, todo = (batch.column(n).to_pylist() for n in ("text", *STORED[:2], name))
+            trees = [_restored(t or "", c, k, pieces) for t, c, k in zip(texts, chars, tokens, strict=True)]
+            edit_all(trees, [[(e["start"], e["end"], e["replacement"]) for e in x] for x in todo], pieces)
+            made = {"text": pa.array([t.text for t in trees], pa.string()), "n_encoded": pa.array([t.encoded for t in trees], pa.int64())}
+            rows = [_stored(t) for t in trees]
+            for n, column, kind in zip(STORED, zip(*rows, strict=True) if rows else [[]] * 3, (pa.binary(), pa.binary(), pa.int64()), strict=True):
+                made[n] = pa.array(column, kind)
+            yield pa.RecordBatch.from_arrays([made.get(n, batch.column(n) if n in batch.schema.names else None) for n in schema.names], schema.names)
+
+    touched = stored.drop("n_encoded").join(own, "doc_id").mapInArrow(run, schema)
+    rest = stored.drop("n_encoded").join(own.select(F.col("doc_id").alias(name)), F.col("doc_id") == F.col(name), "left_anti")
+    return touched.unionByName(rest.withColumn("n_encoded", F.lit(0).cast("long")))
