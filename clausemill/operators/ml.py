@@ -58,7 +58,7 @@ def _weights(rows: DataFrame, label: str) -> DataFrame:
     """Adds balanced class weights n / (classes * n_class); labels are few."""
     counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n").alias("n"), F.count("*").alias("k")).first()
-    return rows.join(F.broadcast(counts), label).withColumn("_weight", total.n / (total.k * F.col("_n"))).drop("_n")
+    return rows.join(counts, label).withColumn("_weight", total.n / (total.k * F.col("_n"))).drop("_n")
 
 
 MEMBERS = ("boosted", "leafwise", "drawn")

@@ -318,7 +318,7 @@ def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alphabetical codes; labels are few, so their table is small."""
     docs = documents(spark, sf_dir)
     codes = docs.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.row_number().over(Window.orderBy("lang")) - 1).alias("code"))
-    return docs.join(F.broadcast(codes), "lang").select("doc_id", "code")
+    return docs.join(codes, "lang").select("doc_id", "code")
 
 
 _add("m01_label_codes", _coded, "SELECT doc_id, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS code FROM documents")

@@ -24,8 +24,10 @@ SCHEMAS = {
 
 
 def decode_lossy(content: Column) -> Column:
-    """UTF-8 without the bytes that do not fit."""
-    return F.regexp_replace(F.decode(F.encode(F.make_valid_utf8(content.cast("string")), "UTF-8"), "UTF-8"), "�", "")
+    """UTF-8 without the bytes that do not fit; a U+FFFD of the text itself stays (meanwhile as U+10FFFF, which no text has)."""
+    marked = F.replace(F.decode(content, "ISO-8859-1"), F.lit(b"\xef\xbf\xbd".decode("latin-1")), F.lit(b"\xf4\x8f\xbf\xbf".decode("latin-1")))
+    valid = F.make_valid_utf8(F.encode(marked, "ISO-8859-1").cast("string"))
+    return F.replace(F.replace(valid, F.lit("\ufffd"), F.lit("")), F.lit("\U0010ffff"), F.lit("\ufffd"))
 
 
 def decode_fallback(content: Column) -> Column:

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from clausemill.sources import arrays, folder
+from clausemill.sources import arrays, files, folder
 
 
 @pytest.fixture(scope="module")
@@ -116,3 +116,9 @@ def test_names_repeats_and_retries(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "again" / "d").iterdir()) == ["x.txt", "y.txt"]
     writer.abort([writer.write(iter([batch]))])
     assert list((tmp_path / "again" / "d").iterdir()) == []
+
+
+def test_lossy_decoding_keeps_replacement_characters_of_the_text(spark):
+    cases = {b"a\xffb": "ab", "a\ufffdb".encode(): "a\ufffdb", b"\xef\xbf": "", b"\xef\xbf\xbd\xbd": "\ufffd", "é漢\U0001f600".encode() + b"\xe6\xbc": "é漢\U0001f600", b"": ""}
+    df = spark.createDataFrame([(bytearray(k),) for k in cases], "c binary")
+    assert {bytes(r.c): r.t for r in df.select("c", files.decode_lossy(F.col("c")).alias("t")).collect()} == cases
