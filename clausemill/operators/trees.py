@@ -228,7 +228,8 @@ def best_boosted(keys, sums, total, zero, wide, l2: float, least: float, few: in
     """(gain, feature, bin, left sums) of the cut with the greatest gain; sums are of gradients, second derivatives and rows, of which both sides have ``least`` and ``few``. Of equal gains the first feature and bin; gain 0 where no cut gains."""
     features, bins, _, left = histogram(keys, sums, total, zero, wide)
     right = total - left
-    gain = 0.5 * (left[:, 0] ** 2 / (left[:, 1] + l2) + right[:, 0] ** 2 / (right[:, 1] + l2) - total[0] ** 2 / (total[1] + l2))
+    part = lambda s: s[..., 0] ** 2 / np.maximum(s[..., 1] + l2, 1e-300)  # noqa: E731  empty sides are left out below
+    gain = 0.5 * (part(left) + part(right) - part(total))
     gain = np.where((np.minimum(left[:, 1], right[:, 1]) >= least) & (np.minimum(left[:, 2], right[:, 2]) >= few), gain, 0.0)
     if not len(gain) or gain.max() <= 1e-9:
         return 0.0, -1, 0, total

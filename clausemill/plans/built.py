@@ -154,15 +154,16 @@ def _rule_sql(w: str) -> str:
 
 
 _BARE = f"regexp_extract(word, '{lemmas.OPEN}', 1)"
-LEMMA_SQL = f"""w AS (SELECT doc_id, regexp_extract_all({INFLECTED}, '[a-z]+') AS w FROM documents),
-u AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM w), t AS (SELECT doc_id, i, w[i] AS word FROM u),
-n AS (SELECT word, count(*) AS n FROM t GROUP BY word),
+#: The lemma of every word of a table t(word), as table r.
+LEMMAS_OF_T = f"""n AS (SELECT word, count(*) AS n FROM t GROUP BY word),
 irregular(word, lemma) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in lemmas.IRREGULAR.items())}),
 s AS (SELECT word, unnest([0, 1, 2, 3]) AS place, unnest([{_rule_sql('word')}, {_BARE}, {_BARE} || 'e', CASE WHEN right({_BARE}, 1) = left(right({_BARE}, 2), 1) AND length({_BARE}) > 1 THEN left({_BARE}, -1) ELSE {_BARE} END]) AS stem
       FROM n WHERE regexp_matches(word, '{lemmas.OPEN}') AND length(word) > 3 AND word NOT IN (SELECT word FROM irregular)),
 b AS (SELECT s.word, s.stem, s.place, n.n FROM s JOIN n ON n.word = s.stem QUALIFY row_number() OVER (PARTITION BY s.word ORDER BY n.n DESC, s.place) = 1),
 x AS (SELECT b.word, stem AS lemma FROM b WHERE n >= 5 AND stem <> {_rule_sql('word')}),
 r AS (SELECT word, coalesce(irregular.lemma, x.lemma, {_rule_sql('word')}) AS lemma FROM n LEFT JOIN irregular USING (word) LEFT JOIN x USING (word))"""
+LEMMA_SQL = f"""w AS (SELECT doc_id, regexp_extract_all({INFLECTED}, '[a-z]+') AS w FROM documents),
+u AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM w), t AS (SELECT doc_id, i, w[i] AS word FROM u), {LEMMAS_OF_T}"""
 _add("n03_lemmas", _lemmas, f"WITH {LEMMA_SQL}, g AS (SELECT doc_id, string_agg(lemma, ' ' ORDER BY i) AS lemmas FROM t JOIN r USING (word) GROUP BY doc_id) SELECT doc_id, coalesce(lemmas, '') AS lemmas FROM documents LEFT JOIN g USING (doc_id)")
 _add("n03_exceptions", lambda s, d: lemmas.exceptions(documents(s, d).select(F.explode(F.expr(f"regexp_extract_all({INFLECTED}, '[a-z]+', 0)")).alias("word"))), f"WITH {LEMMA_SQL} SELECT word, lemma FROM x")
 _add("r21_online_features", lambda s, d: score.features(catalog.clauses(s, d), "clause", FIXTURE, tokens=T.plain_tokens).select("doc_id", "pos", "obligation_count", "word_count_f"), rf"""WITH {catalog.CLAUSE_SQL} SELECT doc_id, pos, CAST(len(list_filter(regexp_extract_all(lower(clause), '\S+'), lambda w: w IN ({', '.join(map(sql_text, FIXTURE.obligations))}))) AS INTEGER) AS obligation_count, CAST(len(regexp_extract_all(clause, '\S+')) AS INTEGER) AS word_count_f FROM c""")

@@ -26,12 +26,13 @@ def cleaned(clauses: DataFrame) -> DataFrame:
     return segment.numbered_ids(kept, order, 5)
 
 
-def preprocessed(clauses: DataFrame, lemmas: dict[str, str] | Callable | None = None) -> DataFrame:
+def preprocessed(clauses: DataFrame, lemmas: dict[str, str] | Callable | None = None, stop_words: list[str] | None = None) -> DataFrame:
     """Adds clean_text and token_count; code snippets and clauses without content words leave.
 
-    Without lemmas these follow the rules, with exceptions learnt from the clauses.
+    Without lemmas these follow the rules, with exceptions learnt from the clauses; without
+    stop words the English ones of Spark's remover leave.
     """
-    stop = StopWordsRemover.loadDefaultStopWords("english")
+    stop = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else stop_words
     if lemmas is None:
         learnt = L.learn(clauses.select(F.explode(F.split(T.preprocess(F.col("raw_text")), " ")).alias("word")))
         lemmas = lambda w: L.lemma(w, learnt)
@@ -49,9 +50,9 @@ def labelled(clauses: DataFrame, lexicon: Lexicon = POLICY, text: str = "raw_tex
     return score.scored(clauses, text, lexicon, score.eligible(lexicon, found))
 
 
-def master(docs: DataFrame, lexicon: Lexicon = POLICY, features: Lexicon = FEATURES, balanced: int | None = 1000) -> DataFrame:
+def master(docs: DataFrame, lexicon: Lexicon = POLICY, features: Lexicon = FEATURES, balanced: int | None = 1000, stop_words: list[str] | None = None) -> DataFrame:
     """The master table (16 columns) from documents (domain, source_doc, text)."""
-    clauses = cut(preprocessed(cut(cleaned(segment.clauses(docs)), "cleaned")), "clauses")
+    clauses = cut(preprocessed(cut(cleaned(segment.clauses(docs)), "cleaned"), None, stop_words), "clauses")
     rows = cut(labelled(clauses, lexicon), "labelled")
     if balanced:
         rows = sample.balance(rows, "risk_label", "risk_score", ["clause_id"], balanced).withColumn("key", sample.hash_order(["clause_id", "copy"], 42))
