@@ -6,7 +6,9 @@ one shingle, a text without words has none.  The sketch keeps the k smallest dis
 whole, and estimate resemblance, containment and the number of distinct shingles.
 
 Null text counts as empty.  Two empty sketches resemble each other fully, an empty
-and a non-empty one not at all.  Everything here is a Column expression; there is no
+and a non-empty one not at all.  Rows of equal doc_id and text are one after the other, in any order,
+as their results are equal.  An empty table gives an empty result.  Only doc_id and text are read, so
+further columns do not matter.  Everything here is a Column expression; there is no
 Python on the executors.
 """
 

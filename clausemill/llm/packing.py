@@ -10,7 +10,9 @@ When a window exceeds the capacity, the window count rises and the block is deal
 anew.  Ids beyond a block's full windows go to the next block; those of a task's last
 block form sequences whose lengths are powers of two, which need no padding.
 
-No shuffle, and no state beyond a block; results are the same for the same input
+Null texts count as empty and are their end id alone; rows that repeat, or share a doc_id, are packed
+each for itself; an empty table gives an empty result.  Only doc_id and text are read, so further
+columns do not matter.  No shuffle, and no state beyond a block; results are the same for the same input
 partition, so lost tasks can be run again.
 """
 

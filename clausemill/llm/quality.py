@@ -6,7 +6,9 @@ cost: on a sample of some hundred rows every rule is timed and its rejections ar
 the rules run by rejections per second, each only on what earlier rules let pass.
 
 Words are maximal runs of ``[^\\x20\\x09-\\x0D]``.  Null and empty texts have no words
-and are rejected.  Work is row-local; there is no shuffle.
+and are rejected.  Rows that repeat are judged each for itself; an empty table gives an empty result;
+further columns, whatever their names, are kept by ``keep`` and ignored by ``measure``.  Work is
+row-local; there is no shuffle.
 """
 
 from __future__ import annotations

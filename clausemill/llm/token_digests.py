@@ -1,4 +1,7 @@
-"""BPE encoding and decoding of a document table (operator 7)."""
+"""BPE encoding and decoding of a document table (operator 7).
+
+An empty table gives an empty result.  Only doc_id and text are read, so further columns do not matter.
+"""
 
 from __future__ import annotations
 

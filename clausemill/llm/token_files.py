@@ -15,6 +15,10 @@ planes of 64 bytes.
 Files are written under names of their own per task attempt and are known only
 through the manifest, a table that Spark commits; so a retried or a speculative
 task leaves at most a file that nothing refers to.
+
+Null texts count as empty and are their end id alone; rows that repeat are written each for itself, in
+order of their text where they share a doc_id; an empty table gives an empty result.  Only doc_id
+and text are read, so further columns do not matter.
 """
 
 from __future__ import annotations
