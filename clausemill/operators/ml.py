@@ -6,10 +6,14 @@ extremely randomised trees (``trees``); their class probabilities are averaged.
 
 from __future__ import annotations
 
+import math
+import random
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer, SQLTransformer, StopWordsRemover, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,11 +118,7 @@ def fit(train: DataFrame, text: str, label: str = "risk_label", trees: int = 300
     Leaf by leaf: up to 31 leaves of five rows or more, balanced class weights.  Drawn: leaves of two rows or
     more, balanced class weights.
     """
-    known = train.where(F.col(label).isNotNull())
-    labels = tuple(sorted(r[label] for r in known.select(label).distinct().collect()))
-    features = fit_features(known, text, n_words, n_chars)
-    code = F.create_map(*(F.lit(x) for name, i in codes(labels).items() for x in (name, i)))
-    ready = cut(features.transform(prepare(_weights(known, label), text)).select("features", code[F.col(label)].alias("_y"), "_weight"), "training")
+    labels, features, ready = _ready(train, text, label, n_words, n_chars)
     plain, weighted = T.binned(ready, "features", "_y"), T.binned(ready, "features", "_y", "_weight")
     boosted = T.boost(plain, boosts, depth=depth, l2=0.5, row_share=0.9, feature_share=0.8, seed=seed)
     leafwise = T.boost(weighted, boosts, depth=depth, leaves=31, l2=0.0, few=5, seed=seed)
@@ -126,6 +126,87 @@ def fit(train: DataFrame, text: str, label: str = "risk_label", trees: int = 300
     return Ensemble(labels, text, features, boosted, leafwise, drawn)
 
 
+@dataclass
+class Baseline:
+    """Fitted features and one classifier of MLlib."""
+
+    labels: tuple[str, ...]
+    text: str
+    features: PipelineModel
+    classifier: Transformer
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """Adds probabilities (by label code), predicted_risk_label and confidence (0 to 1), as the ensemble does."""
+        out = self.features.transform(prepare(rows, self.text))
+        hidden = [c for c in out.columns if c.startswith("_")]
+        out = self.classifier.copy({self.classifier.predictionCol: "", self.classifier.rawPredictionCol: "", self.classifier.probabilityCol: "_p"}).transform(out)
+        out = out.withColumn("probabilities", vector_to_array("_p")).withColumn("confidence", F.array_max("probabilities"))
+        names = F.array(*(F.lit(x) for x in self.labels))
+        return out.withColumn("predicted_risk_label", F.element_at(names, F.array_position("probabilities", F.col("confidence")).cast("int"))).drop(*hidden, "_p", "features")
+
+
+def _ready(train: DataFrame, text: str, label: str, n_words: int, n_chars: int) -> tuple[tuple[str, ...], PipelineModel, DataFrame]:
+    """Labels, fitted features, and a stage table (features, _y, _weight) of the rows with a label."""
+    known = train.where(F.col(label).isNotNull())
+    labels = tuple(sorted(r[label] for r in known.select(label).distinct().collect()))
+    features = fit_features(known, text, n_words, n_chars)
+    code = F.create_map(*(F.lit(x) for name, i in codes(labels).items() for x in (name, i)))
+    return labels, features, cut(features.transform(prepare(_weights(known, label), text)).select("features", code[F.col(label)].alias("_y"), "_weight"), "training")
+
+
+def baseline(train: DataFrame, text: str, kind: str = "logistic", label: str = "risk_label", trees: int = 100, n_words: int = 2000, n_chars: int = 1000, seed: int = 42) -> Baseline:
+    """A plain classifier to hold the ensemble against: ``logistic`` regression or a random ``forest``, with balanced class weights."""
+    labels, features, ready = _ready(train, text, label, n_words, n_chars)
+    common = {"featuresCol": "features", "labelCol": "_y", "weightCol": "_weight"}
+    if kind == "logistic":
+        model = LogisticRegression(**common, regParam=0.01, maxIter=100, family="multinomial")
+    elif kind == "forest":
+        model = RandomForestClassifier(**common, numTrees=trees, maxDepth=10, seed=seed)
+    else:
+        raise ValueError(f"no baseline {kind!r}: logistic or forest")
+    return Baseline(labels, text, features, model.fit(ready))
+
+
+#: What ``search`` draws from.
+RANGES = {"rounds": (50, 100, 200, 300), "depth": (4, 6, 8), "rate": (0.05, 0.1, 0.2), "l2": (0.1, 0.5, 1.0), "row_share": (0.8, 0.9, 1.0), "feature_share": (0.6, 0.8, 1.0)}
+
+
+def search(train: DataFrame, text: str, label: str = "risk_label", draws: int = 8, folds: int = 3, ranges: dict[str, tuple] = RANGES, n_words: int = 2000, n_chars: int = 1000, seed: int = 42) -> list[dict]:
+    """Random search for the boosted member's parameters: each draw with its mean macro F1 over the folds, the best first (of equals the first drawn).
+
+    A text has one fold, by its hash, so copies never lie on both sides; features are
+    fitted on the training side alone.  A label that a fold lacks does not count there.
+    """
+    chosen: list[dict] = []
+    r = random.Random(seed)
+    combinations = math.prod(len(v) for v in ranges.values())
+    while len(chosen) < min(draws, combinations):
+        one = {k: r.choice(v) for k, v in ranges.items()}
+        chosen += [one] if one not in chosen else []
+    fold = F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit(seed)), F.lit(folds))
+    scores: list[list[float]] = [[] for _ in chosen]
+    for k in range(folds):
+        labels, features, ready = _ready(train.where(fold != k), text, label, n_words, n_chars)
+        data = T.binned(ready, "features", "_y")
+        held = cut(features.transform(prepare(train.where((fold == k) & F.col(label).isNotNull()), text)).select("features", label), "held-out")
+        names = F.array(*(F.lit(x) for x in labels))
+        for one, own in zip(chosen, scores, strict=True):
+            p = T.boost(data, **one, seed=seed).probabilities(F.col("features"))
+            counts = held.select(label, p.alias("p")).select(F.col(label).alias("actual"), F.element_at(names, F.array_position("p", F.array_max("p")).cast("int")).alias("predicted")).groupBy("actual", "predicted").count().collect()
+            own.append(macro_f1([(x.actual, x.predicted, x["count"]) for x in counts]))
+    found = [{"score": sum(own) / max(1, len(own)), **one} for one, own in zip(chosen, scores, strict=True)]
+    return sorted(found, key=lambda x: -x["score"])
+
+
+def macro_f1(counts: list[tuple[str, str, int]]) -> float:
+    """The mean F1 of the labels that occur, from (actual, predicted, n); 0 without rows."""
+    out = []
+    for label in sorted({a for a, _, _ in counts}):
+        hit = sum(n for a, p, n in counts if a == p == label)
+        out.append(2 * hit / (sum(n for a, _, n in counts if a == label) + sum(n for _, p, n in counts if p == label)))
+    return sum(out) / len(out) if out else 0.0
+
+
 def predict_one(model: Ensemble, spark, clause: str, numbers: dict[str, float | str | None]) -> DataFrame:
     """One clause with typed-in numbers; a blank or invalid number counts as 0."""
 
