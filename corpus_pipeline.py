@@ -28,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that a quality rule rejects."""
+    """Drops documents that a quality rule rejects, null and empty texts among them; rows that repeat are judged each for itself."""
     return quality.keep(docs, quality.plan(docs, quality.rules()))
 
 
@@ -38,12 +38,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks personal data; n_chars follows the text."""
+    """Masks personal data; n_chars follows the text. Null texts stay null, rows that repeat stay repeated."""
     return pii.redact(docs, pii.fit(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in windows of 4096 tokens."""
+    """Pieces of documents in windows of 4096 tokens; a null text is its end id alone, rows that repeat are packed each for itself."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
