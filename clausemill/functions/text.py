@@ -106,7 +106,7 @@ def preprocess(c: Column) -> Column:
 
 def token_set(c: Column) -> Column:
     """Distinct word tokens of the lower-cased text."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\b\w+\b"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), F.lit(0)))
 
 
 def modal_tokens(c: Column) -> Column:

@@ -87,6 +87,6 @@ def drop_near_duplicates(rows: DataFrame, domain: str, order: str, text: str, nu
     """
     sets = token_sets(rows, domain, order, text)
     firsts = plain_domain(sets.select("domain", "order").join(near.dropped(sets, num, den), ["domain", "order"], "left_anti"))
-    bare = F.size(token_set(F.coalesce(F.col(text), F.lit("")))) == 0
+    bare = ~F.coalesce(F.col(text), F.lit("")).rlike(r"(?U)\w")
     with_tokens = rows.where(~bare).join(firsts, rows[domain].eqNullSafe(firsts["domain"]) & (rows[order] == firsts["order"]), "left_semi")
     return with_tokens.unionByName(rows.where(bare))

@@ -87,7 +87,7 @@ def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keyed(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, key) of all sets (node, domain, tokens)."""
+    """(node, key) of all sets (node, domain, tokens); a pair may come twice."""
 
     def run(batches):
         for batch in batches:
@@ -96,7 +96,7 @@ def keyed(sets: DataFrame, num: int, den: int) -> DataFrame:
             for i in range(0, len(keys), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 100_000]), pa.array(keys[i : i + 100_000])], ["node", "key"])
 
-    return sets.select("node", F.xxhash64("domain").alias("d"), _hashes()).mapInArrow(run, "node long, key long").distinct()
+    return sets.select("node", F.xxhash64("domain").alias("d"), _hashes()).mapInArrow(run, "node long, key long")
 
 
 def _hashes():
