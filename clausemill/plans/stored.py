@@ -50,6 +50,20 @@ _add("s13_text_files", _text_files, "SELECT lang AS domain, doc_id, sha256(text)
 _add("s11_quoted_csv", _quoted_csv, """SELECT doc_id, md5('"' || text || '",' || chr(10) || '"') AS digest FROM documents""")
 
 
+def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts as a document folder: scanned, decoded and cleaned."""
+    path = _place(spark, "folder")
+    folder.write(documents(spark, sf_dir).select(F.col("lang").alias("domain"), F.col("doc_id").cast("string").alias("source_doc"), "text"), path)
+    return files.extract(files.scan(spark, path))
+
+
+_CLEANED = f"WITH t AS ({catalog.SQL['t_clean_extracted']}), m AS (SELECT lang AS domain, doc_id, t.text, CAST(len(regexp_extract_all(t.text, '\\S+')) AS INTEGER) AS word_count FROM documents JOIN t USING (doc_id))"
+_add("s16_manifest", lambda s, d: files.manifest(_extracted(s, d), "/out").drop("source_path"), f"{_CLEANED} SELECT domain, doc_id || '.txt' AS filename, '/out/' || domain || '/' || doc_id || '.txt' AS output_path, word_count, length(text)::INTEGER AS char_count, CASE WHEN word_count >= 50 THEN 'ok' ELSE 'skipped_too_short' END AS status FROM m")
+_add("s01_documents", lambda s, d: files.documents(_extracted(s, d)).select("domain", "source_doc", F.md5("text").alias("digest")), f"{_CLEANED} SELECT domain, CAST(doc_id AS VARCHAR) AS source_doc, md5(text) AS digest FROM m WHERE word_count >= 50")
+_add("s07_remote_records", lambda s, d: files.remote_records(documents(s, d), "text", "doc_id", 40).select("domain", "source_doc", F.md5("text").alias("digest")), r"SELECT 'legal' AS domain, 'ledgar_' || lpad(CAST(doc_id AS VARCHAR), 4, '0') AS source_doc, md5(text) AS digest FROM documents WHERE len(regexp_extract_all(text, '\S+')) >= 30 ORDER BY doc_id LIMIT 40")
+_add("s09_scraped", lambda s, d: files.scraped(catalog.pages(s, d), "html").select("page_id", F.md5("text").alias("digest")), rf"WITH t AS (SELECT page_id, {catalog.SCRAPED} AS text FROM pages) SELECT page_id, md5(text) AS digest FROM t WHERE len(regexp_extract_all(text, '\S+')) > 150")
+
+
 def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "lang", "text")
     return stages.cut(embed.fit_text(docs, "text", terms=5_000, dimensions=32).transform(docs, "text").drop("text"), "embedded")
