@@ -293,13 +293,15 @@ class Graph:
             run = [*run, i] if follows and run and _NUMERAL.fullmatch(text, a, b) else [i] if _NUMERAL.fullmatch(text, a, b) else []
             if len(run) > 1:
                 whole.append(run)
+        mention: dict[int, int] = {}  # tokens of one number are one mention
         for k, run in enumerate(whole):  # numbers in several tokens, by their last digits; the longest of those that begin alike
             if k + 1 == len(whole) or whole[k + 1][0] != run[0]:
+                mention.update(dict.fromkeys(run, run[0]))
                 digits = _NO_DIGIT.sub("", text[self.at[run[0]][0] : self.at[run[-1]][1]])
                 if 7 <= len(digits) <= 19:
-                    for i in run:
-                        groups.setdefault(f"s{digits[-7:]}", []).append(i)
-        self.groups += {tuple(g): g for g in groups.values() if len(g) > 1}.values()
+                    groups.setdefault(f"s{digits[-7:]}", []).extend(run)
+        sets = (sorted(set(g)) for g in groups.values())
+        self.groups += {tuple(g): g for g in sets if len({mention.get(i, i) for i in g}) > 1}.values()
 
     def marginals(self, model: Field) -> np.ndarray:
         """Of every node's labels, with those of known spans observed."""

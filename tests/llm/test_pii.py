@@ -103,6 +103,19 @@ def test_repeats_are_marked_however_many(model, k):
     assert len(values("of +1 (743) 555-3824 " + "and 12345678 calm words " * k, model)) == 1
 
 
+def test_weak_forms_and_single_mentions(model):
+    """Forms without country code are found alone, and a number of several tokens is no repeat of itself."""
+    for text, want in (("call 555-123-4567 now", "555-123-4567"), ("please call (743) 555-3824", "(743) 555-3824"), ("tel 743.555.3824", "743.555.3824"), ("+44 20 7946 0958 or 020 7946 0958", "020 7946 0958")):
+        assert values(text, model)[-1] == ("phone", want)
+    graph = pii.Graph()
+    graph.add(0, "please call (743) 555-3824 now", [])
+    assert graph.groups == []
+    graph.add(1, "(743) 555-3824 and 743 555 3824", [])
+    assert [len(g) for g in graph.groups if len(g) > 4] == [5]
+    for text in ("on 2024-01-05 we met 12 people", "room 4567 and 1998", "12 345 678 of 901"):
+        assert values(text, model) == []
+
+
 def test_very_long_texts_take_linear_time(model):
     """A megabyte of each kind of seed in a second or so (the limit leaves room for slow machines)."""
     for text in ("=" * 1_000_000, "= " * 500_000, "=x" * 500_000, "a= \n\n\n\n=" * 100_000, "1 " * 300_000, "1" * 1_000_000, "(at) " * 50_000):
