@@ -113,9 +113,9 @@ def dropped(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(domain, order) of the sets (node, domain, order, tokens) that a kept one of a lower order in their domain removes."""
     ties = components(cut(stars(keyed(sets, num, den)), "stars"))
     grouped = cut(sets.join(ties, "node").select("component", "domain", "order", "tokens"), "components")
-    large = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min_by("tokens", "order").alias("t"), F.min("order").alias("o")).where(F.col("n") > LARGE)
+    large = grouped.groupBy("component", "domain").agg(F.count(F.lit(1)).alias("n"), F.min_by("tokens", "order").alias("t"), F.min("order").alias("o")).where(F.col("n") > LARGE)
     both = F.size(F.array_intersect("tokens", "t"))
-    marked = grouped.join(large, "component", "left").withColumn("like", F.col("t").isNotNull() & (F.col("order") != F.col("o")) & (den * both >= num * (F.size("tokens") + F.size("t") - both))).drop("t", "o", "n")
+    marked = grouped.join(large, ["component", "domain"], "left").withColumn("like", F.col("t").isNotNull() & (F.col("order") != F.col("o")) & (den * both >= num * (F.size("tokens") + F.size("t") - both))).drop("t", "o", "n")
     kind = sets.select("domain", "order").schema
 
     def run(batches):
@@ -125,7 +125,8 @@ def dropped(sets: DataFrame, num: int, den: int) -> DataFrame:
             cuts = np.searchsorted(np.sort(places), np.arange(batch.num_rows + 1))
             keys = keys[np.argsort(places, kind="stable")].tolist()
             gone = []
-            for i, (own, tokens) in enumerate(zip(batch.column("component").to_pylist(), batch.column("tokens").to_pylist(), strict=True)):
+            owners = zip(batch.column("component").to_pylist(), batch.column("domain").to_pylist(), strict=True)
+            for i, (own, tokens) in enumerate(zip(owners, batch.column("tokens").to_pylist(), strict=True)):
                 if own != component:
                     component, index, kept = own, {}, []
                 held, mine = set(tokens), keys[cuts[i] : cuts[i + 1]]
@@ -139,7 +140,7 @@ def dropped(sets: DataFrame, num: int, den: int) -> DataFrame:
             yield batch.select(["domain", "order"]).take(pa.array(gone, pa.int32()))
 
     rest = marked.where("NOT like").select("component", "domain", "order", "tokens", F.xxhash64("domain").alias("d"), _hashes())
-    late = rest.repartition("component").sortWithinPartitions("component", "order").mapInArrow(run, kind)
+    late = rest.repartition("component").sortWithinPartitions("component", "domain", "order").mapInArrow(run, kind)
     return marked.where("like").select("domain", "order").unionByName(late)
 
 
@@ -148,7 +149,7 @@ def pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
     keys = keyed(sets, num, den)
     near = keys.select("key", F.col("node").alias("a")).join(keys.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
     left = sets.select(F.col("node").alias("a"), "domain", F.col("order").alias("o1"), F.col("tokens").alias("t1"))
-    right = sets.select(F.col("node").alias("b"), F.col("order").alias("o2"), F.col("tokens").alias("t2"))
-    both = near.join(left, "a").join(right, "b").withColumn("overlap", F.size(F.array_intersect("t1", "t2")))
+    right = sets.select(F.col("node").alias("b"), F.col("domain").alias("other"), F.col("order").alias("o2"), F.col("tokens").alias("t2"))
+    both = near.join(left, "a").join(right, "b").where("domain = other").withColumn("overlap", F.size(F.array_intersect("t1", "t2")))
     both = both.withColumn("total", F.size("t1") + F.size("t2") - F.col("overlap")).where(den * F.col("overlap") >= num * F.col("total"))
     return both.select("domain", F.least("o1", "o2").alias("i"), F.greatest("o1", "o2").alias("j"), "overlap", "total")
