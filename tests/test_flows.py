@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from clausemill.functions.lexicon import LABELS
 from clausemill.operators import ml, ngrams, rank, report, sample, vectors
 from clausemill.plans import catalog, corpus
@@ -186,3 +187,16 @@ def test_char_tfidf_against_brute_force_and_its_sql(spark, tmp_path):
     sql = {(i, g): w for i, g, w in db.execute(catalog.SQL["n11_char_tfidf"]).fetchall()}
     assert {len(g) for _, g in got} == {3, 4, 5} and got.keys() == want.keys() == sql.keys()
     assert all(abs(got[k] - w) < 2e-5 and abs(sql[k] - w) < 2e-5 for k, w in want.items())
+
+
+def _below_the_deal(plan: str) -> list[str]:
+    """The filters of a physical plan that stand below the first exchange."""
+    at = next(i for i, line in enumerate(plan.splitlines()) if "REPARTITION_BY_NUM" in line)
+    return [line for line in plan.splitlines()[at:] if "- Filter " in line]
+
+
+@pytest.mark.parametrize("name", ["g14_numbered", "g06_definitions", "g08_numbered_whole", "g07_privacy_sections", "g05_hr_bullets", "g13_lettered", "g09_bullets", "g04_sentences", "g17_online"])
+def test_texts_are_cut_after_rows_are_dealt(spark, name):
+    """A filter on the clauses, inferred or written, would be computed by the few tasks of the scan."""
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not _below_the_deal(plan)
