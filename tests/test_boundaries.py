@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from clausemill.operators import boundaries, segment
 from clausemill.operators.boundaries import Boundaries
 
@@ -70,3 +71,11 @@ def test_the_segmenters_take_learnt_boundaries(spark):
     docs = spark.createDataFrame([(d, "x", text) for d in ("hr", "legal", "privacy")], "domain string, source_doc string, text string")
     model = Boundaries(("dept",), ())
     assert segment.clauses(docs).count() == 6 and [r.word_count for r in segment.clauses(docs, model=model).collect()] == [49] * 3
+
+
+def test_any_number_of_entries(spark, monkeypatch):
+    """Queries do not list what is learnt, so the number of entries has no limit."""
+    wanted = {n: sorted(map(tuple, entry.queries()[n](spark, "/root/testdata/sf0.001").collect())) for n in ("g04_starters", "g04_learnt_sentences")}
+    monkeypatch.setattr(boundaries, "MOST", 0)
+    for name, rows in wanted.items():
+        assert rows and rows == sorted(map(tuple, entry.queries()[name](spark, "/root/testdata/sf0.001").collect()))

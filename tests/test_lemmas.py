@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from clausemill.functions import lemmas, text
-from clausemill.plans import corpus
+from clausemill.plans import built, corpus
 
 CASES = {
     "policies": "policy", "penalties": "penalty", "breaches": "breach", "taxes": "tax", "losses": "loss", "clauses": "clause", "notices": "notice", "fines": "fine",
@@ -45,3 +46,12 @@ def test_clean_text_has_lemmas_learnt_from_the_clauses(spark):
     rows = [(f"The supplier disclosed {w} records under these policies without consent.",) for w in ("secret", "old", "new")] + [("They must disclose the record, and disclose it quickly; disclose all, disclose more.",)] * 2
     got = [r.clean_text for r in corpus.preprocessed(spark.createDataFrame(rows, "raw_text string")).collect()]
     assert got[0].startswith("supplier disclose secret record") and got[0].split()[-2:] == ["without", "consent"] and "policy" in got[0]
+
+
+def test_any_number_of_exceptions(spark, monkeypatch):
+    """The query does not list the exceptions, so their number has no limit; its lemmas are those by a list."""
+    docs = built.documents(spark, "/root/testdata/sf0.001").select("doc_id", F.expr(f"regexp_extract_all({built.INFLECTED}, '[a-z]+', 0)").alias("w"))
+    learnt = lemmas.learn(docs.select(F.explode("w").alias("word")))
+    wanted = docs.select("doc_id", F.array_join(F.transform("w", lambda w: lemmas.lemma(w, learnt)), " ")).collect()
+    monkeypatch.setattr(lemmas, "MOST", 0)
+    assert learnt and sorted(map(tuple, wanted)) == sorted(map(tuple, entry.queries()["n03_lemmas"](spark, "/root/testdata/sf0.001").collect()))
