@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from clausemill.operators import clean, ngrams, report, sample, vectors
 from clausemill.plans import corpus, stages
 from clausemill.sources import files
@@ -85,3 +86,13 @@ def test_a_scan_of_one_file_uses_all_cores(spark, tmp_path):
     assert stages.spread(out) is out
     plan = stages.spread(scan).where("id > 5").select("id")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<id:bigint>" in plan and "PushedFilters: [IsNotNull(id), GreaterThan(id,5)]" in plan
+
+
+def test_ids_and_tokens_as_their_sql_has_them(spark, tmp_path):
+    """Six digits are cut as lpad cuts them, no tokens are null, cannot is one run of letters."""
+    rows = spark.range(100_001).select("id", F.lit("a").alias("source"), F.when(F.col("id") == 0, "12 34").when(F.col("id") == 1, "We cannot İx").when(F.col("id") == 2, "").otherwise("b").alias("text"))
+    rows.withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {n: {r.doc_id: r for r in entry.queries()[n](spark, str(tmp_path)).where("doc_id < 3 OR doc_id > 99997").collect()} for n in ("b05_numbered_ids", "n05_token_set", "n06_modal_tokens", "n07_plain_tokens")}
+    assert [found["b05_numbered_ids"][k].clause_id for k in (0, 99_998, 99_999, 100_000)] == ["C00001", "C99999", "C10000", "C10000"]
+    assert [(found["n06_modal_tokens"][k].n, found["n06_modal_tokens"][k].tokens) for k in (0, 1, 2)] == [(0, None), (3, "we cannot ix"), (0, None)]
+    assert found["n07_plain_tokens"][2].tokens is None is found["n05_token_set"][2].tokens
