@@ -200,3 +200,14 @@ def test_texts_are_cut_after_rows_are_dealt(spark, name):
     """A filter on the clauses, inferred or written, would be computed by the few tasks of the scan."""
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not _below_the_deal(plan)
+
+
+def test_top_terms_are_those_of_all_counts(spark, monkeypatch):
+    """With any number of buckets: a few that terms share, and the usual ones; ties, and terms of one row."""
+    rows = spark.createDataFrame([(i, " ".join(f"w{'abcdefghij'[(i * k) % 10]}{'xy'[k % 2]}" for k in range(1 + i % 9))) for i in range(60)], "id long, t string")
+    grams = ngrams.ngrams(ngrams.tokens(F.col("t"), ngrams.COUNT_TOKEN), 1, 3)
+    for most in (3, 10, 10_000):
+        wanted = ngrams.vocabulary(ngrams.term_counts(rows, "id", grams), 2, most).collect()
+        for buckets in (7, 1 << 20):
+            monkeypatch.setattr(ngrams, "BUCKETS", buckets)
+            assert ngrams.top_terms(rows, grams, 2, most).collect() == wanted
