@@ -106,3 +106,14 @@ def test_components_of_long_chains_and_a_star(spark):
     edges = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")).union(spark.range(2_000).select(F.lit(1_000).alias("u"), (F.col("id") + 1_001).alias("v")))
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {i: 0 for i in range(301)} | {i: 1_000 for i in range(1_000, 3_001)}
+
+
+def test_a_phrase_that_all_sets_share_ties_none_of_them(spark):
+    """Sets of a common phrase and words of their own had keys of parts of the phrase, and all were one component; similar ones still meet."""
+    rows = [(i, "d", [*(f"common{k}" for k in range(14)), *(f"own{i}x{k}" for k in range(6))]) for i in range(400)]
+    rows += [(400 + i, "d", [*rows[i][2], f"more{i}"]) for i in range(40)]
+    sets = spark.createDataFrame([(i, d, i, t) for i, d, t in rows], "node long, domain string, order long, tokens array<string>")
+    assert near.stars(near.keyed(sets, 17, 20, near.bucket_counts(sets))).select("v").distinct().count() == 40
+    for rare in (True, False):
+        assert sorted(r.order for r in near.dropped(sets, 17, 20, rare).collect()) == list(range(400, 440))
+    assert sorted((r.i, r.j) for r in near.pairs(sets, 17, 20).collect()) == [(i, 400 + i) for i in range(40)]
