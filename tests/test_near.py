@@ -117,3 +117,37 @@ def test_a_phrase_that_all_sets_share_ties_none_of_them(spark):
     for rare in (True, False):
         assert sorted(r.order for r in near.dropped(sets, 17, 20, rare).collect()) == list(range(400, 440))
     assert sorted((r.i, r.j) for r in near.pairs(sets, 17, 20).collect()) == [(i, 400 + i) for i in range(40)]
+
+
+def chance(n):
+    """Sets of frequent and rare words, with equal parts by chance and copies of a few."""
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(1_500)]
+    weights = [1 / (i + 1) for i in range(1_500)]
+    rows = [("a", i, sorted(set(r.choices(words, weights, k=250)))) for i in range(n)]
+    return rows + [("a", n + i, [*rows[i][2], "more"]) for i in range(30)]
+
+
+def test_sets_with_equal_parts_by_chance_are_not_tied(spark):
+    """Such sets were one component, in one task; ties are now the similar pairs alone."""
+    rows = chance(1_500)
+    sets = spark.createDataFrame([(i, d, i, t) for d, i, t in rows], "node long, domain string, order long, tokens array<string>")
+    keys = near.keyed(sets, 17, 20, None, near.bucket_counts(sets))
+    assert sorted((r.u, r.v) for r in near.ties(keys, sets, 17, 20).collect()) == [(i, 1_500 + i) for i in range(30)]
+    assert near.stars(keys).count() > 1_000
+    assert sorted(r.order for r in near.dropped(sets, 17, 20).collect()) == list(range(1_500, 1_530))
+
+
+@pytest.mark.parametrize("few,block", [(0, 2), (4, 3), (1_000, 1_000)])
+def test_ties_and_blocks_of_any_size(spark, monkeypatch, few, block):
+    """Pairs by blocks of large keys, and survivors by stars alone, by pairs alone and by both, equal the plain models."""
+    monkeypatch.setattr(near, "FEW", few)
+    monkeypatch.setattr(near, "BLOCK", block)
+    rows = families(11, 300, [f"w{i}" for i in range(60)]) + [(d, 1_000 + i, t) for d, i, t in near_copies(60)]
+    df = spark.createDataFrame([(d, i, " ".join(t)) for d, i, t in rows], "domain string, pos long, text string")
+    first = {}
+    for d, i, t in sorted(rows, key=lambda r: r[1]):
+        first.setdefault((d, frozenset(t)), i)
+    want = {(d, i, j) for (d, s), i in first.items() for (e, u), j in first.items() if i < j and d == e and 20 * len(s & u) >= 17 * len(s | u)}
+    assert {(r.domain, r.i, r.j) for r in clean.similar_pairs(df, "domain", "pos", "text").collect()} == want
+    assert {r.pos for r in clean.drop_near_duplicates(df, "domain", "pos", "text").collect()} == greedy(rows)
