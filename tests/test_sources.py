@@ -1,6 +1,7 @@
 """Array files and text files as data sources: round trips, ranges, retries."""
 
 import io
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -122,3 +123,19 @@ def test_lossy_decoding_keeps_replacement_characters_of_the_text(spark):
     cases = {b"a\xffb": "ab", "a\ufffdb".encode(): "a\ufffdb", b"\xef\xbf": "", b"\xef\xbf\xbd\xbd": "\ufffd", "é漢\U0001f600".encode() + b"\xe6\xbc": "é漢\U0001f600", b"": ""}
     df = spark.createDataFrame([(bytearray(k),) for k in cases], "c binary")
     assert {bytes(r.c): r.t for r in df.select("c", files.decode_lossy(F.col("c")).alias("t")).collect()} == cases
+
+
+def test_text_files_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    """Tasks were those of the scan, however many documents each had; what a task tells the driver does not grow with its files."""
+    monkeypatch.setattr(folder, "PER_TASK", 50)
+    docs = spark.range(1_000).coalesce(1).select(F.lit("a").alias("domain"), F.col("id").cast("string").alias("source_doc"), F.lit("x").alias("text"))
+    folder.write(docs, str(tmp_path / "out"))
+    read = files.scan(spark, str(tmp_path / "out"))
+    assert read.count() == 1_000 and not [x for x in (tmp_path / "out").iterdir() if x.is_dir() and x.name != "a"]
+    assert read.rdd.getNumPartitions() <= 32
+    assert folder.dealt(docs, 1_000, "source_doc").rdd.getNumPartitions() == 20 and folder.dealt(docs, 40, "source_doc").rdd.getNumPartitions() == 1
+    writer = folder.Writer(str(tmp_path / "again"))
+    told = [writer.write(iter([pa.record_batch({"place": [f"d/{i}.txt" for i in range(n)], "text": ["x"] * n})])) for n in (1, 500)]
+    assert [m.n for m in told] == [1, 500] and len(pickle.dumps(told[1])) < len(pickle.dumps(told[0])) + 10
+    writer.abort(told)
+    assert not list((tmp_path / "again").rglob("*.txt"))
