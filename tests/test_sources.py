@@ -139,3 +139,16 @@ def test_text_files_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
     assert [m.n for m in told] == [1, 500] and len(pickle.dumps(told[1])) < len(pickle.dumps(told[0])) + 10
     writer.abort(told)
     assert not list((tmp_path / "again").rglob("*.txt"))
+
+
+def test_extraction_opens_each_file_once(spark, tmp_path):
+    """Text and PDF files were two scans of the whole folder."""
+    (tmp_path / "a").mkdir()
+    for name, data in {"x.txt": b"one  two", "y.pdf": b"no pdf", "z.TEXT": b"three", "w.csv": b"1,2"}.items():
+        (tmp_path / "a" / name).write_bytes(data)
+    read = files.extract(files.scan(spark, str(tmp_path)))
+    assert read._jdf.queryExecution().executedPlan().toString().count("Scan binaryFile") == 1
+    got = {r.filename: (r.text, bytes(r.content)) for r in read.collect()}
+    assert got == {"x.txt": ("one two", b"one  two"), "y.pdf": (None if not files.pdf_library() else "", b"no pdf"), "z.TEXT": ("three", b"three")}
+    plan = files.documents(read)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^\\x20-\\x7E\\n\\t]") == 1  # one of the cleaning's patterns
