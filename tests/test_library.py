@@ -1,12 +1,15 @@
 """Shared folders, rows of null domain, splits, quartiles, PDF status and result cards."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from clausemill.functions import dom
 from clausemill.operators import clean, ngrams, report, sample, vectors
 from clausemill.plans import corpus, stages
 from clausemill.sources import files
@@ -96,3 +99,14 @@ def test_ids_and_tokens_as_their_sql_has_them(spark, tmp_path):
     assert [found["b05_numbered_ids"][k].clause_id for k in (0, 99_998, 99_999, 100_000)] == ["C00001", "C99999", "C10000", "C10000"]
     assert [(found["n06_modal_tokens"][k].n, found["n06_modal_tokens"][k].tokens) for k in (0, 1, 2)] == [(0, None), (3, "we cannot ix"), (0, None)]
     assert found["n07_plain_tokens"][2].tokens is None is found["n05_token_set"][2].tokens
+
+
+def test_pages_of_a_batch_are_not_python_strings_at_once():
+    """A worker held a batch of 10,000 pages, and their texts, as Python strings."""
+    pages = pa.array([f"<nav>x</nav><p>{i} {'word ' * 4_000}</p>" for i in range(1_500)] + [None])
+    tracemalloc.start()
+    got = dom.stripped(pages)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12_000_000 < 20_000 * 1_500
+    assert got.to_pylist() == [dom.visible_text(x) for x in pages.to_pylist()]
