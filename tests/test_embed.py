@@ -52,3 +52,11 @@ def test_clauses_of_a_topic_lie_together(spark):
     same = np.mean([unit[i] @ unit[j] for i in range(0, 120, 7) for j in range(0, 120, 5) if i % 2 == j % 2 and i != j])
     other = np.mean([unit[i] @ unit[j] for i in range(0, 120, 7) for j in range(0, 120, 5) if i % 2 != j % 2])
     assert same > other + 0.3
+
+
+def test_texts_are_cut_into_words_once_for_all_steps_after_the_vocabulary(spark):
+    """Weights, matrix and embeddings each cut the texts into words again."""
+    docs = spark.createDataFrame([(i, f"alpha beta w{i % 7} w{i % 5}") for i in range(60)], "doc_id long, text string")
+    made = embed.embedded(docs, "text", terms=20, dimensions=4)
+    assert made.columns == ["doc_id", "embedding"] and made.count() == 60
+    assert "regexp" not in made._jdf.queryExecution().optimizedPlan().toString()
